@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import ngram_jaccard
+from . import bpe, ngram_jaccard
 
 
 def queries() -> dict:
-    return {"op1_ngram_jaccard_join": ngram_jaccard.op1_ngram_jaccard_join}
+    return {
+        "op1_ngram_jaccard_join": ngram_jaccard.op1_ngram_jaccard_join,
+        "op3_bpe": bpe.op3_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
