@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, ngram_jaccard
+from . import bpe, mixing, ngram_jaccard
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": ngram_jaccard.op1_ngram_jaccard_join,
         "op3_bpe": bpe.op3_bpe,
+        "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": ngram_jaccard.OP1_SQL}
+    return {
+        "op1_ngram_jaccard_join": ngram_jaccard.OP1_SQL,
+        "op9_mixing": mixing.OP9_SQL,
+    }
