@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, ngram_jaccard
+from . import bpe, line_dedup, mixing, ngram_jaccard, pii
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": ngram_jaccard.op1_ngram_jaccard_join,
         "op3_bpe": bpe.op3_bpe,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_pii": pii.op6_pii,
         "op9_mixing": mixing.op9_mixing,
     }
 
@@ -16,5 +18,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": ngram_jaccard.OP1_SQL,
+        "op5_line_dedup": line_dedup.OP5_SQL,
+        "op6_pii": pii.OP6_SQL,
         "op9_mixing": mixing.OP9_SQL,
     }
