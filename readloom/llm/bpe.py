@@ -180,16 +180,16 @@ def coder(path: str, digests: bool):
     return run
 
 
-def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: (id_col, n_tokens, ids, decoded), or SHA-256 digests of the two (ids_sha256, decoded_sha256).
 
-    No shuffle: a row depends on its text alone. path names the vocabulary file, which every executor can read.
+    Columns named in keep follow the id. No shuffle: a row depends on its text alone. path names the vocabulary file, which every executor can read.
     """
-    rows = docs.select(col(id_col).alias("_id"), text_of(docs, text_col).alias("_text"))
+    rows = docs.select(F.struct(col(id_col).alias("id"), *(col(c).alias(f"c{k}") for k, c in enumerate(keep))).alias("_id"), text_of(docs, text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     out = rows.mapInArrow(coder(path, digests), f"_id {kind}, n bigint, i {'string' if digests else 'array<int>'}, d string")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_tokens"), F.col("i").alias(names[0]), F.col("d").alias(names[1]))
+    return out.select(F.col("_id.id").alias(id_col), *(F.col(f"_id.c{k}").alias(c) for k, c in enumerate(keep)), F.col("n").alias("n_tokens"), F.col("i").alias(names[0]), F.col("d").alias(names[1]))
 
 
 def default_path() -> str:

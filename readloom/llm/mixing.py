@@ -108,6 +108,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return full.select(*map(col, keep), F.col(size).alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
+def repeated(mixed: DataFrame) -> DataFrame:
+    """A row for each time that the mix takes a document."""
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size")).cast("int")).otherwise(0)
+    (copy,) = fresh(mixed, "copy")
+    return mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).drop(copy)
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 

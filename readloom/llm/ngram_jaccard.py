@@ -23,10 +23,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, components, process_cache, text_of, written
+from .common import col, components, fresh, process_cache, text_of, written
 from .pair_units import compare, memberships
 
 WORDS = 5
@@ -242,10 +242,11 @@ def exact(table: pa.Table, left: np.ndarray, right: np.ndarray, threshold: float
 def ngram_jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, unit_rows: int = UNIT_ROWS
 ) -> DataFrame:
-    """One row for each row of docs: (id_col, class_id, n_links, text_hash).
+    """One row for each row of docs: (id_col, class_id, n_links, group, text_hash).
 
     n_links counts the other rows whose similarity is at least threshold, copies of the text included; class_id is the
-    least id that links reach, the row's own class included. text_hash is the 128-bit hash of the text that `keep_one` uses.
+    least id that links reach, the row's own class included. group names the group even where ids are null;
+    text_hash is the 128-bit hash of the text.
     """
     rows = docs.select(col(id_col).alias("_id"), text_of(docs, text_col).alias("_text"))
     th = F.struct(F.xxhash64("_text").alias("x"), F.xxhash64("_text", F.lit(7)).alias("y"))
@@ -280,16 +281,33 @@ def ngram_jaccard_join(
         "placed",
     )
     least = written(placed.groupBy("root").agg(F.min("least").alias("class_id")), "least")
-    named = written(placed.hint("shuffle_merge").join(least, "root").select("key", "n_links", "class_id"), "named")
+    named = written(placed.hint("shuffle_merge").join(least, "root").select("key", "n_links", "class_id", F.col("root").alias("group")), "named")
     return (
         signs.select("_id", "_th", "key").hint("shuffle_merge").join(named, "key")
-        .select(F.col("_id").alias(id_col), "class_id", "n_links", F.col("_th").alias("text_hash"))
+        .select(F.col("_id").alias(id_col), "class_id", "n_links", "group", F.col("_th").alias("text_hash"))
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs less all rows of a group of linked texts but one: that of the least id, and of the least text hash among its rows.
+
+    Rows alike in id and text are one row of the result. Groups without any id keep one row too.
+    """
+    th, id2, th2, low = fresh(docs, "th", "id2", "th2", "low")
+    joined = ngram_jaccard_join(docs, id_col, text_col, **how)
+    # within a class the first row by id, then by text hash: an aggregate with map-side combining
+    first = joined.groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash").alias("th"))).alias("one"))
+    chosen = first.select(F.col("one.id").alias(id2), F.col("one.th").alias(th2))
+    text = text_of(docs, text_col)
+    rows = docs.withColumn(th, F.struct(F.xxhash64(text).alias("x"), F.xxhash64(text, F.lit(7)).alias("y")))
+    out = rows.hint("shuffle_merge").join(chosen, rows[f"`{id_col}`"].eqNullSafe(F.col(id2)) & (F.col(th) == F.col(th2)))
+    twins = Window.partitionBy(id2, th2).orderBy(F.lit(0))
+    return out.withColumn(low, F.row_number().over(twins)).where(F.col(low) == 1).select(*map(col, docs.columns))
+
+
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return ngram_jaccard_join(docs).drop("text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return ngram_jaccard_join(docs).drop("group", "text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 #: Every pair that shares a shingle, by SQL; words and shingles as above.

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, ngram_jaccard, pii
+import corpus_pipeline
+
+from . import bpe, line_dedup, mixing, ngram_jaccard, pii, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": ngram_jaccard.op1_ngram_jaccard_join,
         "op3_bpe": bpe.op3_bpe,
+        "pipeline": corpus_pipeline.run,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_pii": pii.op6_pii,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
     }
 
