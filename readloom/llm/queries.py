@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, line_dedup, mixing, ngram_jaccard, pii, toxicity
+from . import bpe, line_dedup, media, mixing, ngram_jaccard, pii, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": ngram_jaccard.op1_ngram_jaccard_join,
+        "op2_secret_scan": secrets.op2_secret_scan,
         "op3_bpe": bpe.op3_bpe,
+        "op10_media": media.op10_media,
         "pipeline": corpus_pipeline.run,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_pii": pii.op6_pii,
