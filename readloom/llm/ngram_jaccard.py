@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, components, fresh, process_cache, text_of, written
-from .pair_units import compare, memberships
+from .common import col, fresh, process_cache, text_of, written
+from .pair_units import compare, memberships, settled
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -270,18 +270,7 @@ def ngram_jaccard_join(
         .mapInArrow(loaded, "key binary, copies bigint, band_values binary, values binary, shingles binary")
         .groupBy("key").agg(*(F.first(c).alias(c) for c in ("copies", "band_values", "values", "shingles")))
     )
-    links = written(compare(units, found, linker(threshold, tolerance)), "links")
-    roots = components(links.select(F.col("key").alias("a"), F.col("toward").alias("b")))
-    counted = links.groupBy("key").agg(F.sum("links").alias("links"))
-    placed = written(
-        classes.select("key", "copies", "least")
-        .join(counted, "key", "left")
-        .join(roots.withColumnRenamed("node", "key"), "key", "left")
-        .select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")),
-        "placed",
-    )
-    least = written(placed.groupBy("root").agg(F.min("least").alias("class_id")), "least")
-    named = written(placed.hint("shuffle_merge").join(least, "root").select("key", "n_links", "class_id", F.col("root").alias("group")), "named")
+    named = settled(classes, compare(units, found, linker(threshold, tolerance)))
     return (
         signs.select("_id", "_th", "key").hint("shuffle_merge").join(named, "key")
         .select(F.col("_id").alias(id_col), "class_id", "n_links", "group", F.col("_th").alias("text_hash"))

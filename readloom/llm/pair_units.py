@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import components, written
 
 RESULT = "key binary, links long, toward binary"
 
@@ -97,6 +97,26 @@ def compare(units: DataFrame, payload: DataFrame, linked: Callable) -> DataFrame
     return rows.groupBy("leader", "i", "j").applyInArrow(run, RESULT)
 
 
+def settled(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (key, copies, least) and what compare returned -> (key, n_links, class_id, group) for each class.
+
+    n_links counts the other rows that a row of the class is linked to, its copies included; class_id is the least id of
+    the group, which `group` names by a key.
+    """
+    links = written(links, "links")
+    roots = components(links.select(F.col("key").alias("a"), F.col("toward").alias("b")))
+    counted = links.groupBy("key").agg(F.sum("links").alias("links"))
+    placed = written(
+        classes.select("key", "copies", "least")
+        .join(counted, "key", "left")
+        .join(roots.withColumnRenamed("node", "key"), "key", "left")
+        .select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("group")),
+        "placed",
+    )
+    least = written(placed.groupBy("group").agg(F.min("least").alias("class_id")), "least")
+    return written(placed.hint("shuffle_merge").join(least, "group").select("key", "n_links", "class_id", "group"), "named")
+
+
 class Forest:
     """Connected components within a unit."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, line_dedup, media, mixing, ngram_jaccard, pii, secrets, toxicity
+from . import bpe, embedding_dedup, line_dedup, media, mixing, ngram_jaccard, pii, secrets, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op3_bpe": bpe.op3_bpe,
         "op10_media": media.op10_media,
         "pipeline": corpus_pipeline.run,
+        "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_pii": pii.op6_pii,
         "op8_toxicity": toxicity.op8_toxicity,
@@ -24,6 +25,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": ngram_jaccard.OP1_SQL,
+        "op4_embedding_dedup": embedding_dedup.OP4_SQL,
         "op5_line_dedup": line_dedup.OP5_SQL,
         "op6_pii": pii.OP6_SQL,
         "op9_mixing": mixing.OP9_SQL,
