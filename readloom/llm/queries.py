@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, embedding_dedup, line_dedup, media, mixing, ngram_jaccard, pii, secrets, toxicity
+from . import bpe, embedding_dedup, html_extraction, line_dedup, media, mixing, ngram_jaccard, pii, secrets, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_pii": pii.op6_pii,
+        "op7_html_text": html_extraction.op7_html_text,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
     }
