@@ -67,7 +67,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.withColumn(th, F.xxhash64(col(text_col)))
     later = later.select(*(F.col(c).alias(n) for c, n in zip(later.columns, fresh(rows, "id2", "th2", at), strict=True)))
     id2, th2, at2 = later.columns
-    joined = rows.join(later, rows[f"`{id_col}`"].eqNullSafe(later[id2]) & (rows[th] == later[th2]), "left")
+    joined = rows.hint("shuffle_merge").join(later, rows[f"`{id_col}`"].eqNullSafe(later[id2]) & (rows[th] == later[th2]), "left")
     joined = joined.withColumn(lines, F.split(col(text_col).cast("string"), "\n"))
     kept = F.when(F.col(at2).isNull(), F.col(lines)).otherwise(kept_lines(F.col(lines), F.col(at2)))
     joined = joined.withColumn(at, kept)
