@@ -309,23 +309,31 @@ class Writer(DataSourceArrowWriter):
         name = f"part-{task.partitionId() if task else 0:05d}-{self.job}.{sinks.SUFFIX[self.kind]}"
         checks, encoder, rows = sinks.Checks(*self.how), sinks.Encoder(self.kind, self.level), 0
         temporary = self.hidden(f"{task.taskAttemptId() if task else 0}-{name}")
-        with sinks.output(temporary) as f:
+        f = None  # a task without rows makes no file
+        try:
             for b in iterator:
                 out = []
                 for header, seq, qual in zip(*(b.column(c).to_pylist() for c in ("header", "seq", "qual")), strict=True):
-                    try:
-                        checks.check(header, seq, qual)
-                    except ReadError as e:
-                        raise e from None
+                    checks.check(header, seq, qual)
                     out.append(b"@%b\n%b\n+\n%b\n" % (header, seq, qual))
-                rows += len(out)
-                f.write(encoder.add(b"".join(out)))
-            f.write(encoder.finish())
-        return Written(temporary, rows)
+                if out:
+                    f = f or sinks.output(temporary)
+                    rows += len(out)
+                    f.write(encoder.add(b"".join(out)))
+            if f:
+                f.write(encoder.finish())
+                f.close()
+        except BaseException:
+            if f:
+                f.close()
+                system, inner = sinks.file_system(temporary)
+                system.delete_file(inner)
+            raise
+        return Written(temporary if f else "", rows)
 
     def commit(self, messages):
         system, inner = sinks.file_system(self.path)
-        done = [m for m in messages if m is not None]
+        done = [m for m in messages if m is not None and m.file]
         kept = []
         for m in done:
             name = re.sub(rf"^\.{self.job}-\d+-", "", os.path.basename(m.file))
@@ -347,6 +355,7 @@ class Writer(DataSourceArrowWriter):
             for f in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
                 if f.type == fs.FileType.File and not os.path.basename(f.path).startswith(f".{self.job}-"):
                     system.delete_file(f.path)
+        system.create_dir(inner, recursive=True)
         for name, file in kept:
             system.move(sinks.file_system(file)[1], f"{inner.rstrip('/')}/{name}")
 
