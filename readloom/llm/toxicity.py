@@ -1,12 +1,12 @@
 """Toxicity (operator 8): subword-bag embeddings, averaged into a linear softmax, trained jointly in numpy.
 
-A text is the average of its words' vectors, a word the average of the vectors of its character n-grams (3 to 5, with word
+A text is the average of its words' vectors, a word the average of the vectors of its character n-grams (3 to 6, with word
 ends marked) and of itself, each found in a table of BUCKETS vectors by hash; a misspelt or unseen word shares most n-grams with
 the words it comes from. A linear softmax over that average gives the probabilities of the classes. Table and softmax are trained
 together by gradient descent on mini-batches. They start from log ratios of document counts, cut at LEAST_RATIO, so that the few
 n-grams that mark a class speak first and chance ones stay silent; measured on held-out rows, that is what keeps clean texts clean.
 
-Training rows are a bounded sample of the labelled rows: of each class at most `per_class` documents of at most `most_chars`
+Training rows are a bounded sample of the labelled rows: of class 0 and 1 at most `per_class` documents of at most `most_chars`
 characters, in order of a hash of the id. That bound alone limits what the driver gets. The trained model travels as the
 buckets' class scores (table times softmax: BUCKETS floats), which give the same scores as the vectors. Scoring is by row: no shuffle.
 
@@ -31,8 +31,8 @@ from .common import col, fresh, process_cache, text_of
 
 BUCKETS = 1 << 18
 DIMENSIONS = 8
-GRAMS = (3, 4, 5)
-PER_CLASS = 1500
+GRAMS = (3, 4, 5, 6)
+PER_CLASS = (2500, 1000)
 MOST_CHARS = 20_000
 EPOCHS = 6
 #: The average is multiplied by this; averages over whole texts are small.
@@ -41,7 +41,8 @@ RATE = 0.5
 #: The rate's multiples for the embeddings, the softmax and its bias.
 PACE = (0.02, 0.02, 0.5)
 #: Texts added to each bucket's counts of both classes before the ratio that training starts from.
-SMOOTHING = 4.0
+SMOOTHING = 1.0
+RIDGE = 0.3
 #: Log ratios start from zero up to this, so that only buckets that tell the classes apart speak at first.
 LEAST_RATIO = 1.5
 FOLDS = 5
@@ -63,25 +64,27 @@ def words_of(text: str) -> list[str]:
 
 
 class Bags:
-    """Texts as rows of (bucket, share): how much of the average each bucket's vector has."""
+    """Texts as rows of (bucket, share): how much of the average each bucket's vector has; a bucket is in a row once."""
 
     def __init__(self, texts: list[str]):
-        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        known: dict[str, np.ndarray] = {}
         parts, shares, ends = [], [], [0]
         for text in texts:
             counts: dict[str, int] = {}
             for w in words_of(text):
                 counts[w] = counts.get(w, 0) + 1
-            total, size = sum(counts.values()), 0
-            for w, n in counts.items():
+            for w in counts:
                 if w not in known:
-                    b = np.array(buckets_of(w), np.int32)
-                    known[w] = b, np.full(len(b), 1 / len(b), np.float32)
-                b, s = known[w]
-                parts.append(b)
-                shares.append(s * np.float32(n / total))
-                size += len(b)
-            ends.append(ends[-1] + size)
+                    known[w] = np.array(buckets_of(w), np.int32)
+            found = [known[w] for w in counts]
+            sizes = np.array([len(x) for x in found], np.int64)
+            each = np.array(list(counts.values()), np.float64) / max(1, sum(counts.values()))
+            used, back = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_inverse=True)
+            parts.append(used)
+            shares.append(np.bincount(back, np.repeat(each / np.maximum(sizes, 1), sizes), len(used)).astype(np.float32))
+            ends.append(ends[-1] + len(used))
+            if len(known) > REMEMBERED // 10:
+                known.clear()
         self.bucket = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         self.share = np.concatenate(shares) if shares else np.zeros(0, np.float32)
         self.ends = np.array(ends)
@@ -97,9 +100,8 @@ def trained(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     rng = np.random.default_rng(seed)
     bags = Bags(texts)
     # start: a bucket's vector points along one direction by the smoothed log ratio of the classes' shares of texts that have it
-    row = np.repeat(np.arange(len(texts)), np.diff(bags.ends))
-    pairs = np.unique(row.astype(np.int64) * BUCKETS + bags.bucket)
-    had = [np.bincount(pairs[labels[pairs // BUCKETS] == c] % BUCKETS, minlength=BUCKETS) for c in (0, 1)]
+    ones = np.repeat(labels == 1, np.diff(bags.ends))
+    had = [np.bincount(bags.bucket[ones == c], minlength=BUCKETS) for c in (False, True)]
     many = np.bincount(labels, minlength=2)
     ratio = np.log((had[1] / many[1] + SMOOTHING / many.min()) / (had[0] / many[0] + SMOOTHING / many.min()))
     ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - LEAST_RATIO, 0)
@@ -133,7 +135,16 @@ def trained(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: in
                 v *= 0.9
                 v -= (rate * scale * g).astype(np.float32)
                 q += v
-    return (SHARPNESS * (table @ (soft[1] - soft[0]))).astype(np.float32), float(bias[1] - bias[0])
+    # last, the softmax alone to its optimum over all rows: Newton steps for its sharpness and bias, with a light ridge
+    scores = (SHARPNESS * (table @ (soft[1] - soft[0]))).astype(np.float32)
+    owner = np.repeat(np.arange(len(texts)), np.diff(bags.ends))
+    x = np.stack([np.bincount(owner, bags.share * scores[bags.bucket], len(texts)), np.ones(len(texts))], axis=1)
+    w = np.array([1.0, float(bias[1] - bias[0])])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        slope = x.T @ (p - labels) + RIDGE * w
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(2), slope)
+    return (w[0] * scores).astype(np.float32), float(w[1])
 
 
 class WordScores(dict):
@@ -170,7 +181,7 @@ def held_out(ids):
     return F.coalesce(F.crc32(ids.cast("string")) % FOLDS == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, most_chars: int = MOST_CHARS):
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = PER_CLASS, most_chars: int = MOST_CHARS):
     """The model (bucket scores, bias), learnt from labelled rows that are not held out."""
     known = labels.select(col(id_col).alias("_id"), col(label_col).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)").where(~held_out(F.col("_id"))).distinct()
     texts = docs.select(col(id_col).alias("_id"), text_of(docs, text_col).alias("_text")).where(F.length("_text").between(1, most_chars))
@@ -178,12 +189,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = F.xxhash64("_id")
     ids = None
     for y in (0, 1):
-        some = known.where(F.col("_y") == y).orderBy(order, "_id").limit(2 * per_class)
+        some = known.where(F.col("_y") == y).orderBy(order, "_id").limit(2 * per_class[y])
         ids = some if ids is None else ids.union(some)
-    joined = texts.join(F.broadcast(ids), "_id")  # at most 4 * per_class ids
+    joined = texts.join(F.broadcast(ids), "_id")  # at most twice as many ids as the sample has rows
     rows = []
     for y in (0, 1):
-        rows += joined.where(F.col("_y") == y).orderBy(order, "_id", F.xxhash64("_text")).limit(per_class).select("_text", "_y").collect()
+        rows += joined.where(F.col("_y") == y).orderBy(order, "_id", F.xxhash64("_text")).limit(per_class[y]).select("_text", "_y").collect()
     y = np.array([r["_y"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
