@@ -27,11 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/readloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/readloom-{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that `written` has made in this application; results that still read them are lost."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/readloom-{sc.applicationId}-*")
+    system = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    for found in system.globStatus(path) or []:
+        system.delete(found.getPath(), True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df does not have, whatever its case rules."""
     taken = {c.lower() for c in df.columns}

@@ -106,9 +106,13 @@ def kind_of(c: str) -> int:
 
 def random_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, float]]:
     """(start, end, encoding, adjusted p) of the text's random runs outside the spans taken."""
-    found = []
+    found, taken, at = [], sorted(taken), 0
+    reach = 0  # the furthest end of the spans that start before the run's end
     for m in RUN.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b in taken):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][1])
+            at += 1
+        if m.start() < reach:
             continue
         run = m.group()
         kinds = [kind_of(c) for c in run]
