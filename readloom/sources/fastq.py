@@ -11,6 +11,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -132,6 +133,12 @@ def planned(file: str, o: Options) -> list[Split]:
     ]
 
 
+def plans(files: list[str], o: Options) -> list[Split | None]:
+    """The splits of all files, which are looked into side by side: planning waits for storage, not for the processor."""
+    with ThreadPoolExecutor(32) as pool:
+        return [s for found in pool.map(lambda f: planned(f, o), files) for s in found] or [None]
+
+
 class Source:
     """Decoded chunks of a split, with the blocks they came from."""
 
@@ -245,7 +252,7 @@ class Reader(DataSourceReader):
         self.paths, self.o = options["path"], Options(options)
 
     def partitions(self):
-        return [s for f in listed(self.paths) for s in planned(f, self.o)] or [None]
+        return plans(listed(self.paths), self.o)
 
     def read(self, partition):
         return iter(()) if partition is None else batches(partition, self.o)
@@ -269,7 +276,7 @@ class StreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict):
         low, high = (start["time"], start["file"]), (end["time"], end["file"])
-        return [s for t, f in self.files() if low < (t, f) <= high for s in planned(f, self.o)] or [None]
+        return plans([f for t, f in self.files() if low < (t, f) <= high], self.o)
 
     def read(self, partition):
         return iter(()) if partition is None else batches(partition, self.o)
