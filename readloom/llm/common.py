@@ -65,11 +65,13 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
 
 
 def process_cache(name: str, make):
-    """An object kept for the life of the Python worker, over its tasks."""
+    """An object that a Python worker keeps over its tasks, until another name is asked for: one cache at a time."""
     module = sys.modules.setdefault("_readloom_process_cache", types.ModuleType("_readloom_process_cache"))
-    if name not in module.__dict__:
-        module.__dict__[name] = make()
-    return module.__dict__[name]
+    held = module.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()
+        held[name] = make()
+    return held[name]
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
