@@ -83,7 +83,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         """df with the sum of sizes in the source's order up to and with the row, and the source's size and target."""
         inside = Window.partitionBy(*by).orderBy(*order_by, size_name).rowsBetween(Window.unboundedPreceding, 0)
         table = starts.select(*(F.col(c).alias(n) for c, n in zip(("unknown", "source", "bucket"), by, strict=True)), F.col("start").alias(start), "source_size", "target")
-        return df.withColumn(cum, F.sum(size_name).over(inside)).join(table, by).withColumn(cum, F.col(cum) + F.col(start))
+        return df.withColumn(cum, F.sum(size_name).over(inside)).hint("shuffle_merge").join(table, by).withColumn(cum, F.col(cum) + F.col(start))
 
     def finish(pass_no):
         return F.when(F.col("target") > 0, (F.col("source_size") * pass_no + F.col(cum)) / F.col("target"))
