@@ -77,9 +77,10 @@ def process_cache(name: str, make):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) for each node of an edge; root is the least node.
 
-    Alternates large-star and small-star steps. A step is two aggregations with map-side combining and one join, so
-    that a hub's rows can be split; the number of rounds grows with the logarithm of the longest path. Each round's
-    edges are written to the shared folder; nothing is collected but one count and one checksum.
+    Alternates large-star and small-star steps. A step aggregates with map-side combining, writes the least neighbours, and
+    joins them with the edges, each side dealt for the join alone, so that Spark can split a hub's rows; the number of rounds
+    grows with the logarithm of the longest path. Each round's edges are written to the shared folder; nothing is collected but
+    one count and one checksum.
     """
     now = written(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
@@ -88,7 +89,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # large star: every larger neighbour of a node is tied to the least one around that node
         both = now.select("a", "b").union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = (
             both.hint("shuffle_merge")
             .join(least, "a")
@@ -99,7 +100,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         large = written(large, "large")
         # small star: every smaller neighbour of a node, and the node, are tied to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = (
             large.hint("shuffle_merge")
             .join(least, "a")
