@@ -7,7 +7,7 @@ end divided by the source's target. Documents of all sources are merged by that
 
 Running sums are taken in two levels, so that no source and no time range has to be in one task: the shuffled order is cut
 into `BUCKETS` ranges a source and the queue into `SLICES` ranges of time; sums of ranges are aggregated with map-side combining,
-and only the rows of one range are ever in order in one task. What reaches the driver are four numbers.
+and only the rows of one range are ever in order in one task. What reaches the driver are five numbers.
 
 Results that the cases have: a null text has size 0; null doc_ids and repeated rows are ordinary rows, and those alike in order,
 id, text and size are told apart arbitrarily, which leaves the rows of the result the same; a null source is a source of its
@@ -26,6 +26,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_PASSES = 3
 BUCKETS = 4096
 SLICES = 8192
+LATE = 1.5
 SEED = "mix"
 
 
@@ -90,17 +91,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     passes = F.array(*map(F.lit, range(max_passes)))
     queue = placed(slim, ["unknown", "source", "bucket"], ["order", "tie"], "size").where("target > 0 AND size > 0")
-    queue = written(queue.withColumn("pass", F.explode(passes)).select("size", finish(F.col("pass")).alias("time")).where("time < 1.5"), "queue")
-    slices = queue.groupBy(F.floor(F.col("time") * SLICES).alias("slice")).agg(F.sum("size").alias("words"))
+    queue = written(queue.withColumn("pass", F.explode(passes)).select("size", finish(F.col("pass")).alias("time")), "queue")
+    # the cut is near time 1 unless a few documents hold most words; ranges after LATE widen, so that their number stays small
+    late = F.lit(LATE) + F.log2(F.col("time") / LATE)
+    piece = F.floor(F.when(F.col("time") < LATE, F.col("time")).otherwise(late) * SLICES)
+    slices = queue.groupBy(piece.alias("slice")).agg(F.sum("size").alias("words"), F.max("time").alias("latest"))
     running = slices.withColumn("until", F.sum("words").over(Window.orderBy("slice")))
-    cut = running.where(F.col("until") > budget).agg(F.min(F.struct("slice", (F.col("until") - F.col("words")).alias("start")))).first()[0]
-    last = float("inf")
+    cut, last = running.agg(
+        F.min(F.when(F.col("until") > budget, F.struct("slice", (F.col("until") - F.col("words")).alias("start")))), F.max(F.when(F.col("until") <= budget, F.col("latest")))
+    ).first()
     if cut is not None:
-        inside = queue.where(F.floor(F.col("time") * SLICES) == cut["slice"]).withColumn("until", F.sum("size").over(Window.orderBy("time")) + cut["start"])
+        inside = queue.where(piece == cut["slice"]).withColumn("until", F.sum("size").over(Window.orderBy("time")) + cut["start"])
         found = inside.where(F.col("until") <= budget).agg(F.max("time")).first()[0]
-        last = found if found is not None else cut["slice"] / SLICES
-    inner = cut is not None and found is None
-    taken = F.size(F.filter(F.transform(passes, finish), lambda t: (t < last) if inner else (t <= last)))
+        last = last if found is None else found
+    taken = F.size(F.filter(F.transform(passes, finish), lambda t: t <= F.lit(last)))
     drop = [c for c in rows.columns if c.lower() in ("size", "source_size", "target", "taken")]
     full = placed(rows.drop(*drop), [unknown, source, bucket], [order, tie], size)
     full = full.withColumn("taken", F.when((F.col("target") > 0) & (F.col(size) > 0), taken).otherwise(0) * F.col(size))

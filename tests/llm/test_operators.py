@@ -142,6 +142,18 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[("a", 100)], [("a", 100), ("b", 100)], [("a", 100), ("a", 1)], [("a", 1), ("b", 300), (None, 2)], [("a", 90), ("b", 100), ("b", 100)], [("a", 1)] * 9 + [("b", 100)]])
+def test_mixing_of_few_documents_agrees_with_sql(spark, sizes):
+    # a few documents hold most words, so the cut is late
+    rows = [(k, " ".join(["w"] * n), s) for k, (s, n) in enumerate(sizes)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    got = sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in mixing.mix(docs(spark, rows)).collect())
+    assert got == sorted(c.execute(mixing.OP9_SQL).fetchall())
+    assert sum(r[4] for r in got) <= sum(n for _, n in sizes)
+
+
 def test_bpe_is_the_library(spark):
     from tokenizers import Tokenizer
 
