@@ -3,8 +3,10 @@ r"""Secret scans (operator 2): expressions and a battery of randomness tests und
 Base kinds, each leftmost and non-overlapping: assign (a password-like name, a separator and a value of 8 or more characters),
 access (an access key id of 16 or more characters) and hex (32 or more lowercase hexadecimal digits).
 
-The method adds spans of kind `random`: runs of 20 or more characters of [A-Za-z0-9+/_=-] that touch no base span. For
-each run the encoding is inferred as the smallest alphabet that holds it (digits, hex, HEX, base32, letters and digits, base64).
+The method adds spans of kind `random`: runs of 20 or more characters of [A-Za-z0-9+/_-] that touch no base span; `=` belongs to a run
+only as padding at its end, so that the value of NAME=value is a run. A run that has no encoding, or is not random in it, gives way to
+its parts of 20 or more characters between / and +, between _ and -, or between all four, if it has such; of overlapping random
+parts the one with the least p-value counts. For each run or part the encoding is inferred as the smallest alphabet that holds it (digits, hex, HEX, base32, letters and digits, base64).
 Under the hypothesis of independent uniform symbols of that alphabet three tests give p-values:
 chi-squared of symbol counts against uniformity (symbols binned so that a bin expects five or more), runs above and below the alphabet's
 middle (Wald-Wolfowitz), and serial correlation at lag one. A run is random if none is below ALPHA / 3. How unlikely
@@ -19,6 +21,7 @@ that repeat have the same result; extra columns are ignored; an empty table give
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -34,7 +37,10 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{14,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?")
+LEAST = 20
+#: Parts of a run between joiners; padding stays with the last one.
+PARTS = tuple(re.compile(rf"[A-Za-z0-9{c}=]{{{LEAST},}}") for c in ("_\\-", "+/", ""))
 KINDS = ("assign", "access", "hex", "random")
 ALPHA = 0.001
 FDR = 0.01
@@ -104,6 +110,25 @@ def kind_of(c: str) -> int:
     return 0 if c in LOWER else 1 if c in UPPER else 2 if c in DIGITS else 3
 
 
+def tested(run: str) -> list[tuple[int, int, str, bool]]:
+    """(start, end, encoding, whether random in it) of the run, or of its parts if it is not random and has any."""
+    code = inferred(run)
+    if code and min(battery(run, code[1])) >= ALPHA / 3:
+        return [(0, len(run), code[0], True)]
+    out = []
+    for s, e in sorted({m.span() for part in PARTS for m in part.finditer(run)} - {(0, len(run))}):
+        code = inferred(run[s:e])
+        out.append((s, e, code[0] if code else "", bool(code) and min(battery(run[s:e], code[1])) >= ALPHA / 3))
+    return out or [(0, len(run), code[0] if code else "", False)]
+
+
+def ordinary(run: str) -> float:
+    """How likely ordinary text changes its class of characters as often as the run."""
+    kinds = [kind_of(c) for c in run]
+    changes = sum(a != b and 3 not in (a, b) and (a, b) != (1, 0) for a, b in zip(kinds, kinds[1:], strict=False))
+    return binomial_tail(len(run) - 1, CHANGES, changes)
+
+
 def random_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, float]]:
     """(start, end, encoding, adjusted p) of the text's random runs outside the spans taken."""
     found, taken, at = [], sorted(taken), 0
@@ -112,14 +137,10 @@ def random_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int,
         while at < len(taken) and taken[at][0] < m.end():
             reach = max(reach, taken[at][1])
             at += 1
-        if m.start() < reach:
+        if m.start() < reach or m.end() - m.start() < LEAST:
             continue
-        run = m.group()
-        kinds = [kind_of(c) for c in run]
-        changes = sum(a != b and 3 not in (a, b) and (a, b) != (1, 0) for a, b in zip(kinds, kinds[1:], strict=False))
-        code = inferred(run)
-        random = bool(code) and min(battery(run, code[1])) >= ALPHA / 3
-        found.append((m.start(), m.end(), code[0] if code else "", binomial_tail(len(run) - 1, CHANGES, changes), random))
+        for s, e, code, random in tested(m.group()):
+            found.append((m.start() + s, m.start() + e, code, ordinary(m.group()[s:e]), random))
     if not found:
         return []
     # weighted Benjamini-Hochberg: p over weight, weights in proportion to length
@@ -128,7 +149,12 @@ def random_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int,
     order = np.argsort(p, kind="stable")
     adjusted = np.empty(len(p))
     adjusted[order] = np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
-    return [(s, e, code, float(q)) for (s, e, code, _, random), q in zip(found, adjusted, strict=True) if random and q <= FDR]
+    out, least = [], sorted((float(q), s, -e, code) for (s, e, code, _, random), q in zip(found, adjusted, strict=True) if random and q <= FDR)
+    for q, s, e, code in least:
+        near = bisect.bisect(out, (s,))
+        if (near == 0 or out[near - 1][1] <= s) and (near == len(out) or out[near][0] >= -e):
+            out.insert(near, (s, -e, code, q))
+    return out
 
 
 def scan(text: str) -> list[tuple[int, int, int, str, float]]:

@@ -214,6 +214,21 @@ def test_secrets(spark):
     assert secrets.secret_scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_after_names_and_joiners():
+    rng, forms = random.Random(8), ("AWS_SECRET_ACCESS_KEY={}", "AUTH={}", "https://h.example/x?a=1&sig={}", "a={};b", "files/of/some_common-words/{}", "with_a+{}")
+    for form in forms:
+        found = 0
+        for _ in range(100):
+            value = base64.urlsafe_b64encode(bytes(rng.randrange(256) for _ in range(30))).decode()
+            text = f"then {form.format(value)} ends"
+            found += any(k == 3 and text[s:e].endswith(value) for s, k, e, *_ in secrets.scan(text))
+        assert found >= 85, form
+    padded = base64.b64encode(bytes(rng.randrange(256) for _ in range(31))).decode()
+    assert padded.endswith("==") and [t[s:e] for t in [f"KEY={padded}"] for s, *_, e, _, _ in secrets.scan(t)] == [padded]
+    for plain in ("NAME=the_quick_brown_fox_jumps_over", "some/long/path/of_plain-words/without/any/key=value", "=" * 50, "a=b" * 30):
+        assert not secrets.scan(f"then {plain} ends")
+
+
 def test_pii(spark):
     texts = {
         20: "mail a.b@c.d_e@f.gh now", 21: "at 1.2.3.4.5.6.7.8 or 256.1.1.1 or 010.0.0.255", 22: "card 4111 1111 1111 1111, 4111-1111-1111-1112 5500005555555559",
