@@ -214,6 +214,18 @@ def test_secrets(spark):
     assert secrets.secret_scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_of_one_class():
+    rng = random.Random(9)
+    for symbols, least in (("abcdefghijklmnopqrstuvwxyz", 90), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 90), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 90), ("0123456789", 0)):
+        found = 0
+        for _ in range(100):
+            value = "".join(rng.choice(symbols) for _ in range(28))
+            found += any(k == 3 for _, k, *_ in secrets.scan(f"the value {value} ends"))
+        assert found >= least, symbols
+    for plain in ("donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "electroencefalografista", "ACCESSIBILITYNOTIFICATIONS", "abcdefghijklmnopqrstuvwxyz"):
+        assert not secrets.scan(f"the value {plain} ends")
+
+
 def test_secrets_after_names_and_joiners():
     rng, forms = random.Random(8), ("AWS_SECRET_ACCESS_KEY={}", "AUTH={}", "https://h.example/x?a=1&sig={}", "a={};b", "files/of/some_common-words/{}", "with_a+{}")
     for form in forms:
