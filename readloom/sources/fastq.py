@@ -56,6 +56,12 @@ def listed(path: str) -> list[str]:
     return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and not os.path.basename(f.path).startswith(("_", ".")))
 
 
+def modified(file: str) -> int:
+    """The modification time in nanoseconds; 0 if the file system has none."""
+    system, inner = sinks.file_system(file)
+    return system.get_file_info(inner).mtime_ns or 0
+
+
 @dataclass
 class Split(InputPartition):
     file: str
@@ -259,24 +265,33 @@ class Reader(DataSourceReader):
 
 
 class StreamReader(DataSourceStreamReader):
-    """Files that appear in a folder, in order of modification time and name; each is read whole, once."""
+    """Files that appear in a folder; each is read whole, once, whatever its name and modification time.
+
+    An offset names the files that the folder held: a batch has those that its end names and its start does not, in order of
+    modification time and name. A file that goes and comes back in a later batch counts as new.
+    """
 
     def __init__(self, options):
         self.paths, self.o = options["path"], Options(options)
 
-    def files(self) -> list[tuple[int, str]]:
-        return sorted((os.stat(f).st_mtime_ns, f) for f in listed(self.paths)) if "://" not in self.paths else [(k, f) for k, f in enumerate(listed(self.paths))]
-
     def initialOffset(self) -> dict:
-        return {"time": -1, "file": ""}
+        return {"files": []}
 
     def latestOffset(self) -> dict:
-        found = self.files()
-        return {"time": found[-1][0], "file": found[-1][1]} if found else self.initialOffset()
+        return {"files": sorted(set(listed(self.paths)))}
+
+    def seen(self, offset: dict) -> set[str]:
+        if "files" in offset:
+            return set(offset["files"])
+        # of a checkpoint by an earlier version: the last file's time and name; of a URI only the name counted
+        last = (offset["time"], offset["file"])
+        return {f for f in listed(self.paths) if (f <= last[1] if "://" in self.paths else (modified(f), f) <= last)}
 
     def partitions(self, start: dict, end: dict):
-        low, high = (start["time"], start["file"]), (end["time"], end["file"])
-        return plans([f for t, f in self.files() if low < (t, f) <= high], self.o)
+        new = list(self.seen(end) - self.seen(start))
+        with ThreadPoolExecutor(32) as pool:
+            times = list(pool.map(modified, new))
+        return plans([f for _, f in sorted(zip(times, new, strict=True))], self.o)
 
     def read(self, partition):
         return iter(()) if partition is None else batches(partition, self.o)

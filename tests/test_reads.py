@@ -227,3 +227,20 @@ def test_messages_parse():
     ):
         got = errors.parsed(f"worker said: {e}\nat line 3")
         assert (got.variant, got.kind, got.offset, got.record, got.byte) == (e.variant, e.kind, e.offset, e.record, e.byte)
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_stream_reads_late_files_once(spark, tmp_path, scheme):
+    from readloom.api import stream_reads
+    from readloom.streaming.reads import write_stream
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    # a file that sorts first, and one with an older modification time, come after others were read
+    for batch in ((("b", 3000), ("d", 3000)), (("a", 4000),), (("e", 1000), ("c", 2000))):
+        for name, time in batch:
+            (folder / f"{name}.fastq").write_bytes(b"@%b\nA\n+\nI\n" % name.encode())
+            os.utime(folder / f"{name}.fastq", (time, time))
+        write_stream(stream_reads(spark, f"{scheme}{folder}"), str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(100)
+    found = [line for f in sorted((tmp_path / "out").rglob("part-*")) for line in f.read_bytes().split(b"\n") if line.startswith(b"@")]
+    assert sorted(found) == [b"@a", b"@b", b"@c", b"@d", b"@e"]
