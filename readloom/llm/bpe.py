@@ -28,8 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import col, process_cache, text_of
 
-#: Pieces whose ids a worker remembers; it forgets all when it has so many.
-REMEMBERED = 700_000
+#: Bytes of pieces and ids that a worker remembers, what Python needs to hold them included; it forgets all when it has so many.
+REMEMBERED = 48 << 20
+#: Bytes that Python needs for an entry besides the characters and ids: two objects and a place in the table.
+ENTRY = 190
+#: Bytes of ids and decoded text that an Arrow batch of the result aims at.
+EMITTED = 4 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -95,6 +99,7 @@ class Codec(dict):
         for s, i in [*self.vocab.items(), *special.items()]:
             self.strings[i] = s
         symbols = byte_symbols()
+        self.held = 0  # bytes of remembered pieces
         self.inner = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + self.suffix] for s in symbols]
 
@@ -127,10 +132,13 @@ class Codec(dict):
         return [s for s in symbols if s >= 0]
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
         ids = self.merged(piece.encode())
-        value = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        value = struct.pack(f"<{len(ids)}I", *ids)
+        self.held += len(piece) * (1 if piece.isascii() else 4) + len(value) + ENTRY
+        if self.held > REMEMBERED:
+            self.clear()
+            self.held = len(piece) * 4 + len(value) + ENTRY
+        self[piece] = value
         return value
 
     def encoded(self, text: str) -> bytes:
@@ -159,37 +167,46 @@ def codec(path: str) -> Codec:
     return process_cache(f"codec {path}", lambda: Codec(path))
 
 
-def coder(path: str, digests: bool):
+def coder(path: str, digests: bool, decode: bool):
+    """Arrow batches of `_text` to ids and decoded text, or their digests; a batch of the result ends once it holds EMITTED bytes."""
+    schema = pa.schema([("n", pa.int64()), ("i", pa.string() if digests else pa.list_(pa.int32())), *([("d", pa.string())] if decode else [])])
+
+    def emitted(ids: pa.Array, columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(columns, schema, strict=False))], ["_id", *schema.names])
+
     def run(batches):
         c = codec(path)
         for batch in batches:
-            n, ids, decoded = [], [], []
-            for text in batch["_text"]:
+            begun, size, n, ids, decoded = 0, 0, [], [], []
+            for k, text in enumerate(batch["_text"]):
                 blob = c.encoded(text.as_py())
-                whole = c.decode(np.frombuffer(blob, "<u4").tolist())
                 n.append(len(blob) // 4)
-                if digests:
-                    ids.append(hashlib.sha256(blob).hexdigest())
-                    decoded.append(hashlib.sha256(whole.encode()).hexdigest())
-                else:
-                    ids.append(np.frombuffer(blob, "<u4").astype(np.int32))
-                    decoded.append(whole)
-            kind = pa.string() if digests else pa.list_(pa.int32())
-            yield pa.RecordBatch.from_pydict({"_id": batch["_id"], "n": pa.array(n, pa.int64()), "i": pa.array(ids, kind), "d": pa.array(decoded, pa.string())})
+                ids.append(hashlib.sha256(blob).hexdigest() if digests else np.frombuffer(blob, "<u4").astype(np.int32))
+                size += len(ids[-1]) if digests else len(blob)
+                if decode:
+                    whole = c.decode(np.frombuffer(blob, "<u4").tolist())
+                    decoded.append(hashlib.sha256(whole.encode()).hexdigest() if digests else whole)
+                    size += len(decoded[-1])
+                if size >= EMITTED:
+                    yield emitted(batch["_id"].slice(begun, k + 1 - begun), [n, ids, decoded])
+                    begun, size, n, ids, decoded = k + 1, 0, [], [], []
+            if n:
+                yield emitted(batch["_id"].slice(begun), [n, ids, decoded])
 
     return run
 
 
-def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, keep: tuple[str, ...] = (), decode: bool = True) -> DataFrame:
     """One row a document: (id_col, n_tokens, ids, decoded), or SHA-256 digests of the two (ids_sha256, decoded_sha256).
 
-    Columns named in keep follow the id. No shuffle: a row depends on its text alone. path names the vocabulary file, which every executor can read.
+    Columns named in keep follow the id. Without decode nothing is decoded and that column is absent. No shuffle: a row depends on its text
+    alone. path names the vocabulary file, which every executor can read.
     """
     rows = docs.select(F.struct(col(id_col).alias("id"), *(col(c).alias(f"c{k}") for k, c in enumerate(keep))).alias("_id"), text_of(docs, text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    out = rows.mapInArrow(coder(path, digests), f"_id {kind}, n bigint, i {'string' if digests else 'array<int>'}, d string")
-    return out.select(F.col("_id.id").alias(id_col), *(F.col(f"_id.c{k}").alias(c) for k, c in enumerate(keep)), F.col("n").alias("n_tokens"), F.col("i").alias(names[0]), F.col("d").alias(names[1]))
+    names = dict(zip("id" if decode else "i", ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"), strict=False))
+    out = rows.mapInArrow(coder(path, digests, decode), f"_id {kind}, n bigint, i {'string' if digests else 'array<int>'}" + ", d string" * decode)
+    return out.select(F.col("_id.id").alias(id_col), *(F.col(f"_id.c{k}").alias(c) for k, c in enumerate(keep)), F.col("n").alias("n_tokens"), *(F.col(k).alias(n) for k, n in names.items()))
 
 
 def default_path() -> str:

@@ -47,7 +47,7 @@ RIDGE = 0.3
 LEAST_RATIO = 1.5
 FOLDS = 5
 #: Words whose scores a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 WORD = re.compile(r"\w+")
 
 
@@ -83,7 +83,7 @@ class Bags:
             parts.append(used)
             shares.append(np.bincount(back, np.repeat(each / np.maximum(sizes, 1), sizes), len(used)).astype(np.float32))
             ends.append(ends[-1] + len(used))
-            if len(known) > REMEMBERED // 10:
+            if len(known) > REMEMBERED // 3:
                 known.clear()
         self.bucket = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         self.share = np.concatenate(shares) if shares else np.zeros(0, np.float32)
