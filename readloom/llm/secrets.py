@@ -7,16 +7,21 @@ The method adds spans of kind `random`: runs of 20 or more characters of [A-Za-z
 only as padding at its end, so that the value of NAME=value is a run. A run that has no encoding, or is not random in it, gives way to
 its parts of 20 or more characters between / and +, between _ and -, or between all four, if it has such; of overlapping random
 parts the one with the least p-value counts. For each run or part the encoding is inferred as the smallest alphabet that holds it (digits, hex, HEX, letters of one case, base32, letters, letters and digits, base64).
-Under the hypothesis of independent uniform symbols of that alphabet three tests give p-values:
-chi-squared of symbol counts against uniformity (symbols binned so that a bin expects five or more), runs above and below the alphabet's
-middle (Wald-Wolfowitz), and serial correlation at lag one. A run is random if none is below ALPHA / 3; the others keep p-value 1.
-How unlikely ordinary text is to look so is measured twice. The first p-value is the binomial tail of changes of character class (lower,
-upper, digit; joiners and the step from a capital to a small letter do not count) between neighbours. The second is the likelihood of
-the run's pairs of neighbouring letters, case aside, under PAIRS over that under independent uniform letters: under
-ordinary text the inverse exceeds 1/p with a probability of p at most. The least of both, each divided by its share (SHARES), is the
-p-value that Benjamini-Hochberg takes, over all runs of the text, at level FDR with weights in proportion to length (mean weight
-one), so that short runs need more evidence. Digits alone have neither evidence: a long random number cannot be told from an account
-or serial number. A text is its own family: the decision needs no other row.
+Three tests of the run in that encoding follow, each in both directions: how unlikely its statistic is if symbols are independent and
+uniform, and how unlikely it is that ordinary text looks as random by it.
+
+- chi-squared: counts of symbols against uniformity (symbols binned so that a bin expects five or more); against ordinary text, the
+  statistic of the letters' counts, case aside, is too small for letters that are as frequent as there (normal approximation).
+- runs: above and below the alphabet's middle (Wald-Wolfowitz); against ordinary text, the runs of one character class (lower, upper, digit; joiners and
+  the step from a capital to a small letter do not count) are too many, by the binomial tail of changes of class, exact at every length.
+- serial: correlation of neighbours at lag one; against ordinary text, the likelihood of the pairs of neighbouring letters under PAIRS over that
+  under independent uniform letters: under ordinary text the inverse exceeds 1/p with a probability of p at most.
+
+The battery gives one p-value: 1 if a test rejects uniformity at ALPHA / 3, else the least of the three p-values against ordinary text, each divided by its
+share (SHARES, which sum to one). Benjamini-Hochberg takes it, over all runs of the text, at level FDR with weights in proportion to length (mean weight
+one), so that short runs need more evidence. Digits alone have no evidence against ordinary text in any test: a long random number cannot be told from an account
+or serial number; from 32 digits on they are of kind hex. A UUID is an identifier, not a secret, and is passed over on purpose. A text is its own family: the
+decision needs no other row.
 
 Results that the cases have: null and empty texts have no spans and the digest of the empty string; null ids are ordinary rows; rows
 that repeat have the same result; extra columns are ignored; an empty table gives an empty result. Texts are searched whole.
@@ -49,8 +54,9 @@ ALPHA = 0.001
 FDR = 0.01
 #: The rate at which ordinary text of letters, digits and joiners changes character class between neighbours, with a margin.
 CHANGES = 0.12
-#: The shares of the error that the evidence of classes and that of letters may use.
-SHARES = (0.9, 0.1)
+#: The shares of the error that the chi-squared test, the runs test and the serial test may use.
+SHARES = (0.05, 0.85, 0.1)
+UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 #: For each letter a row of how much rarer than 1/26 each letter follows it in ordinary text, in steps of 1/4 of the natural logarithm
 #: from c = 0 (base 36), with a tenth of uniform letters: half from English Python modules, half from prose in four languages (sf0.01).
 PAIRS = (
@@ -83,13 +89,17 @@ def chi_tail(x: float, k: int) -> float:
 
 
 def binomial_tail(n: int, q: float, least: int) -> float:
-    """P(Binomial(n, q) >= least), by the Chernoff bound for long runs and exactly for short ones."""
+    """P(Binomial(n, q) >= least), term by term from the first, each from the one before it."""
     if least <= n * q:
         return 1.0
-    if n > 400:
-        r = least / n
-        return math.exp(-n * (r * math.log(r / q) + ((1 - r) * math.log((1 - r) / (1 - q)) if r < 1 else 0.0)))
-    return min(1.0, sum(math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(least, n + 1)))
+    log = math.lgamma(n + 1) - math.lgamma(least + 1) - math.lgamma(n - least + 1) + least * math.log(q) + (n - least) * math.log1p(-q)
+    term = total = 1.0  # over the first term; they fall, as least is above the mean
+    for k in range(least, n):
+        term *= (n - k) / (k + 1) * q / (1 - q)
+        total += term
+        if term < total * 1e-17:
+            break
+    return min(1.0, math.exp(log) * total)
 
 
 def inferred(run: str) -> tuple[str, str] | None:
@@ -98,8 +108,8 @@ def inferred(run: str) -> tuple[str, str] | None:
     return next(((name, symbols) for name, symbols in ENCODINGS if body and body <= set(symbols)), None)
 
 
-def battery(run: str, symbols: str) -> tuple[float, float, float]:
-    """P-values of the three tests of uniform independent symbols."""
+def uniform_tests(run: str, symbols: str) -> tuple[float, float, float]:
+    """P-values of the three tests under uniform independent symbols."""
     place = {c: k for k, c in enumerate(symbols)}
     x = np.array([place[c] for c in run.rstrip("=")], float)
     n, size = len(x), len(symbols)
@@ -125,35 +135,63 @@ def kind_of(c: str) -> int:
     return 0 if c in LOWER else 1 if c in UPPER else 2 if c in DIGITS else 3
 
 
-def tested(run: str) -> list[tuple[int, int, str, bool]]:
-    """(start, end, encoding, whether random in it) of the run, or of its parts if it is not random and has any."""
-    code = inferred(run)
-    if code and min(battery(run, code[1])) >= ALPHA / 3:
-        return [(0, len(run), code[0], True)]
-    out = []
-    for s, e in sorted({m.span() for part in PARTS for m in part.finditer(run)} - {(0, len(run))}):
-        code = inferred(run[s:e])
-        out.append((s, e, code[0] if code else "", bool(code) and min(battery(run[s:e], code[1])) >= ALPHA / 3))
-    return out or [(0, len(run), code[0] if code else "", False)]
-
-
 def letter_evidence() -> np.ndarray:
     """Logarithm of the likelihood of each letter after each one in ordinary text over 1/26."""
     x = np.exp(np.array([[12 - int(c, 36) for c in row] for row in PAIRS.split()]) / 4)
     return np.log(x / x.sum(axis=1, keepdims=True) * 26)
 
 
+def letter_shares() -> np.ndarray:
+    """How frequent each letter is in ordinary text: what the pairs leave as it is."""
+    share = np.full(26, 1 / 26)
+    for _ in range(50):
+        share = share @ (np.exp(LETTERS) / 26)
+    return share / share.sum()
+
+
 LETTERS = letter_evidence()
+SHARE = letter_shares()
 
 
-def ordinary(run: str) -> float:
-    """How unlikely it is that ordinary text looks as random as the run, by changes of class and by pairs of letters."""
+def ordinary_tests(run: str) -> tuple[float, float, float]:
+    """P-values of the three tests under ordinary text: how unlikely it is to look as random as the run."""
+    x = np.frombuffer(run.lower().encode(), np.uint8).astype(int) - 97
+    letter = (x >= 0) & (x < 26)
+    counts, n = np.bincount(x[letter], minlength=26), int(letter.sum())
+    p_chi = 1.0
+    if n > 1:
+        # the statistic is 26 / n times the sum of squares, less n; mean and variance of that sum under the ordinary shares
+        two, three = float((SHARE**2).sum()), float((SHARE**3).sum())
+        pairs = n * (n - 1)
+        mean, var = pairs * two, 2 * pairs * two + 4 * pairs * (n - 2) * three - 2 * pairs * (2 * n - 3) * two * two
+        p_chi = 0.5 * math.erfc(-(float((counts * (counts - 1)).sum()) - mean) / math.sqrt(2 * var))
     kinds = [kind_of(c) for c in run]
     changes = sum(a != b and 3 not in (a, b) and (a, b) != (1, 0) for a, b in zip(kinds, kinds[1:], strict=False))
-    x = np.frombuffer(run.lower().encode(), np.uint8).astype(int) - 97
-    both = (x[:-1] >= 0) & (x[:-1] < 26) & (x[1:] >= 0) & (x[1:] < 26)
-    pairs = math.exp(min(0.0, float(LETTERS[x[:-1][both], x[1:][both]].sum())))
-    return min(1.0, binomial_tail(len(run) - 1, CHANGES, changes) / SHARES[0], pairs / SHARES[1])
+    both = letter[:-1] & letter[1:]
+    p_serial = math.exp(min(0.0, float(LETTERS[x[:-1][both], x[1:][both]].sum())))
+    return p_chi, binomial_tail(len(run) - 1, CHANGES, changes), p_serial
+
+
+def battery(run: str, symbols: str) -> float | None:
+    """The one p-value of the battery against ordinary text; None if a test rejects uniform symbols of the encoding."""
+    if min(uniform_tests(run, symbols)) < ALPHA / 3:
+        return None
+    return min(1.0, *(p / share for p, share in zip(ordinary_tests(run), SHARES, strict=True)))
+
+
+def tested(run: str) -> list[tuple[int, int, str, float | None]]:
+    """(start, end, encoding, p-value or None) of the run, or of its parts if it is not random and has any."""
+    if UUID.fullmatch(run):
+        return []
+    code = inferred(run)
+    p = battery(run, code[1]) if code else None
+    if p is not None:
+        return [(0, len(run), code[0], p)]
+    out = []
+    for s, e in sorted({m.span() for part in PARTS for m in part.finditer(run)} - {(0, len(run))}):
+        code = inferred(run[s:e])
+        out.append((s, e, code[0] if code else "", battery(run[s:e], code[1]) if code else None))
+    return out or [(0, len(run), "", None)]
 
 
 def random_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, float]]:
@@ -166,17 +204,16 @@ def random_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int,
             at += 1
         if m.start() < reach or m.end() - m.start() < LEAST:
             continue
-        for s, e, code, random in tested(m.group()):
-            found.append((m.start() + s, m.start() + e, code, ordinary(m.group()[s:e]) if random else 1.0, random))
+        found += [(m.start() + s, m.start() + e, code, p) for s, e, code, p in tested(m.group())]
     if not found:
         return []
     # weighted Benjamini-Hochberg: p over weight, weights in proportion to length
     length = np.array([e - s for s, e, *_ in found], float)
-    p = np.minimum(1.0, np.array([f[3] for f in found]) * length.mean() / length)
+    p = np.minimum(1.0, np.array([1.0 if f[3] is None else f[3] for f in found]) * length.mean() / length)
     order = np.argsort(p, kind="stable")
     adjusted = np.empty(len(p))
     adjusted[order] = np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
-    out, least = [], sorted((float(q), s, -e, code) for (s, e, code, _, random), q in zip(found, adjusted, strict=True) if random and q <= FDR)
+    out, least = [], sorted((float(q), s, -e, code) for (s, e, code, raw), q in zip(found, adjusted, strict=True) if raw is not None and q <= FDR)
     for q, s, e, code in least:
         near = bisect.bisect(out, (s,))
         if (near == 0 or out[near - 1][1] <= s) and (near == len(out) or out[near][0] >= -e):
