@@ -51,16 +51,21 @@ BALANCE = 0.25
 SHARPEST = 5.0
 FOLDS = 5
 #: Words whose scores a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 WORD = re.compile(r"\w+")
 
 
 def buckets_of(word: str) -> list[int]:
     """The buckets of a word's n-grams and of the word itself."""
     marked = f"<{word}>"
-    grams = [marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1)]
-    grams.append(marked)
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+    size = len(marked)
+    if marked.isascii():  # a character is a byte
+        data = marked.encode()
+        out = [zlib.crc32(data[k : k + n]) % BUCKETS for n in GRAMS for k in range(size - n + 1)]
+    else:
+        out = [zlib.crc32(marked[k : k + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in GRAMS for k in range(size - n + 1)]
+    out.append(zlib.crc32(marked.encode("utf-8", "surrogatepass")) % BUCKETS)
+    return out
 
 
 def words_of(text: str) -> list[str]:
@@ -156,13 +161,13 @@ def trained(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int
 
 class WordScores(dict):
     def __init__(self, scores: np.ndarray):
-        self.scores = scores
+        self.scores = scores.tolist()
 
     def __missing__(self, word: str) -> float:
         if len(self) >= REMEMBERED:
             self.clear()
         b = buckets_of(word)
-        value = self[word] = float(self.scores[b].sum()) / len(b)
+        value = self[word] = sum(map(self.scores.__getitem__, b)) / len(b)
         return value
 
 
