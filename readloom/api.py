@@ -6,25 +6,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import SCHEMA, ReadError, parsed
+from .operators import reads as R
 from .sources import codecs, framing
-from .sources.fastq import ERROR_TYPE, register
+from .sources.fastq import ERROR_TYPE, Options, Place, planned, register
 
 
 def options_of(kw: dict) -> dict:
     return {k: str(v) for k, v in kw.items() if v is not None}
 
 
-def read_reads(spark: SparkSession, path: str | list[str], mode: str = "failfast", **options) -> DataFrame:
+def read_reads(
+    spark: SparkSession, path: str | list[str], mode: str = "failfast", numbered: bool = False, validation: str = "none", alphabet: str = "iupac", quality: str = "phred33", **options
+) -> DataFrame:
     """Reads of a file, a folder or a list. mode: failfast raises, permissive adds an error column and a row an error, prefix
-    gives each file's rows before its first error."""
+    gives each file's rows before its first error.
+
+    numbered: records count within the file and offsets in its whole stream; a scan that builds no field counts the splits first.
+    validation (bases, qualities, bases_and_qualities) makes a bad base or quality an error as malformed text is, by alphabet and quality; it numbers the reads.
+    Other options are those of the data source; unknown ones are refused.
+    """
+    if mode not in ("failfast", "permissive", "prefix"):
+        raise ValueError("mode must be failfast, permissive or prefix")
     register(spark)
-    path = path if isinstance(path, str) else ",".join(path)
-    reader = spark.read.format("fastq").options(**options_of(options), mode="failfast" if mode == "failfast" else "permissive")
+    path, options = path if isinstance(path, str) else ",".join(path), options_of(options)
+    reader = spark.read.format("fastq").options(**options, mode="failfast" if mode == "failfast" else "permissive")
     df = reader.load(path)
+    checked = R.level(validation) != "none"
+    if numbered or checked:
+        counts = spark.read.format("fastq").options(**{k: v for k, v in options.items() if k.lower() != "columns"}, summary="true").load(path)
+        df = R.number_records(df, counts)
+    if checked:
+        columns, df = df.columns, R.validation(df, validation, alphabet, quality, wrapped="seq_segs" in df.columns)
+        if mode == "failfast":
+            df = df.where(F.when(F.col("invalid").isNull(), True).otherwise(F.raise_error(R.invalid_text(F.col("invalid")))))
+        else:
+            found = F.struct(*(F.col(f"invalid.{f.split()[0]}").alias(f.split()[0]) if f.split()[0] in ("variant", "offset", "record", "byte") else F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in SCHEMA.split(", ")))
+            df = df.withColumn("error", F.coalesce("error", F.when(F.col("invalid").isNotNull(), found)))
+        df = df.select(*columns)
     if mode != "prefix":
         return df
-    first = df.where("error IS NOT NULL").groupBy("file").agg(F.min("header_offset").alias("_first"))
-    return df.where("error IS NULL").join(first, "file", "left").where("_first IS NULL OR header_offset < _first").drop("_first", "error")
+    # in order of file, split and record: offsets may count from the split
+    place = F.struct("split_id", "record")
+    first = df.where("error IS NOT NULL").groupBy("file").agg(F.min(place).alias("_first"))
+    return df.where("error IS NULL").join(first, "file", "left").where(F.col("_first").isNull() | (place < F.col("_first"))).drop("_first", "error")
+
+
+def read_pairs(spark: SparkSession, first: str | list[str], second: str | list[str], check_ids: bool = False, **options) -> DataFrame:
+    """The reads of two files, or of two lists of files in order, as pairs (file_no, record, r1, r2, error), with every option for both mates.
+
+    Errors are told by place in the order of a reader of both; `operators.reads.checked_pairs` raises the first.
+    """
+    return R.pairs(*(read_reads(spark, p, mode="permissive", numbered=True, **options) for p in (first, second)), check_ids=check_ids)
+
+
+def starts_record(path: str, offset: int, wrapped: bool = False) -> bool:
+    """Whether records follow one another from an offset (bytes; in BGZF a virtual offset) of a file: the test that finds splits."""
+    o = Options({"startOffset": str(offset), "resync": "true", "format": "multiline" if wrapped else "single"})
+    (split,) = planned(path, Options({"startOffset": str(offset), "splittable": "false"}))
+    if split.failed:
+        raise split.failed
+    split.exact_start = False
+    inside = offset & 0xFFFF if split.kind == "bgzf" else offset
+    return Place(split, o).start == inside
 
 
 def stream_reads(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -57,17 +100,13 @@ def parse_bytes(df: DataFrame, value_col: str = "content", key_col: str | None =
 
     def parsed_value(k, value: bytes, wrapped: bool):
         kind = codecs.sniff(value[: codecs.SNIFFED])
-        chunks = iter([value]) if kind == "plain" else codecs.gunzipped(iter([value]))
-        if kind in ("bzip2", "xz", "zstd"):
-            if kind != "zstd":
-                raise ReadError("Unsupported", detail=kind)
-            import zstandard
-
-            chunks = iter([zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(value)])
+        if kind in ("bzip2", "xz"):
+            raise ReadError("Unsupported", detail=kind)
+        chunks = iter([value]) if kind == "plain" else codecs.unzstd(iter([value])) if kind == "zstd" else codecs.unblocked(value) if kind == "bgzf" else codecs.gunzipped(iter([value]))
         count = 0
         for got in framing.framed(chunks, 0, wrapped):
             n = len(got)
-            columns = [[k] * n, got.header, got.seq, got.qual, list(range(count + 1, count + n + 1)), got.header_offset, got.seq_offset, got.qual_offset, [None] * n]
+            columns = [[k] * n, *map(got.values, framing.FIELDS), list(range(count + 1, count + n + 1)), *map(list, (got.header_offset, got.seq_offset, got.qual_offset)), [None] * n]
             if got.error:
                 for c, x in zip(columns, (k, None, None, None, got.error.record, got.error.offset, None, None, got.error.row()), strict=True):
                     c.append(x)
@@ -84,4 +123,4 @@ def error_of(exception: Exception) -> ReadError | None:
     return parsed(str(exception))
 
 
-__all__ = ["concatenated", "error_of", "parse_bytes", "read_reads", "stream_reads", "write_reads"]
+__all__ = ["concatenated", "error_of", "parse_bytes", "read_pairs", "read_reads", "starts_record", "stream_reads", "write_reads"]

@@ -28,6 +28,9 @@ KINDS = {
     "QualContainsNewline": "qualities contain a line break",
 }
 
+#: Kinds beyond those: containers whose decoder says no more.
+KINDS |= {"ZstdData": "corrupt zstd frame", "ZstdTruncated": "zstd stream ends within a frame"}
+
 #: The fields of an error as a column.
 FIELDS = ("variant", "kind", "offset", "record", "seq_len", "qual_len", "byte")
 SCHEMA = "variant string, kind string, offset bigint, record bigint, seq_len bigint, qual_len bigint, byte int"
@@ -40,16 +43,20 @@ def shown(byte: int) -> str:
 class ReadError(ValueError):
     """variant: InvalidFormat, UnexpectedEof, LengthMismatch, InvalidBase, InvalidQuality, PairedCountMismatch, PairedIdMismatch, Unsupported.
 
-    offset is the place in the decoded stream, record counts from 1 and is 0 where unknown.
+    offset is the place in the decoded stream, record counts from 1 and is 0 where unknown. Ids that differ come with `offsets` and `ids` of both mates.
     """
 
-    def __init__(self, variant: str, offset: int = 0, record: int = 0, kind: str | None = None, seq_len: int | None = None, qual_len: int | None = None, byte: int | None = None, detail: str = ""):
+    def __init__(
+        self, variant: str, offset: int = 0, record: int = 0, kind: str | None = None, seq_len: int | None = None, qual_len: int | None = None, byte: int | None = None,
+        detail: str = "", offsets: tuple[int, int] | None = None, ids: tuple[str, str] | None = None,
+    ):
         self.variant, self.kind, self.offset, self.record = variant, kind, offset, record
         self.seq_len, self.qual_len, self.byte, self.detail = seq_len, qual_len, byte, detail
+        self.offsets, self.ids = offsets, ids
         super().__init__(self.text())
 
     def __reduce__(self):
-        return ReadError, (self.variant, self.offset, self.record, self.kind, self.seq_len, self.qual_len, self.byte, self.detail)
+        return ReadError, (self.variant, self.offset, self.record, self.kind, self.seq_len, self.qual_len, self.byte, self.detail, self.offsets, self.ids)
 
     def text(self) -> str:
         at, nth = f"at offset {self.offset}", f" (record {self.record})" if self.record else ""
@@ -66,7 +73,11 @@ class ReadError(ValueError):
 
     def numbered(self, record: int) -> ReadError:
         """The same error with its record, if it has none yet."""
-        return self if self.record else ReadError(self.variant, self.offset, record, self.kind, self.seq_len, self.qual_len, self.byte, self.detail)
+        return self if self.record else self.moved(0, record)
+
+    def moved(self, by: int, record: int | None = None) -> ReadError:
+        """The same error further on in the stream."""
+        return ReadError(self.variant, self.offset + by, self.record if record is None else record, self.kind, self.seq_len, self.qual_len, self.byte, self.detail, self.offsets, self.ids)
 
     def row(self) -> dict:
         return {k: getattr(self, k) for k in FIELDS}

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import gzip
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..api import concatenated, read_reads, stream_reads, write_reads
-from ..errors import KINDS
+from ..api import concatenated, parse_bytes, read_pairs, read_reads, stream_reads, write_reads
 from ..functions import columns as C
 from ..operators import reads as R
+from ..sources import codecs, sinks
+from ..streaming.reads import write_stream
 
 #: Reads of lineitem, in SQL that both engines read alike.
 READS = """SELECT CAST(l_orderkey AS BIGINT) * 8 + CAST(l_linenumber AS BIGINT) AS k, CAST(l_linenumber AS BIGINT) AS ln,
@@ -35,8 +37,10 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder of the session, or, where it names none, in a temporary one of this machine."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    """A new folder in the folder that the session names in spark.checkpoint.dir, which the driver and all executors share."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not top:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{top.rstrip('/')}/readloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -74,14 +78,64 @@ def scan_lines(wrapped: bool):
     return query
 
 
+def ordered(spark: SparkSession, path: str, df: DataFrame, **options) -> str:
+    """df as one file, in order of k."""
+    concatenated(path, df.repartitionByRange(8, "k").sortWithinPartitions("k"), **options)
+    return path
+
+
 def record_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ordered file, read in many splits: global record numbers and offsets."""
-    path = folder(spark, "index") + "/reads.fastq"
-    concatenated(path, base(spark, sf_dir).repartitionByRange(8, "k").sortWithinPartitions("k"))
-    df = R.number_records(read_reads(spark, path, splitSize=1 << 18))
+    path = ordered(spark, folder(spark, "index") + "/reads.fastq", base(spark, sf_dir))
+    return indexed(read_reads(spark, path, splitSize=1 << 18, numbered=True))
+
+
+def record_index_bgzf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a BGZF file, whose splits know no decoded offset but their own."""
+    path = ordered(spark, folder(spark, "index") + "/reads.fastq.bgz", base(spark, sf_dir))
+    return indexed(read_reads(spark, path, splitSize=1 << 17, numbered=True))
+
+
+def indexed(df: DataFrame) -> DataFrame:
     return df.select(C.chars("seq").alias("seq"), "record", "header_offset", "seq_offset", "qual_offset")
 
 
+def resync(extension: str):
+    """The reads at and after an arbitrary place within a record of one ordered file."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = ordered(spark, folder(spark, "resync") + f"/reads.{extension}", base(spark, sf_dir))
+        # in BGZF, place 17,003 of the first block; in both the same decoded byte
+        return text(read_reads(spark, path, startOffset=RESYNC, resync="true", splitSize=1 << 18))
+
+    return query
+
+
+RESYNC = 17_003
+
+
+def long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads of many orders joined into long ones, whose qualities start as a header does."""
+    parts = base(spark, sf_dir).groupBy(F.expr("k div 32768").alias("k")).agg(F.sort_array(F.collect_list(F.struct("k", "seq", "qual"))).alias("x"))
+
+    def joined(field: str, first: str):
+        return F.concat(F.lit(first), F.array_join(F.transform("x", lambda r: r[field]), ""))
+
+    return parts.select("k", F.concat(F.lit("long"), F.col("k")).alias("header"), joined("seq", "A").alias("seq"), joined("qual", "@").alias("qual"))
+
+
+def scan_long_split(extension: str):
+    """Reads far longer than a split."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = ordered(spark, folder(spark, "long") + f"/reads.{extension}", long_reads(spark, sf_dir))
+        return text(read_reads(spark, path, splitSize=1 << 14))
+
+    return query
+
+
+LONG_SQL = """SELECT concat('long', CAST(g AS VARCHAR(20))) AS header, concat('A', string_agg(seq, '' ORDER BY k)) AS seq, concat('@', string_agg(qual, '' ORDER BY k)) AS qual
+FROM (SELECT *, k // 32768 AS g FROM (%s)) GROUP BY g"""
+
+
 INDEX_SQL = f"""SELECT seq, record, until - size AS header_offset, until - size + length(header) + 2 AS seq_offset, until - length(qual) - 1 AS qual_offset
 FROM (SELECT *, CAST(row_number() OVER (ORDER BY k) AS BIGINT) AS record, CAST(sum(size) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS until
   FROM (SELECT *, length(header) + length(seq) + length(qual) + 6 AS size FROM ({READS})))"""
@@ -89,9 +143,8 @@ FROM (SELECT *, CAST(row_number() OVER (ORDER BY k) AS BIGINT) AS record, CAST(s
 
 def seek_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A BGZF file read again from the virtual offset of a record in its middle."""
-    path = folder(spark, "seek") + "/reads.fastq.bgz"
-    concatenated(path, base(spark, sf_dir).repartitionByRange(4, "k").sortWithinPartitions("k"))
-    first = R.number_records(read_reads(spark, path, splitSize=1 << 18))
+    path = ordered(spark, folder(spark, "seek") + "/reads.fastq.bgz", base(spark, sf_dir))
+    first = read_reads(spark, path, splitSize=1 << 18, numbered=True)
     middle = first.agg(F.expr("min_by(voffset, record) FILTER (WHERE record > 1000)")).first()[0]
     return text(read_reads(spark, path, startOffset=middle)) if middle is not None else text(first.limit(0))
 
@@ -111,9 +164,8 @@ def mates(spark: SparkSession, sf_dir: str, second: str = "ln % 2 = 0") -> tuple
     """Two files of reads, in order of k, one of odd and one of even lines, read with global numbers."""
     out = []
     for nth, where in enumerate(("ln % 2 = 1", second)):
-        path = folder(spark, f"mate{nth + 1}") + "/reads.fastq"
-        concatenated(path, base(spark, sf_dir).where(where).repartitionByRange(4, "k").sortWithinPartitions("k"))
-        out.append(R.number_records(read_reads(spark, path, splitSize=1 << 18)))
+        path = ordered(spark, folder(spark, f"mate{nth + 1}") + "/reads.fastq", base(spark, sf_dir).where(where))
+        out.append(read_reads(spark, path, splitSize=1 << 18, numbered=True))
     return out[0], out[1]
 
 
@@ -125,6 +177,23 @@ def paired(check_ids: bool):
     return query
 
 
+def paired_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lanes of two mates: a folder of two files for each mate, paired file by file."""
+    folders = []
+    for mate in (1, 0):
+        folders.append(folder(spark, "lanes"))
+        for lane in (0, 1):
+            ordered(spark, f"{folders[-1]}/lane{lane}.fastq", base(spark, sf_dir).where(f"ln % 2 = {mate} AND (k div 8) % 2 = {lane}"))
+    out = read_pairs(spark, *folders, splitSize=1 << 18)
+    return out.select(F.col("file_no").cast("long").alias("lane"), "record", C.chars("r1.seq").alias("seq1"), C.chars("r2.seq").alias("seq2"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+LANES_SQL = """WITH n AS (SELECT *, (k // 8) % 2 AS lane, CAST(row_number() OVER (PARTITION BY ln % 2, (k // 8) % 2 ORDER BY k) AS BIGINT) AS record FROM (%s))
+SELECT coalesce(a.lane, b.lane) AS lane, coalesce(a.record, b.record) AS record, a.seq AS seq1, b.seq AS seq2,
+  CASE WHEN a.seq IS NULL THEN 'R1 ended first' WHEN b.seq IS NULL THEN 'R2 ended first' ELSE '' END AS error
+FROM (SELECT * FROM n WHERE ln %% 2 = 1) a FULL JOIN (SELECT * FROM n WHERE ln %% 2 = 0) b ON a.record = b.record AND a.lane = b.lane""".replace("%%", "%")
+
+
 def _canonical(header: str) -> str:
     return f"regexp_replace(regexp_extract({header}, '^[^ \\t]*', 0), '^(.+)(?:/[0-9]|[.][12])$', '\\1')"
 
@@ -144,9 +213,8 @@ def count_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interleaved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = folder(spark, "interleaved") + "/reads.fastq.gz"
-    concatenated(path, base(spark, sf_dir).repartitionByRange(4, "k").sortWithinPartitions("k"))
-    out = R.interleaved(R.number_records(read_reads(spark, path)))
+    path = ordered(spark, folder(spark, "interleaved") + "/reads.fastq.gz", base(spark, sf_dir))
+    out = R.interleaved(read_reads(spark, path, numbered=True))
     return out.select("record", C.chars("r1.seq").alias("seq1"), C.chars("r2.seq").alias("seq2"), F.coalesce("error", F.lit("")).alias("error"))
 
 
@@ -165,23 +233,115 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def stream_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads through a stream whose sink writes each micro-batch once, and read again."""
+    path, out, state = folder(spark, "stream-in"), folder(spark, "stream-out"), folder(spark, "stream-state")
+    write_reads(base(spark, sf_dir), path)
+    write_stream(stream_reads(spark, path), out, state, compression="gzip").trigger(availableNow=True).start().awaitTermination()
+    return text(read_reads(spark, f"{out}/batch-00000000"))
+
+
+def in_memory_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads of each order as one binary value, read in memory."""
+    records = base(spark, sf_dir).select("k", C.record_text(F.col("header"), F.col("seq"), F.col("qual")).alias("r"))
+    values = records.groupBy(F.expr("k div 8").alias("k")).agg(F.array_join(F.sort_array(F.collect_list("r")), "").cast("binary").alias("content"))
+    return text(parse_bytes(values))
+
+
+#: One good record, and files that are broken after it or in it: (what is wrong, bytes, options).
+GOOD = b"@a\nACGT\n+\nIIII\n"
+
+
+def broken_files() -> list[tuple[str, bytes, dict]]:
+    block, packed = sinks.bgzf_block(GOOD, 6), gzip.compress(GOOD, mtime=0)
+    crc, size = zlib.crc32(GOOD).to_bytes(4, "little"), len(GOOD).to_bytes(4, "little")
+    big = sinks.bgzf_block(b"", 6)
+    wrapped = {"format": "multiline"}
+    plain = [
+        ("header", GOOD + b"a\nAC\n+\nII\n", {}), ("plus", GOOD + b"@b\nAC\n-\nII\n", {}), ("length", GOOD + b"@b\nACG\n+\nII\n", {}), ("end", GOOD + b"@b\nAC\n+\n", {}),
+        ("seq line", GOOD + b"@b\n\n+\n\n", wrapped), ("qual line", GOOD + b"@b\nACG\n+\nI\n\nII\n", wrapped), ("long qual", GOOD + b"@b\nAC\n+\nI\nIII\n", wrapped),
+        ("base", GOOD + b"@b\nA!\n+\nII\n", {"validation": "bases"}), ("quality", GOOD + b"@b\nAC\n+\nI\x1f\n", {"validation": "qualities"}),
+    ]
+    packs = [
+        ("gzip header", packed + b"\x1f\x8b\x07" + packed[3:], {}), ("gzip data", packed + packed[:10] + b"\xff" * 20, {}), ("gzip crc", packed[:-8] + b"\0\0\0\0" + packed[-4:], {}),
+        ("gzip size", packed[:-4] + b"\1\0\0\0", {}), ("gzip end", packed + packed[: len(packed) // 2], {}),
+        ("bgzf header", block + b"@b\nAC\n+\nII\n" * 3 + codecs.BGZF_EOF, {}), ("bgzf data", block + block[:18] + b"\xff" * (len(block) - 26) + block[-8:] + codecs.BGZF_EOF, {}),
+        ("bgzf crc", block + block[:-8] + b"\0\0\0\0" + size + codecs.BGZF_EOF, {}), ("bgzf size", block + block[:-8] + crc + b"\x01\0\0\0" + codecs.BGZF_EOF, {}),
+        ("bgzf large", block + big[:-4] + b"\1\0\1\0" + codecs.BGZF_EOF, {}), ("bgzf marker", block, {}), ("bgzf forced", GOOD, {"compression": "bgzf"}),
+        ("bgzf place", block + codecs.BGZF_EOF, {"startOffset": str(7 << 16)}), ("bzip2", b"BZh91AY&SY", {}), ("xz", b"\xfd7zXZ\0rest", {}), ("seek in gzip", packed, {"startOffset": "5"}),
+    ]
+    return plain + packs
+
+
 def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(KINDS.items()), "kind string, message string")
+    """What reading each broken file meets, with its place: no table holds broken files, so they are made here."""
+    out = None
+    for name, data, options in broken_files():
+        path = folder(spark, "broken")
+        with sinks.output(path) as f:
+            f.write(data)
+        rows = read_reads(spark, path, mode="permissive", **options).where("error IS NOT NULL").select(
+            F.lit(name).alias("broken"), "error.variant", F.coalesce("error.kind", F.lit("")).alias("kind"), F.col("error.offset").alias("offset"), F.col("error.record").alias("record")
+        )
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+ERRORS_SQL = """SELECT * FROM (VALUES ('header', 'InvalidFormat', 'HeaderMissingAt', 15, 2), ('plus', 'InvalidFormat', 'PlusMissing', 21, 2), ('length', 'LengthMismatch', '', 24, 2),
+  ('end', 'UnexpectedEof', '', 23, 2), ('seq line', 'InvalidFormat', 'SeqLineEmpty', 18, 2), ('qual line', 'InvalidFormat', 'QualLineEmpty', 26, 2), ('long qual', 'LengthMismatch', '', 25, 2),
+  ('base', 'InvalidBase', '', 19, 2), ('quality', 'InvalidQuality', '', 24, 2), ('gzip header', 'InvalidFormat', 'GzipHeader', 15, 2), ('gzip data', 'InvalidFormat', 'GzipData', 15, 2),
+  ('gzip crc', 'InvalidFormat', 'GzipTrailerCrc', 15, 2), ('gzip size', 'InvalidFormat', 'GzipTrailerIsize', 15, 2), ('gzip end', 'InvalidFormat', 'GzipTruncated', 15, 2),
+  ('bgzf header', 'InvalidFormat', 'BgzfHeader', 15, 2), ('bgzf data', 'InvalidFormat', 'BgzfBlock', 15, 2), ('bgzf crc', 'InvalidFormat', 'BgzfBlockCrc', 15, 2),
+  ('bgzf size', 'InvalidFormat', 'BgzfBlockIsize', 15, 2), ('bgzf large', 'InvalidFormat', 'BgzfBlockTooLarge', 15, 2), ('bgzf marker', 'InvalidFormat', 'BgzfMissingEofMarker', 15, 2),
+  ('bgzf forced', 'InvalidFormat', 'BgzfHeader', 0, 1), ('bgzf place', 'InvalidFormat', 'BgzfVirtualOffset', 458752, 1), ('bzip2', 'Unsupported', '', 0, 1), ('xz', 'Unsupported', '', 0, 1),
+  ('seek in gzip', 'Unsupported', '', 0, 1)) t(broken, variant, kind, "offset", record)"""
 
 
 def invalid_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of the first base outside ACGT in each read, in the stream of one ordered file."""
-    path = folder(spark, "invalid") + "/reads.fastq"
     changed = base(spark, sf_dir).withColumn("seq", F.regexp_replace("seq", "N", "X"))
-    concatenated(path, changed.repartitionByRange(8, "k").sortWithinPartitions("k"))
-    out = R.validation(R.number_records(read_reads(spark, path, splitSize=1 << 18)), "bases", "strict")
+    path = ordered(spark, folder(spark, "invalid") + "/reads.fastq", changed)
+    out = R.validation(read_reads(spark, path, splitSize=1 << 18, numbered=True), "bases", "strict")
     return out.where("invalid IS NOT NULL").select("record", F.col("invalid.offset").alias("offset"), F.col("invalid.byte").cast("long").alias("byte"))
 
 
+def validated_scan(extension: str, wrapped: bool = False):
+    """A scan whose reader validates: bases outside ACGT come first, then qualities below the range, each with its place in the stream."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        changed = base(spark, sf_dir).select("k", "header", F.translate("seq", "N", "X").alias("seq"), F.translate("qual", "!", " ").alias("qual"))
+        if wrapped:
+            def wrap(c: str):
+                return F.regexp_replace(c, "(?s)(.{10})(?=.)", "$1\n")
+
+            path = folder(spark, "validated")
+            lines = F.concat(F.lit("@"), F.col("header"), F.lit("\n"), wrap("seq"), F.lit("\n+\n"), wrap("qual"))
+            # one file a text: the number of each in its folder is its order
+            changed.select("k", lines.alias("value")).repartitionByRange(4, "k").sortWithinPartitions("k").select("value").write.text(path)
+            df = read_reads(spark, path, mode="permissive", format="multiline", validation="bases_and_qualities", alphabet="strict")
+            return df.where("error IS NOT NULL").select(
+                C.chars("header").alias("header"), "error.variant", (F.col("error.offset") - F.col("header_offset")).alias("offset"), F.col("error.byte").cast("long").alias("byte")
+            )
+        path = ordered(spark, folder(spark, "validated") + f"/reads.{extension}", changed)
+        df = read_reads(spark, path, mode="permissive", validation="bases_and_qualities", alphabet="strict", splitSize=1 << 18)
+        return df.where("error IS NOT NULL").select("error.record", "error.variant", "error.offset", F.col("error.byte").cast("long").alias("byte"))
+
+    return query
+
+
 INVALID_SQL = f"""SELECT record, seq_offset + strpos(replace(seq, 'N', 'X'), 'X') - 1 AS "offset", CAST(88 AS BIGINT) AS byte
 FROM ({INDEX_SQL}) WHERE strpos(seq, 'N') > 0"""
 
 
+VALIDATED_SQL = f"""SELECT record, CASE WHEN strpos(seq, 'N') > 0 THEN 'InvalidBase' ELSE 'InvalidQuality' END AS variant,
+  CASE WHEN strpos(seq, 'N') > 0 THEN seq_offset + strpos(seq, 'N') - 1 ELSE qual_offset + strpos(qual, '!') - 1 END AS "offset",
+  CAST(CASE WHEN strpos(seq, 'N') > 0 THEN 88 ELSE 32 END AS BIGINT) AS byte
+FROM ({INDEX_SQL.replace("SELECT seq,", "SELECT seq, qual,", 1)}) WHERE strpos(seq, 'N') > 0 OR strpos(qual, '!') > 0"""
+WRAPPED_SQL = f"""SELECT header, CASE WHEN b > 0 THEN 'InvalidBase' ELSE 'InvalidQuality' END AS variant,
+  CAST(length(header) + 2 + CASE WHEN b > 0 THEN b - 1 + (b - 1) // 10 ELSE length(seq) + (length(seq) - 1) // 10 + 3 + q - 1 + (q - 1) // 10 END AS BIGINT) AS "offset",
+  CAST(CASE WHEN b > 0 THEN 88 ELSE 32 END AS BIGINT) AS byte
+FROM (SELECT *, strpos(seq, 'N') AS b, strpos(qual, '!') AS q FROM ({READS})) WHERE b > 0 OR q > 0"""
+
+
 def _bad(alphabet: str, column: str = "seq") -> str:
     return f"CASE WHEN length(regexp_extract({column}, '^[{alphabet}]*', 0)) < length({column}) THEN length(regexp_extract({column}, '^[{alphabet}]*', 0)) END"
 
@@ -190,6 +350,12 @@ def _sql(columns: str) -> str:
     return f"SELECT k, {columns} FROM ({READS})"
 
 
+def _lines():
+    """Text with no line break, with a lone carriage return, with one line feed, and with several."""
+    h, s, q, lf = F.col("header"), F.col("seq"), F.col("qual"), F.lit("\n")
+    return F.when(F.col("ln") % 4 == 0, h).when(F.col("ln") % 4 == 1, F.concat(h, F.lit("\r"))).when(F.col("ln") % 4 == 2, F.concat(h, lf, s)).otherwise(F.concat(lf, s, lf, lf, q))
+
+
 PLAIN = f"SELECT header, seq, qual FROM ({READS})"
 IN_MEMORY = {
     "project_id_desc": (lambda: [C.read_id(F.col("header")).alias("id"), C.description(F.col("header")).alias("description")],
@@ -206,8 +372,13 @@ IN_MEMORY = {
     "phred_sum": (lambda: [C.phred_sum(F.col("qual")).alias("score")], "CAST(list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) AS BIGINT) AS score"),
     "virtual_offset_pack": (lambda: [C.virtual_offset(F.col("k"), F.col("ln")).alias("v"), C.virtual_compressed(C.virtual_offset(F.col("k"), F.col("ln"))).alias("c"), C.virtual_inside(C.virtual_offset(F.col("k"), F.col("ln"))).alias("i")],
                             "(k << 16) | ln AS v, k AS c, ln AS i"),
-    "newlines": (lambda: [f(C.record_text(F.col("header"), F.col("seq"), F.col("qual"))).alias(n) for n, f in (("lines", C.count_lf), ("first", C.find_lf), ("broken", C.contains_line_break))],
-                 "CAST(4 AS BIGINT) AS lines, CAST(length(header) + 1 AS BIGINT) AS first, true AS broken"),
+    "newlines": (lambda: [f(_lines()).alias(n) for n, f in (("lines", C.count_lf), ("first", C.find_lf), ("later", lambda t: C.find_lf(t, 20)), ("broken", C.contains_line_break))],
+                 f"length(v) - length(replace(v, chr(10), '')) AS lines, strpos(v, chr(10)) - 1 AS first, CASE WHEN strpos(v[21:], chr(10)) > 0 THEN strpos(v[21:], chr(10)) + 19 ELSE -1 END AS later, "
+                 f"strpos(v, chr(10)) > 0 OR strpos(v, chr(13)) > 0 AS broken FROM (SELECT k, {chr(10)} CASE ln % 4 WHEN 0 THEN header WHEN 1 THEN concat(header, chr(13)) WHEN 2 THEN "
+                 "concat(header, chr(10), seq) ELSE concat(chr(10), seq, chr(10), chr(10), qual) END AS v"),
+    "phred_saturated": (lambda: [C.phred_sum(F.col("qual"), "phred64").alias("score")], "CAST(list_sum(list_transform(string_split(qual, ''), lambda c: greatest(ascii(c) - 64, 0))) AS BIGINT) AS score"),
+    "quality_in_range": (lambda: [C.in_range(F.ascii("qual"), "33,35,66").alias("first"), C.first_bad_quality(F.col("qual"), "33,35,66").alias("bad"), C.first_bad_quality(F.col("qual"), "33,70,40").alias("none")],
+                         f"ascii(qual) BETWEEN 35 AND 66 AS first, {_bad('#-B', 'qual')} AS bad, CAST(NULL AS BIGINT) AS none"),
     "record_text": (lambda: [C.record_text(F.col("header"), F.col("seq"), F.col("qual")).alias("record")], "concat('@', header, chr(10), seq, chr(10), '+', chr(10), qual, chr(10)) AS record"),
 }
 
@@ -215,7 +386,8 @@ SCANS = {
     "scan_plain": through(), "scan_plain_split": through(splitSize=1 << 16), "scan_gzip": through("gz"), "scan_bgzf": through("bgz"),
     "scan_bgzf_split": through("bgz", splitSize=1 << 17), "scan_zstd": through("zst"), "scan_multiline": scan_lines(True), "scan_crlf": scan_lines(False),
     "sniff_misnamed": through("fastq", single=True, name="fastq", write={"compression": "gzip"}), "scan_one_file": through("bgz", single=True, name="fastq.bgz"),
-    "scan_stream_only": through("bgz", splittable=False), "stream_append": stream_append,
+    "scan_stream_only": through("bgz", splittable=False), "scan_forced_bgzf": through("bgz", compression="bgzf"), "stream_append": stream_append, "stream_write": stream_write,
+    "scan_memory": in_memory_values,
 }
 
 
@@ -223,6 +395,11 @@ def counted(spark, sf_dir):
     return R.totals(read_back(spark, sf_dir))
 
 
+def newline_total(spark, sf_dir):
+    records = base(spark, sf_dir).select(C.record_text(F.col("header"), F.col("seq"), F.col("qual")).alias("text"))
+    return R.newlines(records)
+
+
 def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "totals")
     write_reads(base(spark, sf_dir), path)
@@ -232,13 +409,15 @@ def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         **SCANS, **{name: in_memory(check) for name, (check, _) in IN_MEMORY.items()},
-        "base_total": counted, "record_index": record_index, "seek_resume": seek_resume, "invalid_base_offset": invalid_offsets, "guess_encoding": encoding_guess,
+        "base_total": counted, "newline_total": newline_total, "record_index": record_index, "record_index_bgzf": record_index_bgzf, "resync_plain": resync("fastq"), "resync_bgzf": resync("fastq.bgz"),
+        "scan_long_split": scan_long_split("fastq"), "scan_long_split_bgzf": scan_long_split("fastq.bgz"), "validated_scan": validated_scan("fastq"), "validated_scan_bgzf": validated_scan("fastq.bgz"),
+        "validated_scan_wrapped": validated_scan("fastq", wrapped=True), "paired_join_lanes": paired_lanes,
+        "seek_resume": seek_resume, "invalid_base_offset": invalid_offsets, "guess_encoding": encoding_guess,
         "paired_join": paired(False), "paired_id_check": paired(True), "paired_count_mismatch": count_mismatch, "interleaved_pairs": interleaved_pairs, "error_taxonomy": error_taxonomy,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    kinds = ", ".join(f"('{k}', '{m.replace(chr(39), chr(39) * 2)}')" for k, m in KINDS.items())
     return {
         **dict.fromkeys(SCANS, PLAIN), **{name: _sql(sql) for name, (_, sql) in IN_MEMORY.items()},
         "base_total": f"SELECT count(*) AS records, CAST(sum(length(seq)) AS BIGINT) AS bases FROM ({READS})",
@@ -248,5 +427,9 @@ def oracle_sql() -> dict[str, str]:
         "guess_encoding": f"SELECT CASE WHEN min(c) < 64 THEN 'phred33' WHEN max(c) > 74 THEN 'phred64' END AS encoding FROM (SELECT ascii(unnest(string_split(qual, ''))) AS c FROM ({READS}))",
         "paired_join": _paired_sql(False), "paired_id_check": _paired_sql(True),
         "paired_count_mismatch": f"SELECT record, error FROM ({_paired_sql(False)}) WHERE error <> '' ORDER BY record LIMIT 1",
-        "interleaved_pairs": INTERLEAVED_SQL, "error_taxonomy": f"SELECT * FROM (VALUES {kinds}) t(kind, message)",
+        "interleaved_pairs": INTERLEAVED_SQL, "error_taxonomy": ERRORS_SQL, "record_index_bgzf": INDEX_SQL,
+        "newline_total": f"SELECT CAST(4 * count(*) AS BIGINT) AS lines FROM ({READS})",
+        **dict.fromkeys(("resync_plain", "resync_bgzf"), f"SELECT header, seq, qual FROM ({INDEX_SQL.replace('SELECT seq,', 'SELECT header, qual, seq,', 1)}) WHERE header_offset >= {RESYNC}"),
+        **dict.fromkeys(("scan_long_split", "scan_long_split_bgzf"), LONG_SQL % READS), **dict.fromkeys(("validated_scan", "validated_scan_bgzf"), VALIDATED_SQL),
+        "validated_scan_wrapped": WRAPPED_SQL, "paired_join_lanes": LANES_SQL % READS,
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ BGZF_EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b00030000000000000000
 MAGIC = {b"\x28\xb5\x2f\xfd": "zstd", b"BZh": "bzip2", b"\xfd7zXZ\x00": "xz"}
 SNIFFED = 128
 CHUNK = 1 << 20
+#: Compressed bytes that zstd decodes at once: its output for them is held whole.
+ZSTD_STEP = 1 << 16
 
 
 def opened(path: str):
@@ -23,7 +26,7 @@ def opened(path: str):
         from pyarrow import fs
 
         system, inner = fs.FileSystem.from_uri(path)
-        return system.open_input_file(inner)
+        return io.BufferedReader(system.open_input_file(inner), CHUNK)
     return open(path, "rb")
 
 
@@ -160,60 +163,132 @@ def bgzf_block(block: bytes, at: int) -> bytes:
     return out
 
 
-def bgzf_index(path: str) -> tuple[list[tuple[int, int]], bool]:
-    """(compressed, decoded) offset of each block, with the end as the last entry, from headers and trailers alone; and if the end marker is there."""
-    places, at, decoded, total = [], 0, 0, size_of(path)
+def marked(path: str) -> bool:
+    """Whether a BGZF file ends with the end marker."""
+    with opened(path) as f:
+        f.seek(max(0, f.seek(0, 2) - len(BGZF_EOF)))
+        return f.read() == BGZF_EOF
+
+
+def block_at(f, at: int, total: int) -> int | None:
+    """Size of the block that starts at this place of an open file; None if none does."""
+    f.seek(at)
+    head = f.read(18)
+    if len(head) >= 12:
+        head += f.read(max(0, 12 + struct.unpack_from("<H", head, 10)[0] - len(head)))
+    size = block_size(head)
+    return size if size is not None and at + size <= total else None
+
+
+def next_block(path: str, place: int) -> int | None:
+    """The first block that starts at or after a byte of a BGZF file; None if none does.
+
+    A place counts if it has a block's header, the file or another block ends there, and its content decodes with the right length and CRC:
+    the bytes within a block do not pass for one.
+    """
+    if place == 0:
+        return 0
+    total, at = size_of(path), place
     with opened(path) as f:
         while at < total:
             f.seek(at)
-            size = block_size(f.read(512))
-            if size is None or at + size > total:
+            data = f.read(CHUNK)
+            k = -1
+            while (k := data.find(b"\x1f\x8b\x08", k + 1)) >= 0:
+                size = block_at(f, at + k, total)
+                if size is None or at + k + size < total and block_at(f, at + k + size, total) is None:
+                    continue
+                f.seek(at + k)
+                try:
+                    bgzf_block(f.read(size), 0)
+                except ReadError:
+                    continue
+                return at + k
+            at += max(1, len(data) - 2)
+            if len(data) < 3:
+                return None
+    return None
+
+
+def decoded_span(path: str, start: int, end: int) -> int:
+    """Decoded bytes of the blocks from one place to another, by their headers and trailers alone."""
+    found = 0
+    with opened(path) as f:
+        total = f.seek(0, 2)
+        while start < end:
+            size = block_at(f, start, total)
+            if size is None:
                 break
-            f.seek(at + size - 4)
-            places.append((at, decoded))
-            decoded += struct.unpack("<I", f.read(4))[0]
-            at += size
-        f.seek(max(0, total - len(BGZF_EOF)))
-        marked = f.read() == BGZF_EOF
-    return [*places, (at, decoded)], marked
+            f.seek(start + size - 4)
+            found += struct.unpack("<I", f.read(4))[0]
+            start += size
+    return found
 
 
 def bgzf_blocks(path: str, start: int, decoded: int) -> Iterator[tuple[int, bytes]]:
     """(compressed offset, bytes) of each block from `start`, which has `decoded` bytes before it."""
     with opened(path) as f:
         f.seek(start)
-        while True:
-            head = f.read(18)
-            if not head:
-                return
-            if len(head) >= 12:
-                head += f.read(max(0, 12 + struct.unpack_from("<H", head, 10)[0] - len(head)))
-            size = block_size(head)
-            if size is None:
-                raise invalid("BgzfHeader", decoded)
-            block = head + f.read(size - len(head))
-            if len(block) < size:
-                raise invalid("BgzfBlock", decoded)
-            out = bgzf_block(block, decoded)
-            yield start, out
-            start, decoded = start + size, decoded + len(out)
+        yield from blocks_of(f, start, decoded)
 
 
-def file_chunks(path: str, start: int = 0) -> Iterator[bytes]:
+def blocks_of(f, start: int = 0, decoded: int = 0) -> Iterator[tuple[int, bytes]]:
+    """The blocks of an open file from where it stands."""
+    while True:
+        head = f.read(18)
+        if not head:
+            return
+        if len(head) >= 12:
+            head += f.read(max(0, 12 + struct.unpack_from("<H", head, 10)[0] - len(head)))
+        size = block_size(head)
+        if size is None:
+            raise invalid("BgzfHeader", decoded)
+        block = head + f.read(size - len(head))
+        if len(block) < size:
+            raise invalid("BgzfBlock", decoded)
+        out = bgzf_block(block, decoded)
+        yield start, out
+        start, decoded = start + size, decoded + len(out)
+
+
+def unblocked(value: bytes) -> Iterator[bytes]:
+    """Decoded bytes of a BGZF value in memory, whose end marker must be there."""
+    size = 0
+    for _, data in blocks_of(io.BytesIO(value)):
+        size += len(data)
+        yield data
+    if not value.endswith(BGZF_EOF):
+        raise invalid("BgzfMissingEofMarker", size)
+
+
+def file_chunks(path: str, start: int = 0, step: int = CHUNK) -> Iterator[bytes]:
     with opened(path) as f:
         f.seek(start)
-        while data := f.read(CHUNK):
+        while data := f.read(step):
             yield data
 
 
-def unzstd(path: str) -> Iterator[bytes]:
+def unzstd(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Decoded bytes of all frames; what the library refuses, and an end within a frame, is an error of this container."""
     try:
         import zstandard
     except ImportError:
         raise ReadError("Unsupported", detail="zstd") from None
-    with opened(path) as f, zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True) as r:
-        while data := r.read(CHUNK):
-            yield data
+    at, frame = 0, None
+    for data in chunks:
+        while data:
+            frame = frame or zstandard.ZstdDecompressor().decompressobj()
+            try:
+                out = frame.decompress(data)
+            except zstandard.ZstdError:
+                raise invalid("ZstdData", at) from None
+            data = frame.unused_data if frame.eof else b""
+            frame = None if frame.eof else frame
+            at += len(out)
+            if out:
+                yield out
+    if frame:
+        raise invalid("ZstdTruncated", at)
 
 
 def decoded_chunks(path: str, kind: str) -> Iterator[bytes]:
@@ -221,7 +296,7 @@ def decoded_chunks(path: str, kind: str) -> Iterator[bytes]:
     if kind in ("bzip2", "xz"):
         raise ReadError("Unsupported", detail=kind)
     if kind == "zstd":
-        return unzstd(path)
+        return unzstd(file_chunks(path, step=ZSTD_STEP))
     if kind == "bgzf":
         return (b for _, b in bgzf_blocks(path, 0, 0))
     return gunzipped(file_chunks(path)) if kind == "gzip" else file_chunks(path)

@@ -1,8 +1,10 @@
 """The data source `fastq`: batch reader, stream reader and writer.
 
-Options of the reader: format (single or multiline), compression (auto, plain, gzip, bgzf, zstd), splitSize (decoded bytes a task aims
-at), splittable, bgzfEofCheck, mode (failfast or permissive), startOffset and endOffset (bytes, or BGZF virtual offsets).
-Options of the writer: compression (else by the path's extension), level, validation, alphabet, quality, singleFile.
+Options of the reader: format (single or multiline), compression (auto, plain, gzip, bgzf, zstd), splitSize (bytes of a file that a task aims
+at), splittable, bgzfEofCheck, mode (failfast or permissive), startOffset and endOffset (bytes, or BGZF virtual offsets), resync (go on at the
+first record at or after startOffset, instead of right there), columns (those to build, all by default), and summary (one row a split instead of its reads).
+Options of the writer: compression (else by the path's extension), level, validation, alphabet, quality, singleFile, singleFileLimit.
+Options that are not known are refused.
 """
 
 from __future__ import annotations
@@ -24,11 +26,24 @@ from . import codecs, framing, sinks
 
 SPLIT = 64 << 20
 SEGMENTS = "array<struct<offset:bigint,len:int>>"
-COLUMNS = (
-    "header binary, seq binary, qual binary, file string, split_id int, record bigint, header_offset bigint, seq_offset bigint, qual_offset bigint, voffset bigint"
-)
+COLUMNS = {
+    "header": "binary", "seq": "binary", "qual": "binary", "file": "string", "file_no": "int", "split_id": "int", "record": "bigint", "header_offset": "bigint", "seq_offset": "bigint",
+    "qual_offset": "bigint", "voffset": "bigint",
+}
+#: With the option summary: a split's records, and the decoded bytes from its place to the next split's, where offsets count from the split (else 0).
+SUMMARY = "file string, file_no int, split_id int, records bigint, bytes bigint"
+READ_OPTIONS = ("path", "format", "compression", "splitsize", "splittable", "bgzfeofcheck", "mode", "startoffset", "endoffset", "resync", "columns", "summary")
+WRITE_OPTIONS = ("path", "compression", "level", "validation", "alphabet", "quality", "singlefile", "singlefilelimit")
 #: Rows of an Arrow batch at most.
 BATCH = 50_000
+#: Bytes that one file may be put together of at commit, which one process copies.
+SINGLE = 1 << 30
+
+
+def known(options, names: tuple[str, ...]) -> None:
+    odd = sorted(k for k in options if k.lower() not in names)
+    if odd:
+        raise ValueError(f"unknown options of fastq: {', '.join(odd)}; known are {', '.join(names)}")
 
 
 def flag(options, name: str, default: bool) -> bool:
@@ -64,20 +79,22 @@ def modified(file: str) -> int:
 
 @dataclass
 class Split(InputPartition):
+    """A part of a file. Plain: start and end are bytes. BGZF: bytes of the file at or after which the first block counts, or, where exact, virtual offsets."""
+
     file: str
     kind: str
     split_id: int
-    #: Plain: bytes. BGZF: decoded offsets, with `blocks` as (compressed, decoded) of the block that holds each end.
+    file_no: int = 0
     start: int = 0
     end: int | None = None
-    start_block: tuple[int, int] = (0, 0)
-    end_block: tuple[int, int] | None = None
-    exact: bool = True
-    unmarked: bool = False
+    exact_start: bool = True
+    exact_end: bool = False
+    failed: ReadError | None = None
 
 
 class Options:
     def __init__(self, options):
+        known(options, READ_OPTIONS)
         self.wrapped = str(options.get("format", "single")).lower() in ("multiline", "multi", "multi-line")
         self.kind = str(options.get("compression", "auto")).lower()
         self.split = max(1, int(options.get("splitSize", SPLIT)))
@@ -86,78 +103,119 @@ class Options:
         self.permissive = str(options.get("mode", "failfast")).lower() == "permissive"
         self.start = int(options["startOffset"]) if "startOffset" in options else None
         self.end = int(options["endOffset"]) if "endOffset" in options else None
+        self.resync, self.summary = flag(options, "resync", False), flag(options, "summary", False)
+        asked = [c.strip() for c in str(options.get("columns", "")).split(",") if c.strip()]
+        odd = [c for c in asked if c not in COLUMNS]
+        if odd:
+            raise ValueError(f"unknown columns of fastq: {', '.join(odd)}; known are {', '.join(COLUMNS)}")
+        self.columns = tuple(c for c in COLUMNS if not asked or c in asked)
+        self.want = () if self.summary else tuple(c for c in framing.FIELDS if c in self.columns)
 
     def schema(self) -> str:
-        return COLUMNS + (f", seq_segs {SEGMENTS}, qual_segs {SEGMENTS}" if self.wrapped else "") + (f", error struct<{ERROR_SCHEMA.replace(' ', ':').replace(',:', ',')}>" if self.permissive else "")
-
-
-def planned(file: str, o: Options) -> list[Split]:
-    """A file's splits; an error of its container is left to the task that meets it."""
+        if self.summary:
+            return SUMMARY
+        out = [f"{c} {COLUMNS[c]}" for c in self.columns]
+        if self.wrapped:
+            out += [f"seq_segs {SEGMENTS}", f"qual_segs {SEGMENTS}"]
+        if self.permissive:
+            out.append(f"error struct<{ERROR_SCHEMA.replace(' ', ':').replace(',:', ',')}>")
+        return ", ".join(out)
+
+
+def planned(file: str, o: Options, file_no: int = 0) -> list[Split]:
+    """A file's splits, by its size and first bytes alone; what is wrong with it is left to the task that meets it."""
     with codecs.opened(file) as f:
         found = codecs.sniff(f.read(codecs.SNIFFED))
     kind = found if o.kind == "auto" else o.kind
-    if o.kind == "bgzf" and found != "bgzf":
-        raise invalid("BgzfHeader", 0)
-    if kind in ("bzip2", "xz"):
-        raise ReadError("Unsupported", detail=kind)
-    if (o.start is not None or o.end is not None) and kind in ("gzip", "zstd"):
-        raise ReadError("Unsupported", detail="seek")
-    if kind == "plain":
-        total = codecs.size_of(file)
-        low, high = o.start or 0, total if o.end is None else min(o.end, total)
-        cuts = list(range(low, high, o.split)) if o.splittable and not o.wrapped and high - low > o.split else [low]
-        return [Split(file, kind, k, a, b if b < total or o.end is not None else None, exact=k == 0) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], high], strict=True))]
-    if kind != "bgzf" or not o.splittable and o.start is None and o.end is None:
-        return [Split(file, kind, 0)]
-    index, marked = codecs.bgzf_index(file)
-    places = {c: d for c, d in index}
-    unmarked = o.eof_check and not marked
-
-    def decoded(voffset: int) -> int:
-        block, inside = voffset >> 16, voffset & 0xFFFF
-        if block not in places:
-            raise invalid("BgzfVirtualOffset", voffset)
-        sizes = dict(zip((c for c, _ in index), (b - a for (_, a), (_, b) in zip(index, index[1:], strict=False)), strict=False))
-        if inside > sizes.get(block, 0):
-            raise invalid("BgzfVirtualOffset", voffset)
-        return places[block] + inside
-
-    low, high = decoded(o.start) if o.start is not None else 0, decoded(o.end) if o.end is not None else None
-    cuts = [low]
-    if o.splittable and not o.wrapped:
-        for _, d in index[:-1]:
-            if d - cuts[-1] >= o.split and (high is None or d < high):
-                cuts.append(d)
-    starts = np.array([d for _, d in index])
 
-    def block(offset: int) -> tuple[int, int]:
-        return index[max(0, int(np.searchsorted(starts, offset, side="right")) - 1)] if offset < index[-1][1] else index[-1]
+    def failed(e: ReadError) -> list[Split]:
+        return [Split(file, kind, 0, file_no, failed=e)]
 
+    if o.kind == "bgzf" and found != "bgzf":
+        return failed(invalid("BgzfHeader", 0))
+    if kind in ("bzip2", "xz"):
+        return failed(ReadError("Unsupported", detail=kind))
+    sought = o.start is not None or o.end is not None
+    if sought and kind not in ("plain", "bgzf"):
+        return failed(ReadError("Unsupported", detail="seek"))
+    if kind not in ("plain", "bgzf"):
+        return [Split(file, kind, 0, file_no)]
+    total, shift = codecs.size_of(file), 16 if kind == "bgzf" else 0
+    low, high = (o.start or 0) >> shift, total if o.end is None else min(o.end >> shift, total)
+    cuts = list(range(low, high, o.split)) if o.splittable and not o.wrapped and high - low > o.split else [low]
+    last = len(cuts) - 1
     return [
-        Split(file, kind, k, a, b, block(a), block(b) if b is not None else None, exact=k == 0, unmarked=unmarked and b is None)
-        for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], high], strict=True))
+        Split(file, kind, k, file_no, a if k else o.start or 0, b if k < last else o.end, k == 0 and not o.resync, k == last and o.end is not None)
+        for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], None], strict=True))
     ]
 
 
 def plans(files: list[str], o: Options) -> list[Split | None]:
     """The splits of all files, which are looked into side by side: planning waits for storage, not for the processor."""
     with ThreadPoolExecutor(32) as pool:
-        return [s for found in pool.map(lambda f: planned(f, o), files) for s in found] or [None]
+        return [s for found in pool.map(lambda k: planned(files[k], o, k), range(len(files))) for s in found] or [None]
 
 
-class Source:
-    """Decoded chunks of a split, with the blocks they came from."""
+class Place:
+    """Decoded chunks of a split and where its records start and end. In BGZF, offsets count from the split's first block."""
 
-    def __init__(self, split: Split):
-        self.split, self.blocks = split, []
+    def __init__(self, split: Split, o: Options):
+        self.split, self.o, self.blocks, self.base = split, o, [], 0
+        self.start: int | None = split.start
+        self.end: int | None = split.end
+        if split.kind == "bgzf":
+            self.bgzf()
+        elif split.kind == "plain":
+            if not split.exact_start:
+                self.start = self.sync(split.start)
+            if split.end is not None and not split.exact_end and self.start is not None:
+                self.end = self.sync(split.end)
 
-    def chunks(self, offset: int, block: tuple[int, int]) -> Iterator[bytes]:
+    def bgzf(self) -> None:
+        s = self.split
+        at, inside = s.start, 0
+        if s.exact_start or s.split_id == 0:
+            at, inside = self.virtual(s.start)
+        else:
+            at = codecs.next_block(s.file, s.start)
+        self.base, self.start, self.end = at or 0, None, None
+        if at is None:
+            return
+        if s.exact_start:
+            self.start = inside
+        elif s.split_id:
+            self.start = self.sync(0, first=False)
+        else:
+            self.start = self.sync(inside)
+        if s.end is None or self.start is None:
+            return
+        if s.exact_end:
+            block, inside = self.virtual(s.end)
+            self.end = codecs.decoded_span(s.file, at, block) + inside
+        elif (block := codecs.next_block(s.file, s.end)) is not None:
+            found = self.sync(0, first=False, base=block)
+            self.end = None if found is None else codecs.decoded_span(s.file, at, block) + found
+
+    def virtual(self, voffset: int) -> tuple[int, int]:
+        """(block, place in it) of a virtual offset, if it has such a block and place; the end of the file has the place 0."""
+        block, inside, total = voffset >> 16, voffset & 0xFFFF, codecs.size_of(self.split.file)
+        if block == total and not inside and total:
+            return block, 0
+        with codecs.opened(self.split.file) as f:
+            size = codecs.block_at(f, block, total)
+        if not voffset:
+            return 0, 0  # what is wrong with the first block is for the scan to say
+        if size is None or inside > codecs.decoded_span(self.split.file, block, block + 1):
+            raise invalid("BgzfVirtualOffset", voffset)
+        return block, inside
+
+    def chunks(self, offset: int, base: int | None = None) -> Iterator[bytes]:
         s = self.split
         if s.kind == "plain":
             yield from codecs.file_chunks(s.file, offset)
         elif s.kind == "bgzf":
-            at, place = block
-            for here, data in codecs.bgzf_blocks(s.file, at, place):
+            place = 0
+            for here, data in codecs.bgzf_blocks(s.file, self.base if base is None else base, 0):
                 self.blocks.append((place, here))
                 if place + len(data) > offset:
                     yield data[max(0, offset - place) :]
@@ -165,71 +223,97 @@ class Source:
         else:
             yield from codecs.decoded_chunks(s.file, s.kind)
 
-    def sync(self, offset: int, block: tuple[int, int], wrapped: bool) -> int | None:
-        """The first record start at or after offset; None if there is none before the end."""
-        if not offset:
-            return 0
-        before = offset - 1 if self.split.kind == "plain" or offset > block[1] else None
-        # in BGZF a block's first byte has no byte before it here; whether it starts a line shows the block before, so it is tried as it is
-        chunks, data, ended = self.chunks(offset if before is None else before, block), b"\n" if before is None else b"", False
-        base = offset - 1
-        size = 1 << 18
+    def sync(self, offset: int, first: bool = True, base: int | None = None) -> int | None:
+        """The first record start at or after offset; None if there is none before the end.
+
+        Without first, what starts exactly at offset belongs to the split before: in BGZF a block does not show the byte before it, so both splits
+        take the first line that starts within it.
+        """
+        if not offset and first:
+            data, at, chunks = b"\n", -1, self.chunks(0, base)
+        elif first:
+            data, at, chunks = b"", offset - 1, self.chunks(offset - 1, base)
+        else:
+            data, at, chunks = b"", offset, self.chunks(offset, base)
+        ended, size = False, 1 << 18
         while True:
-            while len(data) < size and not ended:
+            parts, have = [data], len(data)
+            while have < size and not ended:
                 got = next(chunks, None)
                 ended = got is None
-                data += got or b""
-            found = framing.synced(data, base, ended, wrapped)
-            if found is not None or ended:
-                return found
-            size *= 4
+                parts.append(got or b"")
+                have += len(got or b"")
+            data = b"".join(parts)
+            try:
+                return framing.synced(data, at, ended, self.o.wrapped)
+            except framing.NeedMore:
+                size *= 4
+
+    def voffsets(self, offsets) -> pa.Array:
+        if self.split.kind != "bgzf" or not len(offsets):
+            return pa.nulls(len(offsets), pa.int64())
+        blocks, offsets = np.array(self.blocks, np.int64), np.asarray(offsets)
+        k = np.searchsorted(blocks[:, 0], offsets, side="right") - 1
+        return pa.array(blocks[k, 1] << 16 | offsets - blocks[k, 0])
+
+    def records(self) -> Iterator[framing.Records]:
+        """The split's records; an error that the container has at its end comes last."""
+        if self.start is None or self.end is not None and self.start >= self.end:
+            return
+        self.blocks.clear()
+        for got in framing.framed(self.chunks(self.start), self.start, self.o.wrapped, self.end, self.o.want):
+            yield got
+            if got.error:
+                return
+        if self.split.kind == "bgzf" and self.end is None and self.o.eof_check and not codecs.marked(self.split.file):
+            yield framing.Records(error=invalid("BgzfMissingEofMarker", self.blocks[-1][0] if self.blocks else self.start))
 
-    def voffsets(self, offsets: list[int]) -> list[int | None]:
-        if self.split.kind != "bgzf" or not offsets:
-            return [None] * len(offsets)
-        places = np.array([p for p, _ in self.blocks])
-        k = np.searchsorted(places, np.array(offsets), side="right") - 1
-        return [(self.blocks[j][1] << 16) | (o - self.blocks[j][0]) for j, o in zip(k.tolist(), offsets, strict=True)]
+    def absolute(self, e: ReadError) -> ReadError:
+        """An error's place in the whole stream: in BGZF the blocks before the split are walked, which only an error does."""
+        if self.split.kind != "bgzf" or not self.base or e.kind == "BgzfVirtualOffset":
+            return e
+        return e.moved(codecs.decoded_span(self.split.file, 0, self.base))
 
 
 def batches(split: Split, o: Options) -> Iterator[pa.RecordBatch]:
-    source, start, end = Source(split), split.start, split.end
-    count = 0
+    count, place = 0, None
     try:
-        if not split.exact:
-            start = source.sync(split.start, split.start_block, o.wrapped)
-            if start is None:
-                return
-        if end is not None and o.end is None or end is not None and end != o.end and split.kind == "plain":
-            end = source.sync(end, split.end_block or (0, 0), o.wrapped)
-        if end is not None and start >= end:
-            return
-        source.blocks.clear()
-        block = split.start_block
-        for got in framing.framed(source.chunks(start, block), start, o.wrapped, end):
-            for at in range(0, len(got), BATCH):
-                part = slice(at, at + BATCH)
-                yield batch(got, part, count + at, split, o, source)
+        if split.failed:
+            raise split.failed
+        place = Place(split, o)
+        for got in place.records():
+            if not o.summary:
+                for at in range(0, len(got), BATCH):
+                    yield batch(got, slice(at, at + BATCH), count + at, split, o, place)
             count += len(got)
             if got.error:
                 raise got.error
-        if split.unmarked:
-            raise invalid("BgzfMissingEofMarker", source.blocks[-1][0] if source.blocks else start).numbered(count + 1)
     except ReadError as e:
-        if not o.permissive:
-            raise
-        yield failure(e.numbered(count + 1), split, o)
-
-
-def batch(got: framing.Records, part: slice, before: int, split: Split, o: Options, source: Source) -> pa.RecordBatch:
+        e = e.numbered(count + 1)
+        e = place.absolute(e) if place else e
+        if not o.permissive and not o.summary:
+            raise e from None
+        count += 1
+        if not o.summary:
+            yield failure(e, split, o)
+    if o.summary:
+        # offsets of a BGZF split count from its first block: the bytes up to the next split's first block
+        after = codecs.next_block(split.file, split.end) if place and split.kind == "bgzf" and split.end is not None and not split.exact_end else None
+        span = codecs.decoded_span(split.file, place.base, after) if after is not None else 0
+        columns = [pa.array([split.file]), pa.array([split.file_no], pa.int32()), pa.array([split.split_id], pa.int32()), pa.array([count], pa.int64()), pa.array([span], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SUMMARY.split(", ")])
+
+
+def batch(got: framing.Records, part: slice, before: int, split: Split, o: Options, place: Place) -> pa.RecordBatch:
     offsets = got.header_offset[part]
     n = len(offsets)
-    columns = {
-        "header": pa.array(got.header[part], pa.binary()), "seq": pa.array(got.seq[part], pa.binary()), "qual": pa.array(got.qual[part], pa.binary()),
-        "file": pa.array([split.file] * n, pa.string()), "split_id": pa.array(np.full(n, split.split_id, np.int32)),
-        "record": pa.array(np.arange(before + 1, before + n + 1)), "header_offset": pa.array(offsets, pa.int64()),
-        "seq_offset": pa.array(got.seq_offset[part], pa.int64()), "qual_offset": pa.array(got.qual_offset[part], pa.int64()), "voffset": pa.array(source.voffsets(offsets), pa.int64()),
+    made = {
+        "file": lambda: pa.repeat(pa.scalar(split.file, pa.string()), n), "file_no": lambda: pa.array(np.full(n, split.file_no, np.int32)),
+        "split_id": lambda: pa.array(np.full(n, split.split_id, np.int32)), "record": lambda: pa.array(np.arange(before + 1, before + n + 1)), "voffset": lambda: place.voffsets(offsets),
     }
+    made |= {f: lambda f=f: x if isinstance(x := getattr(got, f)[part], pa.Array) else pa.array(x, pa.binary()) for f in framing.FIELDS}
+    made |= {f: lambda f=f: pa.array(getattr(got, f)[part], pa.int64()) for f in ("header_offset", "seq_offset", "qual_offset")}
+    columns = {c: made[c]() for c in o.columns}
     if o.wrapped:
         kind = pa.list_(pa.struct([("offset", pa.int64()), ("len", pa.int32())]))
         for name in ("seq_segs", "qual_segs"):
@@ -244,12 +328,11 @@ ERROR_TYPE = pa.struct([(k, {"string": pa.string(), "bigint": pa.int64(), "int":
 
 def failure(e: ReadError, split: Split, o: Options) -> pa.RecordBatch:
     """One row that has the place of an error and no record."""
-    kind = pa.list_(pa.struct([("offset", pa.int64()), ("len", pa.int32())]))
-    columns = {c: pa.nulls(1, pa.binary()) for c in ("header", "seq", "qual")}
-    columns |= {"file": pa.array([split.file]), "split_id": pa.array([split.split_id], pa.int32()), "record": pa.array([e.record], pa.int64()), "header_offset": pa.array([e.offset], pa.int64())}
-    columns |= {c: pa.nulls(1, pa.int64()) for c in ("seq_offset", "qual_offset", "voffset")}
+    types = {"binary": pa.binary(), "string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+    known = {"file": split.file, "file_no": split.file_no, "split_id": split.split_id, "record": e.record, "header_offset": e.offset}
+    columns = {c: pa.array([known.get(c)], types[COLUMNS[c]]) for c in o.columns}
     if o.wrapped:
-        columns |= {c: pa.nulls(1, kind) for c in ("seq_segs", "qual_segs")}
+        columns |= {c: pa.nulls(1, pa.list_(pa.struct([("offset", pa.int64()), ("len", pa.int32())]))) for c in ("seq_segs", "qual_segs")}
     return pa.RecordBatch.from_pydict(columns | {"error": pa.array([e.row()], ERROR_TYPE)})
 
 
@@ -310,7 +393,9 @@ class Writer(DataSourceArrowWriter):
     """Tasks write hidden files that commit renames; a failed job leaves nothing behind."""
 
     def __init__(self, options, overwrite: bool):
+        known(options, WRITE_OPTIONS)
         self.path, self.overwrite = options["path"], overwrite
+        self.limit = int(options.get("singleFileLimit", SINGLE))
         self.kind = str(options.get("compression", sinks.by_extension(self.path))).lower()
         if self.kind not in sinks.SUFFIX:
             raise ReadError("Unsupported", detail=self.kind)
@@ -334,14 +419,10 @@ class Writer(DataSourceArrowWriter):
         f = None  # a task without rows makes no file
         try:
             for b in iterator:
-                out = []
-                for header, seq, qual in zip(*(b.column(c).to_pylist() for c in ("header", "seq", "qual")), strict=True):
-                    checks.check(header, seq, qual)
-                    out.append(b"@%b\n%b\n+\n%b\n" % (header, seq, qual))
-                if out:
+                if b.num_rows:
                     f = f or sinks.output(temporary)
-                    rows += len(out)
-                    f.write(encoder.add(b"".join(out)))
+                    rows += b.num_rows
+                    f.write(encoder.add(checks.text(*(b.column(c) for c in ("header", "seq", "qual")))))
             if f:
                 f.write(encoder.finish())
                 f.close()
@@ -362,6 +443,9 @@ class Writer(DataSourceArrowWriter):
             kept.append((name, m.file))
         if self.single:
             parts = [f for _, f in sorted(kept)]
+            size = sum(codecs.size_of(f) for f in parts)
+            if size > self.limit:
+                raise ReadError("Unsupported", detail=f"one file of {size} bytes, above singleFileLimit {self.limit}; a folder of parts has no limit")
             temporary = f"{self.path}.{self.job}"
             if parts:
                 sinks.joined(parts, temporary, self.kind)

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from ..errors import ReadError, invalid
 
@@ -13,22 +15,39 @@ from ..errors import ReadError, invalid
 WINDOW = 8 << 20
 
 
+#: Fields of a record that are built if they are wanted; places always are.
+FIELDS = ("header", "seq", "qual")
+#: Bytes that an Arrow array of binary values can hold.
+MOST = (1 << 31) - 1
+
+
 @dataclass
 class Records:
-    """Columns of framed records; offsets are absolute in the decoded stream."""
-
-    header: list[bytes] = field(default_factory=list)
-    seq: list[bytes] = field(default_factory=list)
-    qual: list[bytes] = field(default_factory=list)
-    header_offset: list[int] = field(default_factory=list)
-    seq_offset: list[int] = field(default_factory=list)
-    qual_offset: list[int] = field(default_factory=list)
+    """Columns of framed records, as Arrow arrays where the records are regular, else as lists; offsets are absolute in the decoded stream."""
+
+    header: pa.Array | list[bytes] | None = field(default_factory=list)
+    seq: pa.Array | list[bytes] | None = field(default_factory=list)
+    qual: pa.Array | list[bytes] | None = field(default_factory=list)
+    header_offset: np.ndarray | list[int] = field(default_factory=list)
+    seq_offset: np.ndarray | list[int] = field(default_factory=list)
+    qual_offset: np.ndarray | list[int] = field(default_factory=list)
     seq_segs: list[list[tuple[int, int]]] | None = None
     qual_segs: list[list[tuple[int, int]]] | None = None
     error: ReadError | None = None
 
     def __len__(self) -> int:
-        return len(self.header)
+        return len(self.header_offset)
+
+    def cut(self, n: int) -> None:
+        """Only the first n records stay."""
+        for name in (*FIELDS, "header_offset", "seq_offset", "qual_offset", "seq_segs", "qual_segs"):
+            if getattr(self, name) is not None:
+                setattr(self, name, getattr(self, name)[:n])
+
+    def values(self, name: str) -> list[bytes]:
+        """A field as a list."""
+        found = getattr(self, name)
+        return found.to_pylist() if isinstance(found, pa.Array) else found
 
 
 class Lines:
@@ -123,32 +142,43 @@ def multi(lines: Lines):
             return header[1:], whole, b"".join(qual), at, s_at, q_at, s_segs, q_segs
 
 
-def regular(data: bytes, at: int) -> tuple[Records, int] | None:
-    """All complete records of a buffer of regular four-line records, and the bytes used; None if any is irregular."""
+def regular(data: bytes, at: int, want: tuple[str, ...] = FIELDS) -> tuple[Records, int] | None:
+    """All complete records of a buffer of regular four-line records, and the bytes used; None if any is irregular.
+
+    Lines end alike, with or without a carriage return. Fields are cut out by Arrow kernels, never one by one.
+    """
     raw = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(raw == 10)
     n = len(ends) // 4
-    if not n:
+    if not n or ends[4 * n - 1] > MOST:
         return None
     ends = ends[: 4 * n]
     starts = np.empty_like(ends)
     starts[0], starts[1:] = 0, ends[:-1] + 1
     size = (ends - starts).reshape(n, 4)
-    if (raw[starts[0::4]] != 64).any() or (raw[starts[2::4]] != 43).any() or (size[:, 1] != size[:, 3]).any() or (raw[ends - 1] == 13).any():
+    returns = (raw[ends - 1] == 13) & (ends > starts)
+    tail = 2 if returns.any() else 1
+    if (raw[starts[0::4]] != 64).any() or (raw[starts[2::4]] != 43).any() or (size[:, 1] != size[:, 3]).any() or tail == 2 and not returns.all():
         return None
     used = int(ends[-1]) + 1
-    lines = data[:used].split(b"\n")
-    return Records(
-        [h[1:] for h in lines[0:-1:4]], lines[1::4], lines[3::4], (starts[0::4] + at).tolist(), (starts[1::4] + at).tolist(), (starts[3::4] + at).tolist()
-    ), used
+    lines = None
+    if want:
+        bounds = np.empty(4 * n + 1, np.int32)
+        bounds[:-1], bounds[-1] = starts, used
+        lines = pa.Array.from_buffers(pa.binary(), 4 * n, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+
+    def cut(name: str, nth: int, start: int):
+        return pc.binary_slice(lines.take(pa.array(np.arange(nth, 4 * n, 4))), start, -tail) if name in want else None
 
+    return Records(cut("header", 0, 1), cut("seq", 1, 0), cut("qual", 3, 0), starts[0::4] + at, starts[1::4] + at, starts[3::4] + at), used
 
-def framed(chunks: Iterator[bytes], at: int = 0, wrapped: bool = False, end: int | None = None) -> Iterator[Records]:
-    """Records of decoded chunks that start at offset `at`, up to the first record that starts at `end` or later.
+
+def framed(chunks: Iterator[bytes], at: int = 0, wrapped: bool = False, end: int | None = None, want: tuple[str, ...] = FIELDS) -> Iterator[Records]:
+    """Records of decoded chunks that start at offset `at`, up to the first record that starts at `end` or later, with the fields wanted.
 
     An error ends the records: it comes in the last Records, with the number of its record among those framed here.
     """
-    data, ended, count = b"", False, 0
+    data, ended, count, failed = b"", False, 0, None  # failed: what the chunks ended with, due once the records before it are out
     take = multi if wrapped else single
     while True:
         parts, size = [data], len(data)
@@ -162,10 +192,8 @@ def framed(chunks: Iterator[bytes], at: int = 0, wrapped: bool = False, end: int
                     size += len(got)
         except ReadError as e:
             failed, ended = e, True
-        else:
-            failed = None
         data = b"".join(parts)
-        fast = None if wrapped else regular(data, at)
+        fast = None if wrapped else regular(data, at, want)
         if fast:
             out, used = fast
         else:
@@ -186,10 +214,7 @@ def framed(chunks: Iterator[bytes], at: int = 0, wrapped: bool = False, end: int
             except ReadError as e:
                 out.error = e.numbered(count + len(out) + 1)
         if end is not None and len(out) and out.header_offset[-1] >= end:
-            k = int(np.searchsorted(np.array(out.header_offset), end))
-            for name in ("header", "seq", "qual", "header_offset", "seq_offset", "qual_offset", "seq_segs", "qual_segs"):
-                if getattr(out, name) is not None:
-                    setattr(out, name, getattr(out, name)[:k])
+            out.cut(int(np.searchsorted(np.asarray(out.header_offset), end)))
             out.error = None
             yield out
             return
@@ -207,14 +232,12 @@ def framed(chunks: Iterator[bytes], at: int = 0, wrapped: bool = False, end: int
 
 
 def starts_record(lines: Lines, wrapped: bool, confirm: int) -> bool:
-    """Whether `confirm` well-formed records, or all up to the end, follow one another from here."""
+    """Whether `confirm` well-formed records, or all up to the end, follow one another from here. NeedMore: the buffer ends before that is known."""
     take = multi if wrapped else single
     try:
         for _ in range(confirm):
             if take(lines) is None:
                 break
-    except NeedMore:
-        return True
     except ReadError:
         return False
     return True
@@ -223,7 +246,8 @@ def starts_record(lines: Lines, wrapped: bool, confirm: int) -> bool:
 def synced(data: bytes, at: int, whole: bool, wrapped: bool = False, confirm: int = 3) -> int | None:
     """The first offset at or after the first line start in data at which records follow; None if data holds none.
 
-    data must begin one byte before the wanted offset, so that a record that starts exactly there is found.
+    data must begin one byte before the wanted offset, so that a record that starts exactly there is found. NeedMore is raised where data ends
+    inside a candidate and more is to come: a start is never taken unconfirmed, however long the reads are.
     """
     place = data.find(b"\n") + 1
     while place:
@@ -232,5 +256,9 @@ def synced(data: bytes, at: int, whole: bool, wrapped: bool = False, confirm: in
             lines.place = place
             if starts_record(lines, wrapped, confirm):
                 return at + place
+        elif place == len(data) and not whole:
+            raise NeedMore
         place = data.find(b"\n", place) + 1
+    if not whole:
+        raise NeedMore
     return None

@@ -10,7 +10,7 @@ __all__ = ["stream_reads", "write_stream"]
 
 
 def write_stream(stream: DataFrame, path: str, checkpoint: str, **options):
-    """Starts a query that writes each micro-batch to a folder of its own, replacing what an earlier attempt left there."""
+    """A writer, to be started, that puts each micro-batch into a folder of its own, replacing what an earlier attempt left there."""
 
     def batch(df: DataFrame, number: int) -> None:
         write_reads(df, f"{path}/batch-{number:08d}", mode="overwrite", **options)

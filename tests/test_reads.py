@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom import errors
-from readloom.api import error_of, parse_bytes, read_reads, write_reads
+from readloom.api import error_of, parse_bytes, read_pairs, read_reads, starts_record, write_reads
 from readloom.functions import columns as C
 from readloom.operators import reads as R
 from readloom.sources import codecs, fastq, framing, sinks
@@ -19,7 +19,7 @@ def records(data: bytes, wrapped: bool = False, piece: int = 7):
     """(records, error) of bytes that arrive in small pieces."""
     out, error = [], None
     for got in framing.framed((data[k : k + piece] for k in range(0, len(data), piece)), 0, wrapped):
-        out += zip(got.header, got.seq, got.qual, strict=True)
+        out += zip(*map(got.values, framing.FIELDS), strict=True)
         error = got.error
     return out, error
 
@@ -68,16 +68,89 @@ def generated(seed: int, n: int = 60):
     return out, data[:-1] if data.endswith(b"\n") and rng.random() < 0.5 and out[-1][2] else data
 
 
+def stored(path, data: bytes, kind: str, block: int = 997) -> None:
+    path.write_bytes(data if kind == "plain" else b"".join(sinks.bgzf_block(data[k : k + block], 6) for k in range(0, len(data), block)) + codecs.BGZF_EOF)
+
+
+def scanned(path, **options):
+    o = fastq.Options({k: str(v) for k, v in options.items()})
+    return [r for s in fastq.planned(str(path), o) for b in fastq.batches(s, o) for r in zip(*(b[c].to_pylist() for c in ("header", "seq", "qual")), strict=True)]
+
+
 @pytest.mark.parametrize("kind", ["plain", "bgzf"])
 def test_every_split_size_gives_the_same_reads(tmp_path, kind):
     want, data = generated(5)
-    path = str(tmp_path / "reads")
-    with open(path, "wb") as f:
-        f.write(data if kind == "plain" else b"".join(sinks.bgzf_block(data[k : k + 997], 6) for k in range(0, len(data), 997)) + codecs.BGZF_EOF)
+    stored(tmp_path / "reads", data, kind)
     for size in [*range(1, 120, 7), 500, 1000, 4096, 1 << 20]:
-        o = fastq.Options({"splitSize": str(size)})
-        got = [r for s in fastq.planned(path, o) for b in fastq.batches(s, o) for r in zip(*(b[c].to_pylist() for c in ("header", "seq", "qual")), strict=True)]
-        assert got == want, size
+        assert scanned(tmp_path / "reads", splitSize=size) == want, size
+
+
+@pytest.mark.parametrize("kind", ["plain", "bgzf"])
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_reads_longer_than_splits(tmp_path, kind, wrapped):
+    rng, want, data = random.Random(11), [], b""
+    for k in range(12):  # qualities that look like headers, reads up to a megabyte
+        n = rng.choice((100, 60_000, 400_000, 1_000_000))
+        seq, qual = b"ACGT" * (n // 4), b"@" + b"I@+J" * (n // 4 - 1) + b"II@"
+        want.append((b"r%d" % k, seq, qual))
+        width = 70_001 if wrapped else n
+        data += b"@r%d\n%b\n+\n%b\n" % (k, b"\n".join(seq[i : i + width] for i in range(0, n, width)), b"\n".join(qual[i : i + width] for i in range(0, n, width)))
+    stored(tmp_path / "reads", data, kind, 60_000)
+    for size in (1 << 21, 1 << 20, 300_000, 100_001):
+        if kind == "bgzf":
+            size //= 100  # these bytes compress well
+        assert scanned(tmp_path / "reads", splitSize=size, format="multiline" if wrapped else "single") == want, size
+
+
+def test_resync_and_shape(tmp_path):
+    want, data = generated(8)
+    at = [k for k in range(0, len(data), 97)]
+    for kind in ("plain", "bgzf"):
+        stored(tmp_path / kind, data, kind, 500)
+    o = fastq.Options({})
+    heads = [x for s in fastq.planned(str(tmp_path / "plain"), o) for b in fastq.batches(s, o) for x in b["header_offset"].to_pylist()]
+    for offset in at:
+        left = [r for r, h in zip(want, heads, strict=True) if h >= offset]
+        assert scanned(tmp_path / "plain", startOffset=offset, resync="true") == left
+        assert starts_record(str(tmp_path / "plain"), offset) == (offset in heads)
+    assert all(starts_record(str(tmp_path / "plain"), h) for h in heads)
+    block = next(c for c in codecs.bgzf_blocks(str(tmp_path / "bgzf"), 0, 0) if c[0])[0]
+    assert scanned(tmp_path / "bgzf", startOffset=(block << 16) + 40, resync="true") == [r for r, h in zip(want, heads, strict=True) if h >= 540]
+    # an exact offset is never moved
+    with pytest.raises(errors.ReadError, match="does not start with '@'"):
+        scanned(tmp_path / "plain", startOffset=heads[3] + 1)
+
+
+def test_quality_before_headers_of_equal_length(tmp_path):
+    data = b"@r1\nTTTT\n+\n@AAA\n@r2\nTTTT\n+\nBBBB\n@r3\nAC\n+\nII\n"
+    stored(tmp_path / "x", data, "plain")
+    for size in range(1, len(data)):
+        for shape in ("single", "multiline"):
+            assert [r[0] for r in scanned(tmp_path / "x", splitSize=size, format=shape)] == [b"r1", b"r2", b"r3"]
+
+
+def test_damaged_bytes_never_crash_and_errors_lie_ahead(tmp_path):
+    rng, (_, data) = random.Random(12), generated(9, 30)
+    for k in range(150):
+        bad = bytearray(data)
+        for _ in range(rng.randrange(1, 4)):
+            bad[rng.randrange(len(bad))] = rng.choice(b"@+\n\rA\0")
+        kind = ("plain", "bgzf")[k % 2]
+        stored(tmp_path / "x", bytes(bad), kind, 300)
+        raw = bytearray((tmp_path / "x").read_bytes())
+        if k % 3 == 0:
+            raw[rng.randrange(len(raw))] ^= 1 << rng.randrange(8)
+            (tmp_path / "x").write_bytes(raw)
+        o = fastq.Options({"mode": "permissive", "splitSize": str(rng.choice((50, 400, 1 << 20)))})
+        for s in fastq.planned(str(tmp_path / "x"), o):
+            before = -1
+            for b in fastq.batches(s, o):
+                for h, e in zip(b["header_offset"].to_pylist(), b["error"].to_pylist(), strict=True):
+                    if e is None:
+                        assert h > before
+                        before = h
+                    else:
+                        assert 0 <= e["offset"] <= max(len(bad), len(raw)) + 1 and (s.kind == "bgzf" or e["offset"] >= before)
 
 
 def test_seek_to_every_virtual_offset(tmp_path):
@@ -91,8 +164,10 @@ def test_seek_to_every_virtual_offset(tmp_path):
         o = fastq.Options({"startOffset": str(v)})
         got = [h for s in fastq.planned(path, o) for b in fastq.batches(s, o) for h in b["header"].to_pylist()]
         assert got == [r[0] for r in want[k:]]
-    with pytest.raises(errors.ReadError, match="virtual offset"):
-        fastq.planned(path, fastq.Options({"startOffset": str((places[-1] >> 16) + 1 << 16)}))
+    for bad in ((places[-1] >> 16) + 1 << 16, places[0] + 501):
+        with pytest.raises(errors.ReadError, match="virtual offset"):
+            scanned(path, startOffset=bad)
+    assert scanned(path, startOffset=os.path.getsize(path) << 16) == []
 
 
 def decoded(data: bytes):
@@ -127,12 +202,40 @@ def test_bgzf_integrity(tmp_path):
 
     assert read(block + codecs.BGZF_EOF) == [b"a"]
     assert read(block) == [b"a", "BgzfMissingEofMarker"]
-    assert read(block, bgzfEofCheck="false") == [b"a"]
+    assert read(block, bgzfEofCheck="false") == [b"a"] and read(block, splittable="false") == [b"a", "BgzfMissingEofMarker"]
+    assert read(b"", compression="bgzf") == ["BgzfHeader"] and read(b"@a\nAC\n+\n!!\n", compression="bgzf") == ["BgzfHeader"]
     crc, size = struct.unpack("<II", block[-8:])
     assert read(block[:-8] + struct.pack("<II", crc ^ 1, size) + codecs.BGZF_EOF) == ["BgzfBlockCrc"]
     assert read(block[:-8] + struct.pack("<II", crc, size + 1) + codecs.BGZF_EOF) == ["BgzfBlockIsize"]
 
 
+def test_zstd_errors_have_kinds(tmp_path):
+    zstandard = pytest.importorskip("zstandard")
+    one = zstandard.ZstdCompressor().compress(b"@a\nAC\n+\n!!\n")
+
+    def decoded_zstd(data):
+        try:
+            return b"".join(codecs.unzstd(iter([data[k : k + 5] for k in range(0, len(data), 5)])))
+        except errors.ReadError as e:
+            return e.kind
+
+    assert decoded_zstd(one * 2) == b"@a\nAC\n+\n!!\n" * 2
+    assert decoded_zstd(one[:-3]) == "ZstdTruncated" and decoded_zstd(one + b"junk" * 9) == "ZstdData"
+
+
+def test_gzip_header_fields():
+    import zlib
+
+    body = gzip.compress(b"@a\nA\n+\n!\n", mtime=0)
+    extra, name, note = b"\x03\0abc", b"file\0", b"note\0"
+    for flags, fields in ((4, extra), (8, name), (16, note), (4 | 8 | 16, extra + name + note)):
+        head = body[:3] + bytes([flags]) + body[4:10] + fields
+        assert decoded(head + body[10:]) == b"@a\nA\n+\n!\n"
+        crc = body[:3] + bytes([flags | 2]) + body[4:10] + fields
+        assert decoded(crc + struct.pack("<H", zlib.crc32(crc) & 0xFFFF) + body[10:]) == b"@a\nA\n+\n!\n"
+    assert decoded(body[:3] + b"\x20" + body[4:]) == "GzipHeader"
+
+
 def test_detection_by_content(spark, tmp_path):
     data = b"@a\nAC\n+\n!!\n"
     for name, content in (("x.fastq", gzip.compress(data)), ("y.gz", data), ("z.gz", sinks.bgzf_block(data, 6) + codecs.BGZF_EOF)):
@@ -208,6 +311,7 @@ def test_pairs(spark, tmp_path):
         (tmp_path / name).write_bytes(b"".join(b"@%b\nA\n+\n!\n" % i for i in ids))
         return R.number_records(read_reads(spark, str(tmp_path / name)))
 
+    # (paired through the operators alone)
     good = R.pairs(file("a", [b"r1/1", b"r2/1"]), file("b", [b"r1/2", b"r2/2"]), check_ids=True)
     assert R.checked_pairs(good).count() == 2
     for one, two, ended in (([b"a", b"b"], [b"a"], "R2"), ([b"a"], [b"a", b"b"], "R1")):
@@ -220,6 +324,83 @@ def test_pairs(spark, tmp_path):
     assert R.guess_encoding(spark.createDataFrame([(bytearray(b"KKZZ"),)], "qual binary")).first()[0] == "phred64"
 
 
+def test_lanes_and_precedence(spark, tmp_path):
+    def file(name, text):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text)
+
+    for mate in (1, 2):
+        for lane in (1, 2):
+            file(f"m{mate}/l{lane}.fastq", b"".join(b"@l%dr%d/%d\nA\n+\n!\n" % (lane, k, mate) for k in range(3)))
+    got = read_pairs(spark, str(tmp_path / "m1"), str(tmp_path / "m2"), check_ids=True)
+    assert R.checked_pairs(got).count() == 6
+    # R1's own error comes before R2's at the same record, and both before what follows them
+    file("a", b"@r/1\nA\n+\n!\n@s/1\nX\n+\n!\n")
+    file("b", b"@r/2\nA\n+\n!\n@s/2\nAC\n+\n!\n")
+    e = R.first_pair_error(read_pairs(spark, str(tmp_path / "a"), str(tmp_path / "b"), validation="bases", alphabet="strict"))
+    assert (e.variant, e.record, e.offset, e.byte) == ("InvalidBase", 2, 16, 88)
+    e = R.first_pair_error(read_pairs(spark, str(tmp_path / "a"), str(tmp_path / "b")))
+    assert (e.variant, e.record, e.seq_len) == ("LengthMismatch", 2, 2)
+    file("c", b"@r/1\nA\n+\n!\n@s/1\nA\n+\n!\n")
+    file("d", b"@r/2\nA\n+\n!\n@t/2\nA\n+\n!\n")
+    e = R.first_pair_error(read_pairs(spark, str(tmp_path / "c"), str(tmp_path / "d"), check_ids=True))
+    assert (e.variant, e.record, e.offsets, e.ids) == ("PairedIdMismatch", 2, (11, 11), ("s", "t"))
+
+
+def test_reader_validates_and_refuses_unknown_options(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"@a\nAC\n+\n!!\n@b\nAX\n+\n!!\n@c\nA\n+\n!\n")
+    with pytest.raises(Exception) as e:
+        read_reads(spark, str(tmp_path / "x"), validation="bases", alphabet="strict").count()
+    got = error_of(e.value)
+    assert (got.variant, got.offset, got.record, got.byte) == ("InvalidBase", 15, 2, 88)
+    assert read_reads(spark, str(tmp_path / "x"), validation="qualities").count() == 3
+    prefix = read_reads(spark, str(tmp_path / "x"), mode="prefix", validation="bases-and-qualities", alphabet="strict")
+    assert [bytes(r.header) for r in prefix.collect()] == [b"a"]
+    assert read_reads(spark, str(tmp_path / "x"), columns="seq,record").columns == ["seq", "record"]
+    for bad in ({"splitsise": 1}, {"columns": "seqs"}):
+        with pytest.raises(Exception, match="unknown"):
+            read_reads(spark, str(tmp_path / "x"), **bad).count()
+    df = read_reads(spark, str(tmp_path / "x"))
+    with pytest.raises(Exception, match="unknown options"):
+        write_reads(df, str(tmp_path / "o"), levle=3)
+    with pytest.raises(Exception, match="singleFileLimit"):
+        write_reads(df, str(tmp_path / "o.fastq"), singleFile=True, singleFileLimit=5)
+
+
+def test_numbering_shuffles_no_read(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"".join(b"@r%d\nAC\n+\n!!\n" % k for k in range(1000)))
+    df = read_reads(spark, str(tmp_path / "x"), splitSize=700, numbered=True)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    rows = df.select("header", "record").collect()
+    assert sorted((r.record, bytes(r.header)) for r in rows) == [(k + 1, b"r%d" % k) for k in range(1000)]
+    many = R.number_records(read_reads(spark, str(tmp_path / "x"), splitSize=700), splits=3)  # more splits than are broadcast
+    assert sorted((r.record, bytes(r.header)) for r in many.collect()) == [(k + 1, b"r%d" % k) for k in range(1000)]
+
+
+def test_try_for_each(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"@a\nAC\n+\n!!\n@b\nAC\n+\n!!\n@c\nA\n+\n!!\n")
+    reads = read_reads(spark, str(tmp_path / "x"), mode="permissive", numbered=True)
+    with pytest.raises(errors.ReadError, match="length mismatch at offset 29 \\(record 3\\)"):
+        R.try_for_each(reads, lambda read: None)
+
+    def refuse(read):
+        if read["header"] == b"b":
+            raise KeyError("no b")
+
+    with pytest.raises(R.CallbackError, match="record 2 .*KeyError: 'no b'"):
+        R.try_for_each(reads, refuse)
+    assert R.try_for_each(reads.where("record < 3"), lambda read: None) == 2
+
+
+def test_values_in_memory(spark):
+    data = b"@a\nAC\n+\n!!\n"
+    values = [data, gzip.compress(data), sinks.bgzf_block(data, 6) + codecs.BGZF_EOF, sinks.bgzf_block(data, 6), b""]
+    df = spark.createDataFrame([(str(k), bytearray(v)) for k, v in enumerate(values)], "k string, content binary")
+    got = [(r.key, r.error and r.error.kind) for r in parse_bytes(df, key_col="k").orderBy("key", "record").collect()]
+    assert got == [("0", None), ("1", None), ("2", None), ("3", None), ("3", "BgzfMissingEofMarker")]
+
+
 def test_messages_parse():
     for e in (
         errors.invalid("PlusMissing", 9).numbered(2), errors.ReadError("UnexpectedEof", 11, 1), errors.ReadError("LengthMismatch", 3, 1, seq_len=4, qual_len=2),
