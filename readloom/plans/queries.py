@@ -115,7 +115,7 @@ RESYNC = 17_003
 
 def long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reads of many orders joined into long ones, whose qualities start as a header does."""
-    parts = base(spark, sf_dir).groupBy(F.expr("k div 32768").alias("k")).agg(F.sort_array(F.collect_list(F.struct("k", "seq", "qual"))).alias("x"))
+    parts = base(spark, sf_dir).groupBy(F.expr("k div 8192").alias("k")).agg(F.sort_array(F.collect_list(F.struct("k", "seq", "qual"))).alias("x"))
 
     def joined(field: str, first: str):
         return F.concat(F.lit(first), F.array_join(F.transform("x", lambda r: r[field]), ""))
@@ -133,7 +133,7 @@ def scan_long_split(extension: str):
 
 
 LONG_SQL = """SELECT concat('long', CAST(g AS VARCHAR(20))) AS header, concat('A', string_agg(seq, '' ORDER BY k)) AS seq, concat('@', string_agg(qual, '' ORDER BY k)) AS qual
-FROM (SELECT *, k // 32768 AS g FROM (%s)) GROUP BY g"""
+FROM (SELECT *, k // 8192 AS g FROM (%s)) GROUP BY g"""
 
 
 INDEX_SQL = f"""SELECT seq, record, until - size AS header_offset, until - size + length(header) + 2 AS seq_offset, until - length(qual) - 1 AS qual_offset
@@ -191,7 +191,7 @@ def paired_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 LANES_SQL = """WITH n AS (SELECT *, (k // 8) % 2 AS lane, CAST(row_number() OVER (PARTITION BY ln % 2, (k // 8) % 2 ORDER BY k) AS BIGINT) AS record FROM (%s))
 SELECT coalesce(a.lane, b.lane) AS lane, coalesce(a.record, b.record) AS record, a.seq AS seq1, b.seq AS seq2,
   CASE WHEN a.seq IS NULL THEN 'R1 ended first' WHEN b.seq IS NULL THEN 'R2 ended first' ELSE '' END AS error
-FROM (SELECT * FROM n WHERE ln %% 2 = 1) a FULL JOIN (SELECT * FROM n WHERE ln %% 2 = 0) b ON a.record = b.record AND a.lane = b.lane""".replace("%%", "%")
+FROM (SELECT * FROM n WHERE ln % 2 = 1) a FULL JOIN (SELECT * FROM n WHERE ln % 2 = 0) b ON a.record = b.record AND a.lane = b.lane"""
 
 
 def _canonical(header: str) -> str:
@@ -264,7 +264,7 @@ def broken_files() -> list[tuple[str, bytes, dict]]:
     ]
     packs = [
         ("gzip header", packed + b"\x1f\x8b\x07" + packed[3:], {}), ("gzip data", packed + packed[:10] + b"\xff" * 20, {}), ("gzip crc", packed[:-8] + b"\0\0\0\0" + packed[-4:], {}),
-        ("gzip size", packed[:-4] + b"\1\0\0\0", {}), ("gzip end", packed + packed[: len(packed) // 2], {}),
+        ("gzip size", packed[:-4] + b"\1\0\0\0", {}), ("gzip end", packed + packed[:-4], {}),
         ("bgzf header", block + b"@b\nAC\n+\nII\n" * 3 + codecs.BGZF_EOF, {}), ("bgzf data", block + block[:18] + b"\xff" * (len(block) - 26) + block[-8:] + codecs.BGZF_EOF, {}),
         ("bgzf crc", block + block[:-8] + b"\0\0\0\0" + size + codecs.BGZF_EOF, {}), ("bgzf size", block + block[:-8] + crc + b"\x01\0\0\0" + codecs.BGZF_EOF, {}),
         ("bgzf large", block + big[:-4] + b"\1\0\1\0" + codecs.BGZF_EOF, {}), ("bgzf marker", block, {}), ("bgzf forced", GOOD, {"compression": "bgzf"}),
@@ -290,7 +290,7 @@ def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 ERRORS_SQL = """SELECT * FROM (VALUES ('header', 'InvalidFormat', 'HeaderMissingAt', 15, 2), ('plus', 'InvalidFormat', 'PlusMissing', 21, 2), ('length', 'LengthMismatch', '', 24, 2),
   ('end', 'UnexpectedEof', '', 23, 2), ('seq line', 'InvalidFormat', 'SeqLineEmpty', 18, 2), ('qual line', 'InvalidFormat', 'QualLineEmpty', 26, 2), ('long qual', 'LengthMismatch', '', 25, 2),
   ('base', 'InvalidBase', '', 19, 2), ('quality', 'InvalidQuality', '', 24, 2), ('gzip header', 'InvalidFormat', 'GzipHeader', 15, 2), ('gzip data', 'InvalidFormat', 'GzipData', 15, 2),
-  ('gzip crc', 'InvalidFormat', 'GzipTrailerCrc', 15, 2), ('gzip size', 'InvalidFormat', 'GzipTrailerIsize', 15, 2), ('gzip end', 'InvalidFormat', 'GzipTruncated', 15, 2),
+  ('gzip crc', 'InvalidFormat', 'GzipTrailerCrc', 15, 2), ('gzip size', 'InvalidFormat', 'GzipTrailerIsize', 15, 2), ('gzip end', 'InvalidFormat', 'GzipTruncated', 30, 3),
   ('bgzf header', 'InvalidFormat', 'BgzfHeader', 15, 2), ('bgzf data', 'InvalidFormat', 'BgzfBlock', 15, 2), ('bgzf crc', 'InvalidFormat', 'BgzfBlockCrc', 15, 2),
   ('bgzf size', 'InvalidFormat', 'BgzfBlockIsize', 15, 2), ('bgzf large', 'InvalidFormat', 'BgzfBlockTooLarge', 15, 2), ('bgzf marker', 'InvalidFormat', 'BgzfMissingEofMarker', 15, 2),
   ('bgzf forced', 'InvalidFormat', 'BgzfHeader', 0, 1), ('bgzf place', 'InvalidFormat', 'BgzfVirtualOffset', 458752, 1), ('bzip2', 'Unsupported', '', 0, 1), ('xz', 'Unsupported', '', 0, 1),
@@ -356,6 +356,7 @@ def _lines():
     return F.when(F.col("ln") % 4 == 0, h).when(F.col("ln") % 4 == 1, F.concat(h, F.lit("\r"))).when(F.col("ln") % 4 == 2, F.concat(h, lf, s)).otherwise(F.concat(lf, s, lf, lf, q))
 
 
+_LINES = "(CASE ln % 4 WHEN 0 THEN header WHEN 1 THEN concat(header, chr(13)) WHEN 2 THEN concat(header, chr(10), seq) ELSE concat(chr(10), seq, chr(10), chr(10), qual) END)"
 PLAIN = f"SELECT header, seq, qual FROM ({READS})"
 IN_MEMORY = {
     "project_id_desc": (lambda: [C.read_id(F.col("header")).alias("id"), C.description(F.col("header")).alias("description")],
@@ -373,9 +374,8 @@ IN_MEMORY = {
     "virtual_offset_pack": (lambda: [C.virtual_offset(F.col("k"), F.col("ln")).alias("v"), C.virtual_compressed(C.virtual_offset(F.col("k"), F.col("ln"))).alias("c"), C.virtual_inside(C.virtual_offset(F.col("k"), F.col("ln"))).alias("i")],
                             "(k << 16) | ln AS v, k AS c, ln AS i"),
     "newlines": (lambda: [f(_lines()).alias(n) for n, f in (("lines", C.count_lf), ("first", C.find_lf), ("later", lambda t: C.find_lf(t, 20)), ("broken", C.contains_line_break))],
-                 f"length(v) - length(replace(v, chr(10), '')) AS lines, strpos(v, chr(10)) - 1 AS first, CASE WHEN strpos(v[21:], chr(10)) > 0 THEN strpos(v[21:], chr(10)) + 19 ELSE -1 END AS later, "
-                 f"strpos(v, chr(10)) > 0 OR strpos(v, chr(13)) > 0 AS broken FROM (SELECT k, {chr(10)} CASE ln % 4 WHEN 0 THEN header WHEN 1 THEN concat(header, chr(13)) WHEN 2 THEN "
-                 "concat(header, chr(10), seq) ELSE concat(chr(10), seq, chr(10), chr(10), qual) END AS v"),
+                 f"length({_LINES}) - length(replace({_LINES}, chr(10), '')) AS lines, strpos({_LINES}, chr(10)) - 1 AS first, CASE WHEN strpos(substr({_LINES}, 21), chr(10)) > 0 "
+                 f"THEN strpos(substr({_LINES}, 21), chr(10)) + 19 ELSE -1 END AS later, strpos({_LINES}, chr(10)) > 0 OR strpos({_LINES}, chr(13)) > 0 AS broken"),
     "phred_saturated": (lambda: [C.phred_sum(F.col("qual"), "phred64").alias("score")], "CAST(list_sum(list_transform(string_split(qual, ''), lambda c: greatest(ascii(c) - 64, 0))) AS BIGINT) AS score"),
     "quality_in_range": (lambda: [C.in_range(F.ascii("qual"), "33,35,66").alias("first"), C.first_bad_quality(F.col("qual"), "33,35,66").alias("bad"), C.first_bad_quality(F.col("qual"), "33,70,40").alias("none")],
                          f"ascii(qual) BETWEEN 35 AND 66 AS first, {_bad('#-B', 'qual')} AS bad, CAST(NULL AS BIGINT) AS none"),
@@ -430,6 +430,6 @@ def oracle_sql() -> dict[str, str]:
         "interleaved_pairs": INTERLEAVED_SQL, "error_taxonomy": ERRORS_SQL, "record_index_bgzf": INDEX_SQL,
         "newline_total": f"SELECT CAST(4 * count(*) AS BIGINT) AS lines FROM ({READS})",
         **dict.fromkeys(("resync_plain", "resync_bgzf"), f"SELECT header, seq, qual FROM ({INDEX_SQL.replace('SELECT seq,', 'SELECT header, qual, seq,', 1)}) WHERE header_offset >= {RESYNC}"),
-        **dict.fromkeys(("scan_long_split", "scan_long_split_bgzf"), LONG_SQL % READS), **dict.fromkeys(("validated_scan", "validated_scan_bgzf"), VALIDATED_SQL),
-        "validated_scan_wrapped": WRAPPED_SQL, "paired_join_lanes": LANES_SQL % READS,
+        **dict.fromkeys(("scan_long_split", "scan_long_split_bgzf"), LONG_SQL.replace("%s", READS)), **dict.fromkeys(("validated_scan", "validated_scan_bgzf"), VALIDATED_SQL),
+        "validated_scan_wrapped": WRAPPED_SQL, "paired_join_lanes": LANES_SQL.replace("%s", READS),
     }

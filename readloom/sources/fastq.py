@@ -160,7 +160,7 @@ class Place:
     """Decoded chunks of a split and where its records start and end. In BGZF, offsets count from the split's first block."""
 
     def __init__(self, split: Split, o: Options):
-        self.split, self.o, self.blocks, self.base = split, o, [], 0
+        self.split, self.o, self.blocks, self.base, self.decoded = split, o, [], 0, 0
         self.start: int | None = split.start
         self.end: int | None = split.end
         if split.kind == "bgzf":
@@ -220,6 +220,7 @@ class Place:
                 if place + len(data) > offset:
                     yield data[max(0, offset - place) :]
                 place += len(data)
+                self.decoded = place
         else:
             yield from codecs.decoded_chunks(s.file, s.kind)
 
@@ -266,7 +267,7 @@ class Place:
             if got.error:
                 return
         if self.split.kind == "bgzf" and self.end is None and self.o.eof_check and not codecs.marked(self.split.file):
-            yield framing.Records(error=invalid("BgzfMissingEofMarker", self.blocks[-1][0] if self.blocks else self.start))
+            yield framing.Records(error=invalid("BgzfMissingEofMarker", self.decoded))
 
     def absolute(self, e: ReadError) -> ReadError:
         """An error's place in the whole stream: in BGZF the blocks before the split are walked, which only an error does."""
