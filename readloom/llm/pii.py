@@ -6,8 +6,9 @@ characters before it. Spans with a score of at least 0.5 are kept: base kinds st
 lifts it there, and an ssn needs its context.
 
 The expressions are written so that Java scans a text once, without backtracking over long runs: a match can only start where
-a run starts, so look-behinds reject the other places, and repetition is possessive where what follows cannot be in the run.
-Places come from the lengths of the parts between matches, counted in code points. A row needs no other row: there is no shuffle.
+a run starts, so look-aheads and look-behinds reject the other places, and repetition is possessive where what follows cannot be in the run.
+A text without a sign that its kind needs is not searched for it. Places come from the lengths of the parts between matches, counted in code points, which only a
+text with matches is cut into; they are summed in blocks of about the square root of their number, and what stands before a match comes along. A row needs no other row: there is no shuffle.
 
 Results that the cases have: null and empty texts have no spans, and the digest of the empty string; a null id is an ordinary row; rows that repeat
 have the same result; extra columns are ignored; an empty table gives an empty result. Texts are searched whole.
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import col, text_of
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
+IP = r"(?=[0-9])(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3})?+)(?![A-Za-z0-9])"
-SSN = r"(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
+IBAN = r"(?=[A-Z][A-Z][0-9])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3})?+)(?![A-Za-z0-9])"
+SSN = r"(?=[0-9]{3}-)(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
 NEAR = 40
 #: (kind, expression, text that a match must hold, prior, gain by checksum, context words), in order of kinds.
 KINDS = (
@@ -34,27 +35,50 @@ KINDS = (
     ("card", CARD, None, 0.3, 0.4, ("card", "visa", "credit", "payment", "account")),
     ("phone", PHONE, "+", 0.5, 0.0, ("phone", "call", "tel", "mobile", "fax")),
     ("iban", IBAN, None, 0.1, 0.6, ("iban", "bank", "account", "transfer")),
-    ("ssn", SSN, None, 0.3, 0.0, ("ssn", "social security", "tax id")),
+    ("ssn", SSN, "-", 0.3, 0.0, ("ssn", "social security", "tax id")),
 )
 BASE = ("email", "ip", "card", "phone")
 GAIN = 0.2
 KEEP = 0.5
 
 
-def matches(text: Column, expression: str) -> Column:
-    """An array of (start, text) of the leftmost non-overlapping matches; starts count code points."""
-    found = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    gaps = F.split(text, expression, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+MATCH = "array<struct<start:int,value:string,near:string>>"
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        return F.struct(
-            (start + F.length(x["value"])).alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), x["value"].alias("value"))).alias("out")
-        )
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
-    return F.aggregate(pairs, zero, step, lambda s: s["out"])
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def matches(text: Column, expression: str, needs: str | None = None) -> Column:
+    """An array of (start, text, the NEAR characters before it) of the leftmost non-overlapping matches; starts count code points."""
+    none = F.array().cast(MATCH)
+
+    def placed(found: Column) -> Column:
+        return F.when(F.size(found) > 0, bound(F.arrays_zip(F.slice(F.split(text, expression, -1), 1, F.size(found)).alias("gap"), found.alias("value")), starts)).otherwise(none)
+
+    out = bound(F.regexp_extract_all(text, F.lit(expression), F.lit(0)), placed)
+    return F.when(F.contains(text, F.lit(needs)), out).otherwise(none) if needs else out
+
+
+def starts(pairs: Column) -> Column:
+    """(gap, value) one after another -> (start, value, near). A block of matches is gathered at a time, so that no long array is copied for each match."""
+    width = F.ceil(F.sqrt(F.size(pairs))).cast("int")
+
+    def state(at: Column, tail: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), tail.alias("tail"), out.alias("out"))
+
+    def one(s: Column, x: Column) -> Column:
+        start, near = s["at"] + F.length(x["gap"]), F.right(F.concat(s["tail"], x["gap"]), F.lit(NEAR))
+        match = F.struct(start.alias("start"), x["value"].alias("value"), near.alias("near"))
+        return state(start + F.length(x["value"]), F.right(F.concat(near, x["value"]), F.lit(NEAR)), F.array_append(s["out"], match))
+
+    def block(s: Column, b: Column) -> Column:
+        rows = F.slice(pairs, b * width + 1, width)
+        return bound(F.aggregate(rows, state(s["at"], s["tail"], F.array().cast(MATCH)), one), lambda r: state(r["at"], r["tail"], F.array_append(s["out"], r["out"])))
+
+    blocks = F.sequence(F.lit(0), F.ceil(F.size(pairs) / width).cast("int") - 1)
+    return F.flatten(F.aggregate(blocks, state(F.lit(0), F.lit(""), F.array().cast(f"array<{MATCH}>")), block)["out"])
 
 
 def digits(value: Column) -> Column:
@@ -98,24 +122,20 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def kind_spans(text: Column, nth: int, kind: str, expression: str, needs: str | None, prior: float, gain: float, words: tuple[str, ...]) -> Column:
-    checked = F.filter(matches(text, expression), lambda m: valid(kind, m["value"]))
+    checked = F.filter(matches(text, expression, needs), lambda m: valid(kind, m["value"]))
     context = F.lit(r"(?<![a-z])(?:" + "|".join(words) + ")")
 
     def span(m: Column) -> Column:
-        low = F.greatest(m["start"] - NEAR, F.lit(0))
-        near = F.lower(F.substring(text, low + 1, m["start"] - low))
-        score = F.round(F.lit(prior + gain) + F.when(F.regexp_like(near, context), GAIN).otherwise(0.0), 2)
+        score = F.round(F.lit(prior + gain) + F.when(F.regexp_like(F.lower(m["near"]), context), GAIN).otherwise(0.0), 2)
         return F.struct(m["start"].alias("start"), F.lit(nth).alias("nth"), F.lit(kind).alias("kind"), (m["start"] + F.length(m["value"])).alias("end"), score.alias("score"))
 
     spans = F.transform(checked, span)
-    if needs:
-        spans = F.when(F.contains(text, F.lit(needs)), spans).otherwise(F.slice(spans, 1, 0))
     return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= KEEP)
 
 
 def spans_of(text: Column) -> Column:
     """An array of (start, nth kind, kind, end, score) in order of start and kind; failing matches and low scores are left out."""
-    return F.array_sort(F.concat(*(kind_spans(text, nth, *kind) for nth, kind in enumerate(KINDS))))
+    return F.sort_array(F.concat(*(kind_spans(text, nth, *kind) for nth, kind in enumerate(KINDS))))
 
 
 def of_kind(spans: Column, nth: int) -> Column:
