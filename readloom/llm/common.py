@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 
@@ -12,33 +11,47 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the driver and all executors share.
-
-    Only where the session names none (tests on one machine) a temporary folder is set.
-    """
+    """The folder in spark.checkpoint.dir, which the driver and all executors share; a session that names none is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="readloom-"))
-        found = sc.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
+#: Paths of the tables that this process has written and not dropped, in order.
+MADE: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/readloom-{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    MADE.append(path)
+    return out
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Deletes the tables that `written` has made in this application; results that still read them are lost."""
+def deleted(spark: SparkSession, paths: list[str]) -> None:
     sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/readloom-{sc.applicationId}-*")
-    system = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    for found in system.globStatus(path) or []:
-        system.delete(found.getPath(), True)
+    for found in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(found)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        MADE.remove(found)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `written` has made, once nothing reads them any more."""
+    for table in tables:
+        deleted(table.sparkSession, [table.written_at])
+
+
+def drop_written(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the tables that `written` has made since there were so many in MADE, but those to keep; results that still read them are lost."""
+    stay = {t.written_at for t in keep}
+    deleted(spark, [p for p in MADE[since:] if p not in stay])
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -89,10 +102,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # large star: every larger neighbour of a node is tied to the least one around that node
         both = now.select("a", "b").union(now.select("b", "a"))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        nearest = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = (
             both.hint("shuffle_merge")
-            .join(least, "a")
+            .join(nearest, "a")
             .where(F.col("b") > F.col("a"))
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .where("a <> b")
@@ -109,7 +122,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        now = written(small, "small")
+        before, now = now, written(small, "small")
+        dropped(before, nearest, large, least)
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == mark:
             break

@@ -9,7 +9,7 @@ Running sums are taken in two levels, so that no source and no time range has to
 into `BUCKETS` ranges a source and the queue into `SLICES` ranges of time; sums of ranges are aggregated with map-side combining,
 and only the rows of one range are ever in order in one task. What reaches the driver are five numbers.
 
-Results that the cases have: a null text has size 0; null doc_ids and repeated rows are ordinary rows, and those alike in order,
+Results that the cases have: a null text has size 0; null doc_ids are placed by their texts, so that many of them spread over the ranges; repeated rows are ordinary rows, and those alike in order,
 id, text and size are told apart arbitrarily, which leaves the rows of the result the same; a null source is a source of its
 own, after all others; documents of size 0 and sources without words have target 0 or taken 0; an empty table gives an empty
 result. Columns of docs with names that the result uses are replaced in it.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh, text_of, written
+from .common import col, dropped, fresh, text_of, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_PASSES = 3
@@ -56,8 +56,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES) ->
     return table.select("unknown", "source", "source_size", F.when(F.col("at_most"), F.col("most")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
-    """docs with size, source_size, target and taken (words the mix takes of the document, repeats counted)."""
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_passes: int = MAX_PASSES, keep: tuple[str, ...] | None = None
+) -> DataFrame:
+    """docs, or its columns to keep, with size, source_size, target and taken (words the mix takes of the document, repeats counted).
+
+    Texts are counted once: what is kept is written with its size.
+    """
     spark = docs.sparkSession
     size, unknown, source, order, tie, bucket, cum, start = fresh(docs, "size", "unknown", "source", "order", "tie", "bucket", "cum", "start")
     text = text_of(docs, text_col)
@@ -65,11 +70,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         docs.withColumn(size, word_count(text))
         .withColumn(unknown, col(source_col).isNull())
         .withColumn(source, F.coalesce(col(source_col).cast("string"), F.lit("")))
-        .withColumn(order, F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(col(id_col).cast("string"), F.lit("null")))))
+        .withColumn(order, F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(text))))))
         .withColumn(tie, F.xxhash64(text))
         .withColumn(bucket, F.conv(F.substring(order, 1, 3), 16, 10).cast("int"))
     )
-    slim = written(rows.select(*(F.col(c).alias(n) for c, n in ((size, "size"), (unknown, "unknown"), (source, "source"), (order, "order"), (tie, "tie"), (bucket, "bucket")))), "sizes")
+    keep = [c for c in docs.columns if (keep is None or c in keep) and c.lower() not in ("size", "source_size", "target", "taken")]
+    rows = written(rows.select(*map(col, keep), size, unknown, source, order, tie, bucket), "sizes")
+    slim = rows.select(*(F.col(c).alias(n) for c, n in ((size, "size"), (unknown, "unknown"), (source, "source"), (order, "order"), (tie, "tie"), (bucket, "bucket"))))
     parts = written(slim.groupBy("unknown", "source", "bucket").agg(F.sum("size").alias("words")), "ranges")
     sources = written(targets(parts.groupBy("unknown", "source").agg(F.sum("words").alias("source_size")), weights, max_passes), "sources")
     budget = sources.agg(F.sum("source_size")).first()[0] or 0
@@ -105,10 +112,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         found = inside.where(F.col("until") <= budget).agg(F.max("time")).first()[0]
         last = last if found is None else found
     taken = F.size(F.filter(F.transform(passes, finish), lambda t: t <= F.lit(last)))
-    drop = [c for c in rows.columns if c.lower() in ("size", "source_size", "target", "taken")]
-    full = placed(rows.drop(*drop), [unknown, source, bucket], [order, tie], size)
+    dropped(queue, parts)
+    full = placed(rows, [unknown, source, bucket], [order, tie], size)
     full = full.withColumn("taken", F.when((F.col("target") > 0) & (F.col(size) > 0), taken).otherwise(0) * F.col(size))
-    keep = [c for c in docs.columns if c not in drop]
     return full.select(*map(col, keep), F.col(size).alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
@@ -120,12 +126,12 @@ def repeated(mixed: DataFrame) -> DataFrame:
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=("doc_id",)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP9_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source IS NULL AS unknown, coalesce(source, '') AS source, md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS h,
+  SELECT doc_id, source IS NULL AS unknown, coalesce(source, '') AS source, md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), concat('null:', md5(coalesce(text, '')))))) AS h,
     CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents),
 s AS (SELECT unknown, source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1, 2),
 w AS (
