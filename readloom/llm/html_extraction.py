@@ -3,7 +3,7 @@
 A page becomes a tree of block elements and text runs. Each node has features of its subtree (text, link, mark and tag density, share of
 the page's text), of its attribute tokens and tag, of its depth and of its place among its siblings, and of its ancestors. Gradient-boosted
 trees, trained in numpy on generated pages of many layouts whose main text is known, give each node the probability that its subtree
-holds main text. Decoding takes the most likely labelling in which a node outside the main text has only such nodes below it.
+holds main text. The fitted trees are kept beside this module (`html_trees.json`); `python -m readloom.llm.html_extraction` fits them again, to the same ones. Decoding takes the most likely labelling in which a node outside the main text has only such nodes below it.
 
 The text of a page is that of its text runs inside, in page order: one block a line, white space in a block made one space,
 character references decoded. Nothing else is dropped or capped. No shuffle: a page is one row.
@@ -15,7 +15,9 @@ result; extra columns are ignored; an empty table gives an empty result. Pages a
 from __future__ import annotations
 
 import functools
+import json
 import math
+import os
 import random
 import re
 
@@ -50,7 +52,8 @@ STORY = frozenset(("article", "main"))
 CHROME = frozenset(("nav", "header", "footer", "aside", "form"))
 PLAIN = 18
 N_FEATURES = PLAIN + len(TAGS) + 2 * len(GROUPS)
-PAGES, TREES, DEPTH, BINS, RATE, SEED = 900, 70, 5, 32, 0.2, 11
+PAGES, TREES, DEPTH, BINS, RATE, SEED = 2200, 160, 5, 32, 0.2, 11
+FITTED = "html_trees.json"
 #: Nodes whose features are held at once.
 NODES = 60_000
 
@@ -115,7 +118,7 @@ class Boosted:
     """Gradient-boosted trees for a binary label, on binned features, in numpy."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE):
-        self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
+        self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1]).astype(np.float32)) for f in range(x.shape[1])]
         binned = self.binned(x)
         p0 = y.mean()
         self.base, self.trees = math.log(p0 / (1 - p0)), []
@@ -126,6 +129,17 @@ class Boosted:
             self.trees.append(tree)
             score += tree[2][leaf]
 
+    def state(self) -> dict:
+        return {"base": self.base, "edges": [e.tolist() for e in self.edges], "trees": [[x.tolist() for x in t] for t in self.trees]}
+
+    @classmethod
+    def of(cls, state: dict) -> Boosted:
+        """Trees that `state` gave."""
+        out = cls.__new__(cls)
+        out.base, out.edges = state["base"], [np.array(e, np.float32) for e in state["edges"]]
+        out.trees = [(np.array(f, np.int64), np.array(c, np.int64), np.array(v)) for f, c, v in state["trees"]]
+        return out
+
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], side="right") for f, e in enumerate(self.edges)], axis=1).astype(np.uint8)
 
@@ -221,6 +235,7 @@ class Pages:
         return r.choice((
             lambda: self.box("nav nav div ul", "nav menu navbar breadcrumb navigation", self.links(r.randint(2, 9))),
             lambda: self.box("div div section aside", "ad ads advert sponsored promo banner ad-slot", r.choice(("", "<p>")) + self.words(3, 40)),
+            lambda: self.box("div", "ad ads advert sponsored", self.words(3, 25)),
             lambda: self.box("div div section", "cookie-notice consent notice gdpr alert cookie-banner", f"<p>{self.words(5, 40)}</p><button>{self.words(1, 2)}</button>"),
             lambda: self.box("aside aside div", "sidebar side widget right-rail", f"<h3>{self.words(1, 4)}</h3>" + r.choice((self.links(r.randint(2, 6)), f"<p>{self.words(5, 60)}</p>"))),
             lambda: self.box("section div div", "comments comment-list discussion", f"<h3>{self.words(1, 3)}</h3>" + "".join(self.box("div div li article", "comment reply", f"<p>{self.words(3, 60)}</p>") for _ in range(r.randint(1, 5)))),
@@ -232,7 +247,7 @@ class Pages:
         r, out = self.r, []
         if r.random() < 0.8:
             out.append(f"<h1 data-main>{self.words(2, 14)}</h1>")
-        for _ in range(r.choice((1, 1, 2, 3, 5, 8, 12))):
+        for _ in range(r.choice((1, 1, 1, 2, 3, 5, 8, 12))):
             kind = r.random()
             if kind < 0.78:
                 out.append(f"<p data-main>{self.inline(self.words(*r.choice(((1, 6), (5, 30), (20, 120), (40, 300)))))}" + r.choice(("</p>", "</p>", "", "<br>")))
@@ -252,7 +267,71 @@ class Pages:
                 out.append(self.noise())
         return "".join(out)
 
-    def page(self) -> str:
+    def heading(self, names: str) -> str:
+        """A site's head: its name, perhaps with links."""
+        return self.box("header header div", names, self.r.choice((f"<h1>{self.words(1, 4)}</h1>", f"<div>{self.words(1, 5)}</div>", f"<p>{self.words(1, 8)}</p>")) + self.r.choice(("", self.links(4))))
+
+    def footing(self, names: str) -> str:
+        r = self.r
+        return self.box("footer footer footer div", names, r.choice(("&copy; ", "", "Copyright ")) + f"{self.words(2, 30)} &middot; {self.words(2, 20)}" + r.choice(("", self.links(3))))
+
+    def token(self) -> str:
+        """A class name as tools make them."""
+        r = self.r
+        return r.choice(("css", "sc", "x", "_")) + "-" + "".join(r.choice("bcdfghjkmnpqrstvwxz0123456789") for _ in range(6))
+
+    def short(self) -> str:
+        """Main text of a few short blocks, its heading among them."""
+        r = self.r
+        head = r.choice(("h1", "h1", "h2"))
+        out = [f"<{head} data-main>{self.words(1, 9)}</{head}>"] if r.random() < 0.8 else []
+        for _ in range(r.randint(2, 9)):
+            out.append(f"<p data-main>{self.inline(self.words(*r.choice(((1, 1), (1, 3), (3, 12), (20, 90)))))}</p>")
+        return "".join(out)
+
+    def hashed(self) -> str:
+        """A page of nested boxes whose class names say nothing; links and tags tell its parts."""
+        r = self.r
+        main = self.short() if r.random() < 0.6 else self.main()
+        for _ in range(r.randint(1, 4)):
+            main = f'<div class="{self.token()} {self.token()}">{main}</div>'
+        head = f'<div class="{self.token()}">{r.choice(("", f"<div>{self.words(1, 3)}</div>"))}{self.links(r.randint(3, 9))}</div>'
+        tail = f'<div class="{self.token()}">{r.choice((self.links(r.randint(2, 6)), f"<span>&copy; {self.words(1, 6)}</span>" + self.links(3)))}</div>'
+        main = r.choice(("", "", "", self.noise())) + main + r.choice(("", "", "", self.noise()))
+        return f'<div id="root">{r.choice((head, f"<nav>{self.links(5)}</nav>", f"<header>{self.links(4)}</header>"))}{main}{r.choice((tail, f"<footer>{self.words(2, 12)}</footer>"))}</div>'
+
+    def tabled(self) -> str:
+        """A page laid out by tables: links in a cell, the text in another, in paragraphs or in lines of their own cell."""
+        r = self.r
+        head = r.choice(("", f'<tr><td colspan=2><font size="6">{self.words(1, 4)}</font></td></tr>', f'<tr><td colspan=2>{" | ".join(f"<a href=/{k}>{self.words(1, 2)}</a>" for k in range(r.randint(3, 8)))}</td></tr>'))
+        title = r.choice(("", f'<font size="{r.randint(4, 6)}" data-x>{self.words(2, 9)}</font>', f"<b>{self.words(2, 9)}</b>"))
+        raw = r.random() < 0.5  # the whole cell is main text, its title a run of text with no element of its own
+        if title and not raw:
+            title = f"<div data-main>{title}</div>" if r.random() < 0.5 else f"<p data-main>{title}</p>"
+        body = "".join(f"<p data-main>{self.inline(self.words(*r.choice(((1, 4), (4, 20), (20, 120)))))}" + r.choice(("</p>", "")) for _ in range(r.randint(1, 8)))
+        menu = f"<td width=150>{r.choice((self.links(r.randint(3, 9)), '<br>'.join(f'<a href=/{k}>{self.words(1, 2)}</a>' for k in range(r.randint(3, 9)))))}</td>"
+        cell = f'<td valign="top" data-main>{title}{body}</td>' if raw else f'<td valign="top">{r.choice(("", "", "", self.noise()))}{title}{body}{r.choice(("", "", "", self.noise()))}</td>'
+        row = [menu, cell]
+        if r.random() < 0.3:
+            row.reverse()
+        tail = r.choice(("", f"<tr><td colspan=2><small>{r.choice(('&copy;', 'Copyright'))} {self.words(1, 6)}</small></td></tr>"))
+        return f"<table width=100%>{head}<tr>{''.join(row)}</tr>{tail}</table>"
+
+    def bare(self) -> str:
+        """Text right in the body, or in one box without a name, between what other pages have around it."""
+        r = self.r
+        main = self.short() if r.random() < 0.5 else self.main()
+        around = [f"<nav>{self.links(r.randint(2, 7))}</nav>", r.choice(("{}", "<div>{}</div>")).format(main)]
+        if r.random() < 0.4:
+            around.insert(0, self.heading("header site-header top"))
+        for _ in range(r.choice((0, 0, 1, 2))):
+            around.insert(r.choice((0, 1, len(around))), self.noise())
+        if r.random() < 0.7:
+            around.append(self.footing("footer site-footer bottom"))
+        return "".join(around)
+
+    def named(self) -> str:
+        """A page whose main text has an element or a name of its own."""
         r = self.r
         main = self.main() if r.random() < 0.97 else ""
         wrap = r.choice(("article", "article", "main", "div", "section"))
@@ -265,12 +344,17 @@ class Pages:
         if r.random() < 0.75:
             head.insert(0, f"<nav>{self.links(r.randint(2, 9))}</nav>")
         if r.random() < 0.45:
-            head.insert(0, self.box("header header div", "header site-header masthead top", r.choice((f"<h1>{self.words(1, 4)}</h1>", f"<div>{self.words(1, 5)}</div>", f"<p>{self.words(1, 8)}</p>")) + r.choice(("", self.links(4)))))
+            head.insert(0, self.heading("header site-header masthead top"))
         tail = [self.noise() for _ in range(r.choice((0, 0, 1, 2)))]
         if r.random() < 0.85:
-            tail.append(self.box("footer footer footer div", "footer site-footer copyright bottom", r.choice(("&copy; ", "", "Copyright ")) + f"{self.words(2, 30)} &middot; {self.words(2, 20)}" + r.choice(("", self.links(3)))))
-        title = self.words(2, 9)
-        return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{''.join(head)}{main}{''.join(tail)}</body></html>"
+            tail.append(self.footing("footer site-footer copyright bottom"))
+        return f"{''.join(head)}{main}{''.join(tail)}"
+
+    LAYOUTS = ("named",) * 8 + ("hashed", "tabled", "bare")
+
+    def page(self, layout: str | None = None) -> str:
+        body = getattr(self, layout or self.r.choice(self.LAYOUTS))()
+        return f"<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 
 def labelled(nodes: list[Node]) -> np.ndarray:
@@ -283,10 +367,11 @@ def labelled(nodes: list[Node]) -> np.ndarray:
     return np.array([x.main for x in nodes], float)
 
 
-@functools.lru_cache(maxsize=1)
-def model(pages: int = PAGES, seed: int = SEED) -> Boosted:
+def fitted(pages: int = PAGES, seed: int = SEED, layouts: tuple[str, ...] | None = None) -> Boosted:
     """The trees, trained on generated pages; the same each time."""
     made, xs, ys = Pages(seed), [], []
+    if layouts:
+        made.LAYOUTS = layouts
     for _ in range(pages):
         nodes = tree(made.page())
         ys.append(labelled(nodes))
@@ -294,6 +379,17 @@ def model(pages: int = PAGES, seed: int = SEED) -> Boosted:
     return Boosted(np.concatenate(xs), np.concatenate(ys))
 
 
+def place() -> str:
+    return os.path.join(os.path.dirname(__file__), FITTED)
+
+
+@functools.lru_cache(maxsize=1)
+def model() -> Boosted:
+    """The fitted trees, from their file."""
+    with open(place(), encoding="utf-8") as f:
+        return Boosted.of(json.load(f))
+
+
 def extract(pages: list[str | None], trees: Boosted) -> list[str]:
     """The main text of each page."""
     out: list[str] = []
@@ -341,3 +437,8 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 def op7_html_text(spark, sf_dir: str) -> DataFrame:
     return html_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+if __name__ == "__main__":
+    with open(place(), "w", encoding="utf-8") as out:
+        json.dump(fitted().state(), out)
