@@ -139,28 +139,94 @@ def riff_end(b: memoryview, at: int) -> int | None:
     return end if place in (end, end + 1) and any(k.startswith(wanted) for k in seen) else None
 
 
+def crc_table(poly: int, bits: int) -> list[int]:
+    """Checksums of single bytes, most significant bit first."""
+    out, top, most = [], 1 << bits - 1, (1 << bits) - 1
+    for byte in range(256):
+        x = byte << bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ poly if x & top else x << 1) & most
+        out.append(x)
+    return out
+
+
+#: Fixed values of the formats: the polynomials of their checksums.
+OGG_CRC, FLAC_HEAD_CRC, FLAC_CRC = crc_table(0x04C11DB7, 32), crc_table(0x07, 8), crc_table(0x8005, 16)
+
+
 def ogg_end(b: memoryview, at: int) -> int | None:
+    """Pages up to the one that says it is the last, each with its checksum."""
     place, last = at, False
     while place + 27 <= len(b) and b[place : place + 4] == b"OggS" and not last:
         segments = b[place + 26]
         end = place + 27 + segments + sum(b[place + 27 : place + 27 + segments])
         if b[place + 4] or end > len(b):
             return None
+        crc = 0
+        for byte in (*b[place : place + 22], 0, 0, 0, 0, *b[place + 26 : end]):
+            crc = crc << 8 & 0xFFFFFFFF ^ OGG_CRC[crc >> 24 ^ byte]
+        if crc != struct.unpack_from("<I", b, place + 22)[0]:
+            return None
         last, place = bool(b[place + 5] & 4), end
     return place if last else None
 
 
+def flac_frame(b: memoryview, at: int) -> tuple[int, int] | None:
+    """(samples, end of the header) of the frame whose header stands here with its checksum."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8:
+        return None
+    size, rate = b[at + 2] >> 4, b[at + 2] & 15
+    lead = b[at + 4]
+    number = 1 if lead < 0x80 else next((n for n in range(2, 8) if lead >> 7 - n == (1 << n + 1) - 2), 0)
+    place = at + 4 + number
+    more = {6: 1, 7: 2}.get(size, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if not size or rate == 15 or b[at + 3] & 1 or b[at + 3] >> 4 > 10 or not number or place + more + 1 > len(b):
+        return None
+    samples = 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8 if size > 7 else int.from_bytes(b[place : place + size - 5], "big") + 1
+    crc = 0
+    for byte in b[at : place + more]:
+        crc = FLAC_HEAD_CRC[crc ^ byte]
+    return (samples, place + more + 1) if crc == b[place + more] else None
+
+
 def flac_end(b: memoryview, at: int) -> int | None:
-    place, first = at + 4, True
+    """Metadata blocks, then frames up to the samples that the first block names, or as far as frames go where it names none.
+
+    A frame ends where its checksum holds and the next frame's header or, after the last one, anything follows.
+    """
+    place, first, total = at + 4, True, 0
     while place + 4 <= len(b):
         head = struct.unpack_from(">I", b, place)[0]
         kind, n = head >> 24 & 0x7F, head & 0xFFFFFF
         if first and (kind, n) != (0, 34) or kind > 6 or place + 4 + n > len(b):
             return None
+        if first:
+            total = int.from_bytes(b[place + 14 : place + 22], "big") & (1 << 36) - 1
         place, first = place + 4 + n, False
         if head >> 31:
-            return len(b) if place + 2 <= len(b) and b[place] == 0xFF and b[place + 1] & 0xFC == 0xF8 else None
-    return None
+            break
+    else:
+        return None
+    seen, frame = 0, flac_frame(b, place)
+    while frame is not None:
+        samples, k = frame
+        crc, end = 0, None
+        for byte in b[place:k]:
+            crc = crc << 8 & 0xFFFF ^ FLAC_CRC[crc >> 8 ^ byte]
+        while k < len(b):
+            crc = crc << 8 & 0xFFFF ^ FLAC_CRC[crc >> 8 ^ b[k]]
+            k += 1
+            if not crc:
+                end, frame = k if end is None else end, flac_frame(b, k)
+                if frame is not None or total and seen + samples >= total:
+                    end = k
+                    break
+        if end is None:
+            return None
+        seen, place = seen + samples, end
+        if total and seen >= total:
+            return place
+    return place if seen and not total else None
 
 
 def mp4_end(b: memoryview, at: int) -> int | None:
