@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..api import concatenated, parse_bytes, read_pairs, read_reads, stream_reads, write_reads
 from ..functions import columns as C
 from ..operators import reads as R
+from ..session import shared_dir
 from ..sources import codecs, sinks
 from ..streaming.reads import write_stream
 
@@ -37,11 +38,8 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the folder that the session names in spark.checkpoint.dir, which the driver and all executors share."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not top:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{top.rstrip('/')}/readloom-{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder in the folder that the driver and all executors share."""
+    return f"{shared_dir(spark)}/readloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def text(df: DataFrame) -> DataFrame:

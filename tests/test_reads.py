@@ -28,6 +28,7 @@ def shape(e):
     return e and (e.variant, e.kind, e.offset, e.record)
 
 
+# Small inputs that every reader of this format must accept or refuse alike, and where.
 @pytest.mark.parametrize(
     ("data", "wrapped", "want", "error"),
     [
