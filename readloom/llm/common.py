@@ -80,6 +80,13 @@ def process_cache(name: str, make):
     return held[name]
 
 
+def forget() -> None:
+    """Lets go of what a Python worker remembers, so that a stage without a cache does not stand on that of another."""
+    module = sys.modules.get("_readloom_process_cache")
+    if module is not None:
+        module.__dict__.get("held", {}).clear()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) for each node of an edge; root is the least node.
 

@@ -43,7 +43,7 @@ SPACE = " \t\n\x0b\x0c\r"
 class WordHashes(dict):
     """64-bit hashes of words; forgets all when it has grown to `most` words."""
 
-    most = 400_000
+    most = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:

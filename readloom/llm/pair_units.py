@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, forget, written
 
 RESULT = "key binary, links long, toward binary"
 
@@ -60,6 +60,7 @@ def compare(units: DataFrame, payload: DataFrame, linked: Callable) -> DataFrame
     rows = units.hint("shuffle_merge").join(payload, "key").select("leader", "i", "j", "key", "block", "mask", *names)
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         table = table.combine_chunks()
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         block = table["block"].to_numpy()
