@@ -1,10 +1,12 @@
 """BPE encoding and decoding (operator 3) with a public vocabulary file, whose path is a parameter.
 
-A text is cut at the vocabulary's special tokens, normalised, and split into pieces as the file says. A piece's symbols
-are its bytes, the last one marked as the end of a word. They form a doubly linked list; a priority queue holds (rank,
-position, merged symbol) of every neighbouring pair that has a merge. The least entry is applied if it is not stale, that
-is, if both symbols still stand and their pair still gives that symbol; then the pairs with the two new neighbours are
-queued. Decoding looks the ids up and joins the vocabulary's strings, with a space between as the file names no decoder.
+A text is cut at the vocabulary's special tokens and at white space. A chunk between is normalised and split into pieces as the
+file says; which characters are letters, digits and marks, and how marks compose, is taken from the tokenizers library's own
+normaliser and splitter for chunks beyond ASCII, so that results do not depend on the Unicode tables of the Python that runs.
+A piece's symbols are its bytes, the last one marked as the end of a word. They form a doubly linked list; a priority queue holds
+(rank, position) of every neighbouring pair that has a merge. The least entry is applied if it is not stale, that is, if both symbols
+still stand and their pair still has that rank; then the pairs with the two new neighbours are queued. Decoding looks
+the ids up and joins the vocabulary's strings, with a space between as the file names no decoder.
 
 Results that the cases have: null and empty texts have no tokens and decode to the empty string; rows that repeat are
 encoded alike; null ids stay; extra columns are ignored; an empty table gives an empty result. Texts are encoded whole.
@@ -18,18 +20,16 @@ import json
 import re
 import struct
 import sys
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, process_cache, text_of
 
-#: Bytes of pieces and ids that a worker remembers, what Python needs to hold them included; it forgets all when it has so many.
-REMEMBERED = 48 << 20
+#: Bytes of chunks and ids that a worker remembers, what Python needs to hold them included, and of pieces; beyond that the older half goes.
+REMEMBERED, PIECES = 32 << 20, 16 << 20
 #: Bytes that Python needs for an entry besides the characters and ids: two objects and a place in the table.
 ENTRY = 190
 #: Bytes of ids and decoded text that an Arrow batch of the result aims at.
@@ -48,31 +48,31 @@ def byte_symbols() -> list[str]:
     return out
 
 
-def lowered(text: str) -> str:
-    """Lower case character by character: no final sigma."""
-    return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
+class Remembered(dict):
+    """What `make` gives for a key, kept in two generations: when the younger holds `most` bytes it becomes the older, whose unused entries go."""
 
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.held, self.older = make, most, 0, {}
 
-def late_ranges() -> str:
-    """Letters and digits of the `regex` library that Python's older Unicode tables, like the vocabulary's, do not have."""
-    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)]))
-    late = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
-    ends = [k for k, c in enumerate(late) if k + 1 == len(late) or late[k + 1] != c + 1]
-    starts = [0, *(k + 1 for k in ends[:-1])]
-    return "".join(f"\\U{late[a]:08x}-\\U{late[b]:08x}" for a, b in zip(starts, ends, strict=True))
-
-
-def dated(pattern: str, late: str) -> str:
-    """The pattern with the letters and digits of the older tables; slower, so for texts that have late ones only."""
-    for kind in "LN":
-        pattern = pattern.replace(rf"[\p{{{kind}}}]", rf"[\p{{{kind}}}--[{late}]]")
-    return "(?V1)" + pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{late}]]")
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self.held += len(key) * (1 if key.isascii() else 4) + len(value) + ENTRY
+        if self.held > self.most:
+            self.older, self.held = dict(self), len(key) * 4 + len(value) + ENTRY
+            self.clear()
+        self[key] = value
+        return value
 
 
-class Codec(dict):
-    """Encoder and decoder; as a dict it remembers the ids of pieces, as little-endian bytes."""
+class Codec:
+    """Encoder and decoder."""
 
     def __init__(self, path: str):
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -84,9 +84,15 @@ class Codec(dict):
         split, level = spec["pre_tokenizer"]["pretokenizers"]
         if (split["behavior"], split["invert"], level["add_prefix_space"], level["use_regex"], spec["decoder"]) != ("Removed", True, False, False, None):
             raise ValueError(f"{path}: other splitting than is implemented")
-        pattern, late = split["pattern"]["Regex"], late_ranges()
-        self.piece = regex.compile(pattern)
-        self.late, self.dated = (re.compile(f"[{late}]"), regex.compile(dated(pattern, late))) if late else (None, None)
+        pattern = split["pattern"]["Regex"]
+        self.ascii_piece = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.parts = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        spaces = [c for c in map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]) if c.isspace()]
+        odd = [c for c in spaces if self.parts.pre_tokenize_str(c)]
+        # what Python takes for white space and the library does not must not cut a chunk
+        self.odd = re.compile(f"[{re.escape(''.join(odd))}]") if odd else None
+        self.space = re.compile(f"[{re.escape(''.join(c for c in spaces if c not in odd))}]+")
         self.vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
@@ -99,9 +105,9 @@ class Codec(dict):
         for s, i in [*self.vocab.items(), *special.items()]:
             self.strings[i] = s
         symbols = byte_symbols()
-        self.held = 0  # bytes of remembered pieces
         self.inner = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + self.suffix] for s in symbols]
+        self.pieces, self.chunks = Remembered(self.piece_ids, PIECES), Remembered(self.chunk_ids, REMEMBERED)
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one piece, by the queue of merges over the linked list. A queue entry is rank * 2^32 + position."""
@@ -131,30 +137,28 @@ class Codec(dict):
                 heapq.heappush(queue, r << 32 | near)
         return [s for s in symbols if s >= 0]
 
-    def __missing__(self, piece: str) -> bytes:
+    def piece_ids(self, piece: str) -> bytes:
         ids = self.merged(piece.encode())
-        value = struct.pack(f"<{len(ids)}I", *ids)
-        self.held += len(piece) * (1 if piece.isascii() else 4) + len(value) + ENTRY
-        if self.held > REMEMBERED:
-            self.clear()
-            self.held = len(piece) * 4 + len(value) + ENTRY
-        self[piece] = value
-        return value
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def chunk_ids(self, chunk: str) -> bytes:
+        """The ids of what stands between white space, as little-endian bytes."""
+        if chunk.isascii():
+            low = chunk.lower()
+            return self.pieces[low] if low.isalpha() else b"".join([self.pieces[p] for p in self.ascii_piece.findall(low)])
+        return b"".join([self.pieces[p] for p, _ in self.parts.pre_tokenize_str(self.normal.normalize_str(chunk))])
 
     def encoded(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        out = []
-        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
-            if k % 2:
-                out.append(self.special[part].to_bytes(4, "little"))
-            elif part:
-                piece = self.piece
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part)
-                    if self.late and self.late.search(part):
-                        piece = self.dated
-                out += map(self.__getitem__, piece.findall(lowered(part)))
-        return b"".join(out)
+        if any(s in text for s in self.special):
+            parts = self.cut.split(text)
+            return b"".join([self.special[p].to_bytes(4, "little") if k % 2 else self.plain(p) for k, p in enumerate(parts)])
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without special tokens."""
+        chunks = [c for c in self.space.split(text) if c] if self.odd and self.odd.search(text) else text.split()
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encoded(text), "<u4").tolist()

@@ -6,6 +6,7 @@ import json
 import random
 import re
 import struct
+import unicodedata
 import zlib
 
 import duckdb
@@ -171,6 +172,13 @@ def test_bpe_is_the_library(spark):
     for x, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
         assert c.encode(x) == want.ids
         assert c.decode(want.ids) == t.decode(want.ids, skip_special_tokens=False)
+    points = [k for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    marks = [chr(k) for k in points if unicodedata.combining(chr(k))]
+    # every code point within a word and beside others, and every pair of marks
+    wide = [" ".join(f"a{chr(k)}a {chr(k)}B" for k in points[at : at + 4000]) for at in range(0, len(points), 4000)]
+    wide += [" ".join(f"e{m}{n}x" for n in marks) for m in marks]
+    for x, want in zip(wide, t.encode_batch(wide, add_special_tokens=False), strict=True):
+        assert c.encode(x) == want.ids
     got = {repr(r.doc_id): r for r in bpe.bpe(docs(spark, ODD), path).collect()}
     assert got["1"].ids == [] and got["1"].decoded == "" and len(got["6"].ids) == got["6"].n_tokens
     assert bpe.bpe(docs(spark, []), path).count() == 0
