@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import col, process_cache, text_of
 
-#: Bytes of chunks and ids that a worker remembers, what Python needs to hold them included, and of pieces; beyond that the older half goes.
-REMEMBERED, PIECES = 32 << 20, 16 << 20
+#: Bytes of chunks and ids that a worker remembers in a generation, what Python needs to hold them included, and of pieces beyond ASCII.
+REMEMBERED, PIECES = 64 << 20, 16 << 20
 #: Bytes that Python needs for an entry besides the characters and ids: two objects and a place in the table.
 ENTRY = 190
 #: Bytes of ids and decoded text that an Arrow batch of the result aims at.
@@ -68,10 +68,10 @@ class Remembered(dict):
 
 
 class Codec:
-    """Encoder and decoder."""
+    """Encoder and decoder. With `library`, the tokenizers library merges the symbols of a piece, to the same ids."""
 
-    def __init__(self, path: str):
-        from tokenizers import Regex, normalizers, pre_tokenizers
+    def __init__(self, path: str, library: bool = False):
+        from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -104,7 +104,8 @@ class Codec:
         self.strings = [""] * (max([*self.vocab.values(), *special.values()]) + 1)
         for s, i in [*self.vocab.items(), *special.items()]:
             self.strings[i] = s
-        symbols = byte_symbols()
+        symbols = self.symbols = byte_symbols()
+        self.model = Tokenizer.from_file(path).model if library else None
         self.inner = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + self.suffix] for s in symbols]
         self.pieces, self.chunks = Remembered(self.piece_ids, PIECES), Remembered(self.chunk_ids, REMEMBERED)
@@ -138,14 +139,17 @@ class Codec:
         return [s for s in symbols if s >= 0]
 
     def piece_ids(self, piece: str) -> bytes:
-        ids = self.merged(piece.encode())
+        if self.model:
+            ids = [t.id for t in self.model.tokenize(piece if piece.isascii() and piece.isprintable() else "".join(map(self.symbols.__getitem__, piece.encode())))]
+        else:
+            ids = self.merged(piece.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def chunk_ids(self, chunk: str) -> bytes:
         """The ids of what stands between white space, as little-endian bytes."""
         if chunk.isascii():
-            low = chunk.lower()
-            return self.pieces[low] if low.isalpha() else b"".join([self.pieces[p] for p in self.ascii_piece.findall(low)])
+            parts = self.ascii_piece.findall(chunk.lower())
+            return self.piece_ids(chunk) if parts == [chunk] else b"".join([self.chunks[p] for p in parts])
         return b"".join([self.pieces[p] for p, _ in self.parts.pre_tokenize_str(self.normal.normalize_str(chunk))])
 
     def encoded(self, text: str) -> bytes:
@@ -157,6 +161,8 @@ class Codec:
 
     def plain(self, text: str) -> bytes:
         """The ids of a text without special tokens."""
+        if text.isascii():
+            text = text.lower()
         chunks = [c for c in self.space.split(text) if c] if self.odd and self.odd.search(text) else text.split()
         return b"".join(map(self.chunks.__getitem__, chunks))
 
@@ -167,8 +173,8 @@ class Codec:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
-def codec(path: str) -> Codec:
-    return process_cache(f"codec {path}", lambda: Codec(path))
+def codec(path: str, library: bool = False) -> Codec:
+    return process_cache(f"codec {library} {path}", lambda: Codec(path, library))
 
 
 def coder(path: str, digests: bool, decode: bool):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, embedding_dedup, html_extraction, line_dedup, media, mixing, ngram_jaccard, pii, secrets, toxicity
+from . import bpe, embedding_dedup, fill_in_middle, hard_negatives, html_extraction, line_dedup, media, mixing, ngram_jaccard, packing, pii, secrets, toxicity
 
 
 def queries() -> dict:
@@ -20,6 +20,9 @@ def queries() -> dict:
         "op7_html_text": html_extraction.op7_html_text,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
+        "op11_packing": packing.op11_packing,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     }
 
 
@@ -30,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": line_dedup.OP5_SQL,
         "op6_pii": pii.OP6_SQL,
         "op9_mixing": mixing.OP9_SQL,
+        "op12_hard_negatives": hard_negatives.OP12_SQL,
+        "op13_fill_in_middle": fill_in_middle.OP13_SQL,
     }

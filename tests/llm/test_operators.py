@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from readloom.llm import bpe, embedding_dedup, html_extraction, line_dedup, media, mixing, ngram_jaccard, pii, queries, secrets, toxicity
+from readloom.llm import bpe, embedding_dedup, fill_in_middle, hard_negatives, html_extraction, line_dedup, media, mixing, ngram_jaccard, packing, pii, queries, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, key string, _id int, _text string, n_links int, `a.b` string"
@@ -177,8 +177,9 @@ def test_bpe_is_the_library(spark):
     # every code point within a word and beside others, and every pair of marks
     wide = [" ".join(f"a{chr(k)}a {chr(k)}B" for k in points[at : at + 4000]) for at in range(0, len(points), 4000)]
     wide += [" ".join(f"e{m}{n}x" for n in marks) for m in marks]
-    for x, want in zip(wide, t.encode_batch(wide, add_special_tokens=False), strict=True):
-        assert c.encode(x) == want.ids
+    merged = bpe.Codec(path, library=True)
+    for x, want in zip(wide + texts, t.encode_batch(wide + texts, add_special_tokens=False), strict=True):
+        assert c.encode(x) == want.ids == merged.encode(x)
     got = {repr(r.doc_id): r for r in bpe.bpe(docs(spark, ODD), path).collect()}
     assert got["1"].ids == [] and got["1"].decoded == "" and len(got["6"].ids) == got["6"].n_tokens
     assert bpe.bpe(docs(spark, []), path).count() == 0
@@ -621,3 +622,118 @@ def test_pipeline(spark):
         assert stage(spark, d.limit(0), SF).count() == 0
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(len(r.ids) == r.n_tokens for r in rows)
+
+
+def best_fit_plainly(lengths, window):
+    """The windows of best-fit decreasing by looking at every open window; among windows of equal room the one that got it last."""
+    rooms, out, clock = [], [], 0
+    for n in lengths:
+        fits = [(room, -at, w) for w, (room, at) in enumerate(rooms) if room >= n and room]
+        w = min(fits)[2] if fits else len(rooms)
+        if not fits:
+            rooms.append((window, 0))
+        out.append((w, window - rooms[w][0]))
+        clock += 1
+        rooms[w] = (rooms[w][0] - n, clock)
+    return out
+
+
+@pytest.mark.parametrize("window", [1, 2, 7, 64, 100])
+def test_best_fit_is_the_tightest_window(window):
+    rng = random.Random(window)
+    for _ in range(60):
+        lengths = sorted((rng.randint(1, window) for _ in range(rng.randrange(80))), reverse=True)
+        placed, offsets, used = packing.best_fit(lengths, window)
+        assert list(zip(placed, offsets)) == best_fit_plainly(lengths, window)
+        assert sum(used) == sum(lengths) and all(u <= window for u in used)
+
+
+def packed_rightly(rows, found, window=4096):
+    """Every id lies in one piece, pieces are gapless in their sequences, and checksums are those of the library's ids."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    t.no_truncation()
+    t.no_padding()
+    ids = [[*t.encode(text or "", add_special_tokens=False).ids, 2] for _, text in rows]
+    want = sorted((repr(i), k, min(window, len(x) - k), zlib.crc32(np.array(x[k : k + window], "<u4").tobytes()), len(x)) for (i, _), x in zip(rows, ids, strict=True) for k in range(0, len(x), window))
+    assert sorted((repr(r.doc_id), r.start, r.length, r.ids_crc32, r.doc_tokens) for r in found) == want
+    for sequence in {r.sequence_id for r in found}:
+        pieces = sorted((r.offset, r.length, r.sequence_tokens, r.padded_tokens) for r in found if r.sequence_id == sequence)
+        ends = np.cumsum([n for _, n, *_ in pieces])
+        assert [o for o, *_ in pieces] == [0, *ends[:-1]] and {p[2] for p in pieces} == {ends[-1]} and ends[-1] <= window
+        assert pieces[0][3] == (ends[-1] if ends[-1] & (ends[-1] - 1) == 0 else window)
+
+
+def test_packing(spark):
+    odd = [(i, t) for i, t, _ in ODD] + [(20, " ".join(["a"] * 4095)), (21, " ".join(["a"] * 4096)), (22, " ".join(["b"] * 8191))]
+    rows = docs(spark, [(i, t, "a") for i, t in odd])
+    packed_rightly(odd, packing.pack(rows, bpe.default_path()).collect())
+    groups = packing.pack(rows, bpe.default_path(), group_tokens=5000, with_ids=True).cache()
+    packed_rightly(odd, groups.collect())
+    built = packing.sequences(groups).collect()
+    assert sorted(x for r in built for x in r.lengths) == sorted(r.length for r in groups.collect())
+    for r in built:
+        assert len(r.input_ids) in (4096, r.n_tokens) and sum(r.lengths) == r.n_tokens and set(r.input_ids[r.n_tokens :]) <= {0} and r.input_ids[np.cumsum(r.lengths)[-1] - 1] >= 0
+    assert packing.pack(docs(spark, []), bpe.default_path()).count() == 0
+
+
+def test_packing_query(spark):
+    found = packing.op11_packing(spark, SF).collect()
+    packed_rightly([(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()], found)
+    padded = {r.sequence_id: (r.sequence_tokens, r.padded_tokens) for r in found}
+    assert sum(n for n, _ in padded.values()) >= 0.98 * sum(n for _, n in padded.values())
+
+
+def mined_plainly(rows, anchor, positives=5, negatives=10):
+    ok = [(i, x, [min(max(int(np.floor(c * 256)), -(1 << 23)), 1 << 23) for c in v]) for i, v, x in rows if None not in (i, x) and v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    out = []
+    for a, label, q in {(i, x, tuple(v)) for i, x, v in ok if anchor(i)}:
+        scored = sorted((-sum(c * d for c, d in zip(q, v, strict=True)), i, x) for i, x, v in ok if i != a and len(v) == len(q))
+        for minus, p in [(s, i) for s, i, x in scored if x == label][:positives]:
+            hard = [(s, i) for s, i, x in scored if x != label and 30 * minus >= 100 * s >= 90 * minus][:negatives]
+            out += [(a, p, k + 1, i, -minus, -s) for k, (s, i) in enumerate(hard)]
+    return sorted(out)
+
+
+def test_hard_negatives(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(5, 12))
+    rows = [(k, (base[k % 5] + rng.normal(size=12) * 0.6).tolist(), k % 3) for k in range(240)]
+    rows += [(k + 300, [float(x) for x in rng.integers(-1, 2, 12)], k % 3) for k in range(90)]  # many ties
+    rows += [(5, rows[5][1], 2), (10, rows[10][1], 1), (10, rows[10][1], 1), (20, rows[3][1], 1)]
+    rows += [(400, None, 0), (410, [float("nan")] * 12, 0), (420, [None] + [1.0] * 11, 0), (430, [1.0] * 12, None), (440, [1.0], 0), (441, [2.0], 0), (442, [0.5], 1), (450, [], 0), (451, [], 1), (None, [1.0] * 12, 0)]
+    rows += [(460, [1e-3] * 12, 0), (470, [1e200] + [0.0] * 11, 0), (471, [1e9] + [1.0] * 11, 0), (472, [2e4] + [1.0] * 11, 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumn("score", F.lit(1)).withColumn("row", F.lit("x")).repartition(3)
+    want = mined_plainly(rows, lambda i: i % 10 == 0)
+    assert len(want) > 300
+    for size in ({}, {"unit_rows": 40, "unit_anchors": 7}):
+        got = hard_negatives.mine(df, F.col("vec_id") % 10 == 0, **size)
+        assert sorted(map(tuple, got.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())) == want
+    assert hard_negatives.mine(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+    assert hard_negatives.mine(df, F.col("vec_id") < 0).count() == 0
+
+
+def filled_plainly(i, text):
+    h = hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[8 * k : 8 * k + 8], 16) for k in range(4))
+    text = text or ""
+    units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 50:
+        return (i, len(units), "plain", None, None, text)
+    x, y = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    a, b, c = ("".join(u) for u in (units[:x], units[x:y], units[y:]))
+    return (i, len(units), "spm", len(a), len(b), f"<S>{c}<P>{a}<M>{b}") if h4 % 100 < 80 else (i, len(units), "psm", len(a), len(b), f"<P>{a}<S>{c}<M>{b}")
+
+
+def test_fill_in_middle(spark):
+    texts = [None, "", " ", "x", " x", "x ", "a b  c\t\nd ", "Ünï 😀😀 çö\u00a0d\x1cx", "<P> here", "a<S", "<M", "> <P", "<<S>", LONG, "\x00 \x0b\x0c y"]
+    rows = [(k, texts[k % len(texts)] if texts[k % len(texts)] != LONG or k < 60 else "one two three", "a") for k in range(400)]
+    rows += [(i, t, s) for i, t, s in ODD] + [(7, "one two three four", "a")] * 20
+    got = fill_in_middle.fill_in_middle(docs(spark, rows), keep=("size",))
+    found = got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output", fill_in_middle.restored(F.col("output"), F.col("form")).alias("back"), "size").collect()
+    want = [filled_plainly(i, t) for i, t, _ in rows]
+    assert {w[2] for w in want} == {"plain", "spm", "psm"}
+    assert sorted(map(repr, (tuple(r)[:6] for r in found))) == sorted(map(repr, want))
+    assert sorted(r.back for r in found) == sorted(t or "" for _, t, _ in rows) and {r["size"] for r in found} == {1}
+    assert fill_in_middle.fill_in_middle(docs(spark, [])).count() == 0
