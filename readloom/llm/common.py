@@ -27,9 +27,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Names in the catalog of those of MADE that are bucketed, by path.
+NAMES: dict[str, str] = {}
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As written, dealt once by the hash of a key into as many buckets as the session has shuffle partitions: windows and joins on the key then move no row again."""
+    spark = df.sparkSession
+    table, buckets = f"readloom_{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/readloom-{spark.sparkContext.applicationId}-{table}"
+    df.repartition(buckets, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    out.written_at = path
+    MADE.append(path)
+    NAMES[path] = table
+    return out
+
+
 def deleted(spark: SparkSession, paths: list[str]) -> None:
     sc = spark.sparkContext
     for found in paths:
+        if found in NAMES:
+            spark.sql(f"DROP TABLE {NAMES.pop(found)}")
         path = sc._jvm.org.apache.hadoop.fs.Path(found)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
         MADE.remove(found)

@@ -4,8 +4,9 @@ A hash of the seed and the id decides whether a text stays plain, between which
 are found relationally: the lengths of a text's units are exploded with their ordinals, a window sums them up, the cut requests of a
 document meet its units by ordinal, and the offsets met are aggregated to one row a document, which cuts the text by substring.
 
-Only documents that are cut are numbered and written to the shared folder, so that their numbers hold whatever is computed again; units beyond the later
-cut are not dealt. Units, requests and texts are dealt by that number, which no two rows share: no key is hot. A document's window holds its own units.
+Only documents that are cut are numbered, dealt by their number and written to the shared folder as a bucketed table, so that their numbers hold whatever is computed again, and
+neither the window nor the joins, all on that number, move a row: a unit stays where its text is. No two rows share a number: no key is hot. A document's window
+holds its own units, up to its later cut.
 
 Results that the cases have: null and empty texts are plain, with 0 units; a null id hashes as the empty string; rows that repeat are each cut,
 alike; other columns stay where `keep` names them; a text that holds a marker is plain; an empty table gives an empty result; texts are cut whole.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, text_of, written
+from .common import bucketed, col, text_of
 
 # The units, the markers of prefix, suffix and middle, the seed and the shares in percent.
 UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
@@ -53,17 +54,18 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = rows.where("form = 'plain'").select(
         "doc", F.regexp_count("text", F.lit(UNIT)).cast("long").alias("n"), "form", F.lit(None).cast("long").alias("prefix_chars"), F.lit(None).cast("long").alias("middle_chars"), F.col("text").alias("output")
     )
-    cut = written(rows.where("form <> 'plain'").select(F.monotonically_increasing_id().alias("row"), "doc", "name", "text", "form"), "cut")
-    lengths = cut.select("row", "name", F.transform(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0)), lambda u: F.length(u)).alias("lengths"))
-    ends = [drawn(F.col("name"), nth, seed) % (F.size("lengths") + 1) for nth in (1, 2)]
-    asked = lengths.select("row", "lengths", F.least(*ends).cast("int").alias("first"), F.greatest(*ends).cast("int").alias("second"))
+    count = F.regexp_count("text", F.lit(UNIT)).cast("long")
+    ends = [drawn(F.col("name"), nth, seed) % (F.col("n") + 1) for nth in (1, 2)]
+    cut = rows.where("form <> 'plain'").select(F.monotonically_increasing_id().alias("row"), "doc", "name", "text", "form", count.alias("n"))
     # the request of a document: the ordinals of the units that end its prefix and its middle, 0 where nothing comes before
-    requests = asked.select(F.col("row").alias("asked"), "first", "second", F.size("lengths").cast("long").alias("n"))
-    units = asked.select("row", F.posexplode(F.slice("lengths", F.lit(1), F.col("second"))).alias("ordinal", "length"))
+    cut = bucketed(cut.select("row", "doc", "text", "form", "n", F.least(*ends).cast("int").alias("first"), F.greatest(*ends).cast("int").alias("second")), "row", "cut")
+    lengths = F.transform(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0)), lambda u: F.length(u))
+    units = cut.select("row", F.posexplode(F.slice(lengths, F.lit(1), F.col("second"))).alias("ordinal", "length"))
     summed = units.select("row", (F.col("ordinal") + 1).alias("ordinal"), F.sum("length").over(Window.partitionBy("row").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)).alias("until"))
-    met = requests.hint("shuffle_merge").join(summed, (F.col("row") == F.col("asked")) & ((F.col("ordinal") == F.col("first")) | (F.col("ordinal") == F.col("second"))), "left")
+    requests = cut.select(F.col("row").alias("asked"), "first", "second")
+    met = requests.hint("merge").join(summed, (F.col("row") == F.col("asked")) & ((F.col("ordinal") == F.col("first")) | (F.col("ordinal") == F.col("second"))), "left")
     offsets = met.groupBy("asked").agg(
-        F.max("n").alias("n"), F.coalesce(F.max(F.when(F.col("ordinal") == F.col("first"), F.col("until"))), F.lit(0)).alias("a"), F.coalesce(F.max(F.when(F.col("ordinal") == F.col("second"), F.col("until"))), F.lit(0)).alias("b")
+        F.coalesce(F.max(F.when(F.col("ordinal") == F.col("first"), F.col("until"))), F.lit(0)).alias("a"), F.coalesce(F.max(F.when(F.col("ordinal") == F.col("second"), F.col("until"))), F.lit(0)).alias("b")
     )
     part = {
         PREFIX: F.substr("text", F.lit(1), F.col("a").cast("int")), MIDDLE: F.substr("text", F.col("a").cast("int") + 1, (F.col("b") - F.col("a")).cast("int")), SUFFIX: F.substr("text", F.col("b").cast("int") + 1)
@@ -72,7 +74,7 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def joined(*order: str) -> Column:
         return F.concat(*(x for m in order for x in (F.lit(m), part[m])))
 
-    done = cut.drop("name").hint("shuffle_merge").join(offsets, F.col("row") == F.col("asked")).select(
+    done = cut.hint("merge").join(offsets, F.col("row") == F.col("asked")).select(
         "doc", "n", "form", F.col("a").alias("prefix_chars"), (F.col("b") - F.col("a")).alias("middle_chars"), F.when(F.col("form") == "psm", joined(PREFIX, SUFFIX, MIDDLE)).otherwise(joined(SUFFIX, PREFIX, MIDDLE)).alias("output")
     )
     return plain.union(done).select(F.col("doc.id").alias(id_col), *(F.col(f"doc.c{k}").alias(c) for k, c in enumerate(keep)), "n", "form", "prefix_chars", "middle_chars", "output")
