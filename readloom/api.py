@@ -8,47 +8,56 @@ from pyspark.sql import functions as F
 from .errors import SCHEMA, ReadError, parsed
 from .operators import reads as R
 from .sources import codecs, framing
-from .sources.fastq import ERROR_TYPE, Options, Place, planned, register
+from .sources.fastq import ERROR_TYPE, Options, Place, most_splits, planned, register
 
 
 def options_of(kw: dict) -> dict:
     return {k: str(v) for k, v in kw.items() if v is not None}
 
 
+def source(spark: SparkSession, path: str, **options) -> DataFrame:
+    register(spark)
+    return spark.read.format("fastq").options(**options).load(path)
+
+
 def read_reads(
     spark: SparkSession, path: str | list[str], mode: str = "failfast", numbered: bool = False, validation: str = "none", alphabet: str = "iupac", quality: str = "phred33", **options
 ) -> DataFrame:
-    """Reads of a file, a folder or a list. mode: failfast raises, permissive adds an error column and a row an error, prefix
-    gives each file's rows before its first error.
+    """Reads of a file, a folder and those below it, or a list. mode: failfast raises; permissive adds an error column and, where a split meets an error, a row that tells it;
+    later splits of the file go on; prefix gives each file's rows before its first error.
 
-    numbered: records count within the file and offsets in its whole stream; a scan that builds no field counts the splits first.
-    validation (bases, qualities, bases_and_qualities) makes a bad base or quality an error as malformed text is, by alphabet and quality; it numbers the reads.
-    Other options are those of the data source; unknown ones are refused.
+    numbered: records count within the file and offsets in its whole stream; a scan that builds no field counts the splits of files that have several first.
+    validation (bases, qualities, bases_and_qualities), done by the scan, makes a bad base or quality an error, by alphabet and quality: in permissive mode the row keeps its read; it
+    numbers the reads but in failfast mode. Other options are those of the data source; unknown ones are refused.
     """
     if mode not in ("failfast", "permissive", "prefix"):
         raise ValueError("mode must be failfast, permissive or prefix")
-    register(spark)
     path, options = path if isinstance(path, str) else ",".join(path), options_of(options)
-    reader = spark.read.format("fastq").options(**options, mode="failfast" if mode == "failfast" else "permissive")
-    df = reader.load(path)
     checked = R.level(validation) != "none"
-    if numbered or checked:
-        counts = spark.read.format("fastq").options(**{k: v for k, v in options.items() if k.lower() != "columns"}, summary="true").load(path)
-        df = R.number_records(df, counts)
-    if checked:
-        columns, df = df.columns, R.validation(df, validation, alphabet, quality, wrapped="seq_segs" in df.columns)
-        if mode == "failfast":
-            df = df.where(F.when(F.col("invalid").isNull(), True).otherwise(F.raise_error(R.invalid_text(F.col("invalid")))))
-        else:
-            found = F.struct(*(F.col(f"invalid.{f.split()[0]}").alias(f.split()[0]) if f.split()[0] in ("variant", "offset", "record", "byte") else F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in SCHEMA.split(", ")))
-            df = df.withColumn("error", F.coalesce("error", F.when(F.col("invalid").isNotNull(), found)))
-        df = df.select(*columns)
-    if mode != "prefix":
-        return df
-    # in order of file, split and record: offsets may count from the split
-    place = F.struct("split_id", "record")
-    first = df.where("error IS NOT NULL").groupBy("file").agg(F.min(place).alias("_first"))
-    return df.where("error IS NULL").join(first, "file", "left").where(F.col("_first").isNull() | (place < F.col("_first"))).drop("_first", "error")
+    checks = {"validation": validation, "alphabet": alphabet, "quality": quality} if checked else {}
+    df = source(spark, path, **options, **checks, mode="failfast" if mode == "failfast" else "permissive")
+    uncut = {k: v for k, v in options.items() if k.lower() != "columns"}
+    small = most_splits(path, options) <= R.SPLITS
+    if mode == "prefix":
+        if not {"file", "split_id", "record"} <= set(df.columns):
+            raise ValueError("prefix mode needs the columns file, split_id and record")
+        # in order of file, split and record, which a scan finds that builds no field but to check it
+        place = F.struct("split_id", "record")
+        first = source(spark, path, **uncut, **checks, mode="permissive", columns="file,split_id,record").where("error IS NOT NULL").groupBy("file").agg(F.min(place).alias("_first"))
+        df = df.where("error IS NULL").join(F.broadcast(first) if small else first, "file", "left").where(F.col("_first").isNull() | (place < F.col("_first"))).drop("_first", "error")
+    if numbered or checked and mode != "failfast":
+        df = R.number_records(df, source(spark, path, **uncut, summary="many"), small=small)
+    return df
+
+
+def read_totals(spark: SparkSession, path: str | list[str], qualities: bool = False, **options) -> DataFrame:
+    """One row: records, bases and line feeds of all files, and least and greatest quality where asked for, summed up by the scan, which hands over one row a split. Errors are raised."""
+    path = path if isinstance(path, str) else ",".join(path)
+    df = source(spark, path, **options_of(options), summary="qualities" if qualities else "true")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("records", "bases", "lines")]
+    out = df.agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.when(F.col("failed"), F.col("file"))).alias("bad"))
+    fine = F.when(F.col("bad").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("totals of a file with an error: "), F.col("bad"))))
+    return out.where(fine).select("records", "bases", "lines", *(["low", "high"] if qualities else []))
 
 
 def read_pairs(spark: SparkSession, first: str | list[str], second: str | list[str], check_ids: bool = False, **options) -> DataFrame:
@@ -67,11 +76,12 @@ def starts_record(path: str, offset: int, wrapped: bool = False) -> bool:
         raise split.failed
     split.exact_start = False
     inside = offset & 0xFFFF if split.kind == "bgzf" else offset
-    return Place(split, o).start == inside
+    place = Place(split, o)
+    return place.confirmed and place.start == inside
 
 
 def stream_reads(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A streaming DataFrame of the reads of files as they appear in a folder."""
+    """A streaming DataFrame of the reads of files as they appear in a folder, with the options of the data source: mode (failfast or permissive), format, validation and the rest."""
     register(spark)
     return spark.readStream.format("fastq").options(**options_of(options)).load(path)
 
@@ -123,4 +133,4 @@ def error_of(exception: Exception) -> ReadError | None:
     return parsed(str(exception))
 
 
-__all__ = ["concatenated", "error_of", "parse_bytes", "read_pairs", "read_reads", "starts_record", "stream_reads", "write_reads"]
+__all__ = ["concatenated", "error_of", "parse_bytes", "read_pairs", "read_reads", "read_totals", "starts_record", "stream_reads", "write_reads"]

@@ -16,26 +16,29 @@ MODES = ("none", "bases", "qualities", "basesandqualities")
 SPLITS = 200_000
 
 
-def number_records(reads: DataFrame, counts: DataFrame | None = None, splits: int = SPLITS) -> DataFrame:
+def number_records(reads: DataFrame, counts: DataFrame | None = None, splits: int = SPLITS, small: bool | None = None) -> DataFrame:
     """record becomes the number within the file, from 1: local numbers plus the records of earlier splits.
 
     counts has a row a split (file, split_id, records, bytes), as a scan with the option summary gives it without building a field; by default
     the reads are counted. Offsets, which count from the split in BGZF files of more than one split, become those of the whole stream by `bytes`. Up to `splits` rows
-    the counts are broadcast, so that no read is shuffled.
+    the counts are broadcast, so that no read is shuffled; small tells whether there are so few, where the caller knows, and then nothing runs yet.
     """
     if counts is None:
         counts = reads.groupBy("file", "split_id").agg(F.count("*").alias("records")).withColumn("bytes", F.lit(0).cast("long"))
     counts = counts.select("file", "split_id", "records", "bytes")
-    some = counts.limit(splits + 1).collect()
+    if small is None:
+        some = counts.limit(splits + 1).collect()
+        small = len(some) <= splits
+        counts = reads.sparkSession.createDataFrame(some, counts.schema) if small else counts
     earlier = Window.partitionBy("file").orderBy("split_id").rowsBetween(Window.unboundedPreceding, -1)
-    if len(some) <= splits:
-        counts = reads.sparkSession.createDataFrame(some, counts.schema)
     before = counts.select("file", "split_id", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in ("records", "bytes")))
-    out = reads.join(F.broadcast(before) if len(some) <= splits else before, ["file", "split_id"], "left").withColumn("record", F.col("record") + F.coalesce("_records", F.lit(0)))
+    out = reads.join(F.broadcast(before) if small else before, ["file", "split_id"], "left").withColumn("record", F.col("record") + F.coalesce("_records", F.lit(0)))
     moved = {c: F.col(c) + F.coalesce("_bytes", F.lit(0)) for c in ("header_offset", "seq_offset", "qual_offset") if c in reads.columns}
-    if "error" in reads.columns:  # its offset is one of the whole stream already; its number is not, and its place follows it
-        moved["header_offset"] = F.when(F.col("error").isNull(), moved["header_offset"]).otherwise(F.col("header_offset")) if "header_offset" in moved else None
-        moved["error"] = F.when(F.col("error").isNotNull(), F.col("error").withField("record", F.col("record")))
+    if "error" in reads.columns:  # where it is of malformed text, its offset is one of the whole stream already; its number is not
+        content = F.col("error.variant").isin("InvalidBase", "InvalidQuality")
+        moved["header_offset"] = F.when(F.col("error").isNull() | content, moved["header_offset"]).otherwise(F.col("header_offset")) if "header_offset" in moved else None
+        error = F.col("error").withField("record", F.col("record"))
+        moved["error"] = F.when(content, error.withField("offset", F.col("error.offset") + F.coalesce("_bytes", F.lit(0)))).when(F.col("error").isNotNull(), error)
     for field in ("seq_segs", "qual_segs"):
         if field in reads.columns:
             moved[field] = F.transform(field, lambda x: x.withField("offset", x["offset"] + F.coalesce("_bytes", F.lit(0))))

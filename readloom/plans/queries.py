@@ -9,7 +9,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..api import concatenated, parse_bytes, read_pairs, read_reads, stream_reads, write_reads
+from ..api import concatenated, parse_bytes, read_pairs, read_reads, read_totals, stream_reads, write_reads
 from ..functions import columns as C
 from ..operators import reads as R
 from ..session import shared_dir
@@ -82,6 +82,30 @@ def ordered(spark: SparkSession, path: str, df: DataFrame, **options) -> str:
     return path
 
 
+def wrapped(column: str, width: int = 10):
+    return F.regexp_replace(column, f"(?s)(.{{{width}}})(?=.)", "$1\n")
+
+
+def scan_wrapped_split(kind: str):
+    """Wrapped reads in many splits: each starts at a line that all hypotheses about it agree on. Reads of one order are one, so that lines and lengths vary."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = folder(spark, "wrapped")
+        parts = base(spark, sf_dir).groupBy(F.expr("k div 8").alias("k")).agg(F.sort_array(F.collect_list(F.struct("k", "seq", "qual"))).alias("x"))
+        reads = parts.select("k", F.concat(F.lit("order"), F.col("k")).alias("header"), *(F.array_join(F.transform("x", lambda r, f=f: r[f]), "").alias(f) for f in ("seq", "qual")))
+        # a quality that starts as a header does, on every third read
+        reads = reads.withColumn("qual", F.when(F.col("k") % 3 == 0, F.concat(F.lit("@"), F.expr("substr(qual, 2)"))).otherwise(F.col("qual")))
+        lines = F.concat(F.lit("@"), F.col("header"), F.lit("\n"), wrapped("seq", 25), F.lit("\n+\n"), wrapped("qual", 25))
+        text_of = reads.select("k", lines.alias("value")).repartitionByRange(2, "k").sortWithinPartitions("k").select("value")
+        if kind == "plain":
+            text_of.write.text(path)
+        else:
+            text_of.agg(F.lit(1)).count()
+            blocked(text_of, path)
+        return text(read_reads(spark, path, format="multiline", splitSize=1 << 15 if kind == "plain" else 1 << 13))
+
+    return query
+
+
 def record_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ordered file, read in many splits: global record numbers and offsets."""
     path = ordered(spark, folder(spark, "index") + "/reads.fastq", base(spark, sf_dir))

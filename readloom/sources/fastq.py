@@ -2,13 +2,17 @@
 
 Options of the reader: format (single or multiline), compression (auto, plain, gzip, bgzf, zstd), splitSize (bytes of a file that a task aims
 at), splittable, bgzfEofCheck, mode (failfast or permissive), startOffset and endOffset (bytes, or BGZF virtual offsets), resync (go on at the
-first record at or after startOffset, instead of right there), columns (those to build, all by default), and summary (one row a split instead of its reads).
+first record at or after startOffset, instead of right there), columns (those to build, all by default), validation, alphabet and quality (content that
+makes a read an error), and summary (one row a split instead of its reads: true, qualities to look at these as well, or many for files of several splits only).
 Options of the writer: compression (else by the path's extension), level, validation, alphabet, quality, singleFile, singleFileLimit.
 Options that are not known are refused.
 """
 
 from __future__ import annotations
 
+import bisect
+import dataclasses
+import itertools
 import os
 import re
 import uuid
@@ -30,9 +34,12 @@ COLUMNS = {
     "header": "binary", "seq": "binary", "qual": "binary", "file": "string", "file_no": "int", "split_id": "int", "record": "bigint", "header_offset": "bigint", "seq_offset": "bigint",
     "qual_offset": "bigint", "voffset": "bigint",
 }
-#: With the option summary: a split's records, and the decoded bytes from its place to the next split's, where offsets count from the split (else 0).
-SUMMARY = "file string, file_no int, split_id int, records bigint, bytes bigint"
-READ_OPTIONS = ("path", "format", "compression", "splitsize", "splittable", "bgzfeofcheck", "mode", "startoffset", "endoffset", "resync", "columns", "summary")
+#: With the option summary: a split's records (an error counts as one), the decoded bytes from its place to the next split's, where offsets count from the split (else 0), bases, line
+#: feeds, least and greatest quality where asked for, whether it ends in an error, and where its first record starts (an offset that startOffset takes).
+SUMMARY = "file string, file_no int, split_id int, records bigint, bytes bigint, bases bigint, lines bigint, low int, high int, failed boolean, start bigint"
+READ_OPTIONS = (
+    "path", "format", "compression", "splitsize", "splittable", "bgzfeofcheck", "mode", "startoffset", "endoffset", "resync", "columns", "summary", "validation", "alphabet", "quality",
+)
 WRITE_OPTIONS = ("path", "compression", "level", "validation", "alphabet", "quality", "singlefile", "singlefilelimit")
 #: Rows of an Arrow batch at most.
 BATCH = 50_000
@@ -50,25 +57,36 @@ def flag(options, name: str, default: bool) -> bool:
     return str(options.get(name, default)).lower() in ("true", "1", "yes")
 
 
-def listed(path: str) -> list[str]:
-    """The files of a path: itself, or what a folder holds but hidden ones, in order of name; globs and comma lists are followed."""
+def sized(path: str) -> list[tuple[str, int]]:
+    """The files of a path and their bytes: itself, or what a folder and those below it hold but hidden ones, in order of name; globs and comma lists are followed."""
     from pyarrow import fs
 
     if "," in path:
-        return [f for p in path.split(",") for f in listed(p.strip())]
+        return [f for p in path.split(",") for f in sized(p.strip())]
     system, inner = sinks.file_system(path)
     prefix = path[: len(path) - len(inner)] if "://" in path and path.endswith(inner) else ""
     if any(c in inner for c in "*?[") and isinstance(system, fs.LocalFileSystem):
         import glob
 
-        return sorted(f for f in glob.glob(inner) if os.path.isfile(f))
+        return sorted((f, os.path.getsize(f)) for f in glob.glob(inner) if os.path.isfile(f))
     info = system.get_file_info(inner)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     if info.type == fs.FileType.File:
-        return [prefix + inner]
-    found = system.get_file_info(fs.FileSelector(inner))
-    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and not os.path.basename(f.path).startswith(("_", ".")))
+        return [(prefix + inner, info.size)]
+    below = len(inner.rstrip("/")) + 1
+    found = system.get_file_info(fs.FileSelector(inner, recursive=True))
+    return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and not any(part.startswith(("_", ".")) for part in f.path[below:].split("/")))
+
+
+def listed(path: str) -> list[str]:
+    return [f for f, _ in sized(path)]
+
+
+def most_splits(path: str, options: dict) -> int:
+    """A bound on the splits of a path, from the sizes of its files alone."""
+    size = Options(options).split
+    return sum(-(-n // size) or 1 for _, n in sized(path))
 
 
 def modified(file: str) -> int:
@@ -79,7 +97,11 @@ def modified(file: str) -> int:
 
 @dataclass
 class Split(InputPartition):
-    """A part of a file. Plain: start and end are bytes. BGZF: bytes of the file at or after which the first block counts, or, where exact, virtual offsets."""
+    """A part of a file. Plain: start and end are bytes. BGZF: bytes of the file at or after which the first block counts, or, where exact, virtual offsets.
+
+    Where no record start is found at a cut, the split there is empty and the one before goes on to the next cut: they lie `step` bytes apart,
+    up to `total`. limit is the exact end of the last split, if it has one.
+    """
 
     file: str
     kind: str
@@ -90,6 +112,9 @@ class Split(InputPartition):
     exact_start: bool = True
     exact_end: bool = False
     failed: ReadError | None = None
+    step: int = 0
+    total: int = 0
+    limit: int | None = None
 
 
 class Options:
@@ -103,13 +128,18 @@ class Options:
         self.permissive = str(options.get("mode", "failfast")).lower() == "permissive"
         self.start = int(options["startOffset"]) if "startOffset" in options else None
         self.end = int(options["endOffset"]) if "endOffset" in options else None
-        self.resync, self.summary = flag(options, "resync", False), flag(options, "summary", False)
+        self.resync, self.summary = flag(options, "resync", False), str(options.get("summary", "false")).lower()
+        self.summary = "" if self.summary in ("false", "0", "no") else self.summary
+        level = sinks.level_of(options.get("validation", "none"))
+        _, low, high = sinks.encoding(options.get("quality", "phred33"))
+        alphabet = sinks.ALPHABETS[options.get("alphabet", "iupac").lower()].encode()
+        self.checks = framing.Checks(alphabet if "bases" in level else None, (low, high) if "qualities" in level and low <= high else None)
         asked = [c.strip() for c in str(options.get("columns", "")).split(",") if c.strip()]
         odd = [c for c in asked if c not in COLUMNS]
         if odd:
             raise ValueError(f"unknown columns of fastq: {', '.join(odd)}; known are {', '.join(COLUMNS)}")
         self.columns = tuple(c for c in COLUMNS if not asked or c in asked)
-        self.want = () if self.summary else tuple(c for c in framing.FIELDS if c in self.columns)
+        self.want = ("qual",) * (self.summary == "qualities") if self.summary else tuple(c for c in framing.FIELDS if c in self.columns)
 
     def schema(self) -> str:
         if self.summary:
@@ -142,59 +172,127 @@ def planned(file: str, o: Options, file_no: int = 0) -> list[Split]:
         return [Split(file, kind, 0, file_no)]
     total, shift = codecs.size_of(file), 16 if kind == "bgzf" else 0
     low, high = (o.start or 0) >> shift, total if o.end is None else min(o.end >> shift, total)
-    cuts = list(range(low, high, o.split)) if o.splittable and not o.wrapped and high - low > o.split else [low]
+    cuts = list(range(low, high, o.split)) if o.splittable and high - low > o.split else [low]
     last = len(cuts) - 1
     return [
-        Split(file, kind, k, file_no, a if k else o.start or 0, b if k < last else o.end, k == 0 and not o.resync, k == last and o.end is not None)
+        Split(file, kind, k, file_no, a if k else o.start or 0, b if k < last else o.end, k == 0 and not o.resync, k == last and o.end is not None, None, o.split, high, o.end)
         for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], None], strict=True))
     ]
 
 
-def plans(files: list[str], o: Options) -> list[Split | None]:
-    """The splits of all files, which are looked into side by side: planning waits for storage, not for the processor."""
+def plans(files: list[str], o: Options) -> list[Split]:
+    """The splits of all files, which are looked into side by side: planning waits for storage, not for the processor. One empty split if there is none."""
     with ThreadPoolExecutor(32) as pool:
-        return [s for found in pool.map(lambda k: planned(files[k], o, k), range(len(files))) for s in found] or [None]
+        found = [f for f in pool.map(lambda k: planned(files[k], o, k), range(len(files))) if o.summary != "many" or len(f) > 1]
+    return [s for f in found for s in f] or [Split("", "none", 0)]
 
 
 class Place:
-    """Decoded chunks of a split and where its records start and end. In BGZF, offsets count from the split's first block."""
+    """Decoded chunks of a split and where its records start and end. In BGZF, offsets count from the split's first block.
+
+    start is None where no record starts. end becomes known when reading reaches the next cut at which a record start is found: both splits look for
+    that start by the same rule, and the one before tells whatever is damaged on its way there.
+    """
 
     def __init__(self, split: Split, o: Options):
-        self.split, self.o, self.blocks, self.base, self.decoded = split, o, [], 0, 0
-        self.start: int | None = split.start
-        self.end: int | None = split.end
-        if split.kind == "bgzf":
-            self.bgzf()
-        elif split.kind == "plain":
-            if not split.exact_start:
-                self.start = self.sync(split.start)
-            if split.end is not None and not split.exact_end and self.start is not None:
-                self.end = self.sync(split.end)
-
-    def bgzf(self) -> None:
+        self.split, self.o, self.blocks, self.base, self.decoded, self.span = split, o, [], 0, 0, None
+        self.end: int | None = None
+        self.cut: int | None = None if split.exact_end else split.end
+        self.mark: tuple[int, int] | None = None  # in BGZF: the block of the next split and the place in it where its records start
+        self.confirmed = False
+        self.start = self.bgzf() if split.kind == "bgzf" else self.plain() if split.kind == "plain" else 0
+
+    def plain(self) -> int | None:
         s = self.split
-        at, inside = s.start, 0
-        if s.exact_start or s.split_id == 0:
-            at, inside = self.virtual(s.start)
-        else:
-            at = codecs.next_block(s.file, s.start)
-        self.base, self.start, self.end = at or 0, None, None
-        if at is None:
-            return
+        self.end = s.end if s.exact_end else None
         if s.exact_start:
-            self.start = inside
-        elif s.split_id:
-            self.start = self.sync(0, first=False)
+            return s.start
+        found, reached = self.synced(codecs.file_chunks(s.file, max(0, s.start - 1), 1 << 17), max(0, s.start - 1), s.start == 0, s.split_id > 0)
+        self.confirmed = found is not None
+        return reached if found is None and s.split_id == 0 else found  # where resync gives up, reading on says what is there
+
+    def bgzf(self) -> int | None:
+        s = self.split
+        if s.split_id:
+            found = self.synced_block(s.start)
+            self.base, start = found or (0, None)
         else:
-            self.start = self.sync(inside)
-        if s.end is None or self.start is None:
-            return
+            self.base, start = self.virtual(s.start)
+            if not s.exact_start:
+                data, at = self.decoded_from(self.base, max(0, start - 1)), max(0, start - 1)
+                found, reached = self.synced(data, at, start == 0, False)
+                self.confirmed = found is not None
+                start = reached if found is None else found
         if s.exact_end:
-            block, inside = self.virtual(s.end)
-            self.end = codecs.decoded_span(s.file, at, block) + inside
-        elif (block := codecs.next_block(s.file, s.end)) is not None:
-            found = self.sync(0, first=False, base=block)
-            self.end = None if found is None else codecs.decoded_span(s.file, at, block) + found
+            self.mark = self.virtual(s.end)
+            if start is not None and (self.base, start) >= self.mark:
+                return None
+        return start
+
+    def decoded_from(self, block: int, inside: int, seen: list | None = None) -> Iterator[bytes]:
+        """Decoded bytes from a place in a block on; seen gets (decoded place, block) of each block."""
+        place = 0
+        for here, data in codecs.bgzf_blocks(self.split.file, block, 0):
+            if seen is not None:
+                seen.append((place, here))
+            if place + len(data) > inside:
+                yield data[max(0, inside - place) :]
+            place += len(data)
+
+    def synced(self, chunks: Iterator[bytes], at: int, at_line: bool, cut: bool = True) -> tuple[int | None, int]:
+        """The first record start after the first line end in chunks of the stream from offset `at`, or from `at` on if a line starts there; and the place that was reached.
+
+        At a cut between splits any start will do, so that of a wrapped file is one that is sure.
+        """
+        self.line: int | None = at if at_line else None
+        if not at_line:
+            seen = 0
+            try:
+                for data in chunks:
+                    if (k := data.find(b"\n")) >= 0:
+                        chunks, at = itertools.chain([data[k + 1 :]], chunks), at + k + 1
+                        self.line = at
+                        break
+                    at, seen = at + len(data), seen + len(data)
+                    if seen > framing.SYNC_BYTES:
+                        return None, at
+                else:
+                    return None, at
+            except ReadError:
+                return None, at
+        lead = framing.LEAD if self.o.wrapped and cut else 0
+        return framing.Synchroniser(self.o.wrapped, lead=lead).found(chunks, at)
+
+    def synced_block(self, cut: int) -> tuple[int, int] | None:
+        """(block, place in it) of the first record start after the first line end from the first block at a cut on: a block does not show the byte before it."""
+        block, seen = codecs.next_block(self.split.file, cut), []
+        self.same = block  # what cuts up to here find as well
+        found = None if block is None else self.synced(self.decoded_from(block, 0, seen), 0, False)[0]
+        if found is None:
+            return None
+        place, block = seen[bisect.bisect_right(seen, (found, 1 << 62)) - 1]
+        return block, found - place
+
+    def settle(self) -> None:
+        """Looks for a record start at the cut that reading has reached. Where there is none, the next cut is the one to reach; where the start lies beyond further cuts, their starts count
+        as well if they come before: a split ends where the first of all later ones starts."""
+        s, cut = self.split, self.cut
+        if s.kind == "plain":
+            found, self.same = self.synced(codecs.file_chunks(s.file, cut - 1, 1 << 17), cut - 1, False)[0], self.line
+            self.end = found if self.end is None else min(self.end, found or self.end)
+            ahead = self.end
+        else:
+            found = self.synced_block(cut)
+            self.mark = found if self.mark is None else min(self.mark, found or self.mark)
+            ahead = self.mark and self.mark[0]
+        self.cut = None if self.same is None else cut + s.step * max(1, -(-(self.same + 1 - cut) // s.step))
+        if self.cut is not None and (self.cut >= s.total or ahead is not None and self.cut > ahead):
+            self.cut = None
+        if self.cut is None and ahead is None and s.limit is not None:
+            if s.kind == "plain":
+                self.end = s.limit
+            else:
+                self.mark = self.virtual(s.limit)
 
     def virtual(self, voffset: int) -> tuple[int, int]:
         """(block, place in it) of a virtual offset, if it has such a block and place; the end of the file has the place 0."""
@@ -209,14 +307,22 @@ class Place:
             raise invalid("BgzfVirtualOffset", voffset)
         return block, inside
 
-    def chunks(self, offset: int, base: int | None = None) -> Iterator[bytes]:
+    def chunks(self, offset: int) -> Iterator[bytes]:
         s = self.split
         if s.kind == "plain":
-            yield from codecs.file_chunks(s.file, offset)
+            for data in codecs.file_chunks(s.file, offset):
+                offset += len(data)
+                while self.cut is not None and offset > self.cut:
+                    self.settle()
+                yield data
         elif s.kind == "bgzf":
             place = 0
-            for here, data in codecs.bgzf_blocks(s.file, self.base if base is None else base, 0):
+            for here, data in codecs.bgzf_blocks(s.file, self.base, 0):
                 self.blocks.append((place, here))
+                while self.cut is not None and here >= self.cut:
+                    self.settle()
+                if self.mark is not None and here == self.mark[0]:
+                    self.end, self.span = place + self.mark[1], place
                 if place + len(data) > offset:
                     yield data[max(0, offset - place) :]
                 place += len(data)
@@ -224,32 +330,6 @@ class Place:
         else:
             yield from codecs.decoded_chunks(s.file, s.kind)
 
-    def sync(self, offset: int, first: bool = True, base: int | None = None) -> int | None:
-        """The first record start at or after offset; None if there is none before the end.
-
-        Without first, what starts exactly at offset belongs to the split before: in BGZF a block does not show the byte before it, so both splits
-        take the first line that starts within it.
-        """
-        if not offset and first:
-            data, at, chunks = b"\n", -1, self.chunks(0, base)
-        elif first:
-            data, at, chunks = b"", offset - 1, self.chunks(offset - 1, base)
-        else:
-            data, at, chunks = b"", offset, self.chunks(offset, base)
-        ended, size = False, 1 << 18
-        while True:
-            parts, have = [data], len(data)
-            while have < size and not ended:
-                got = next(chunks, None)
-                ended = got is None
-                parts.append(got or b"")
-                have += len(got or b"")
-            data = b"".join(parts)
-            try:
-                return framing.synced(data, at, ended, self.o.wrapped)
-            except framing.NeedMore:
-                size *= 4
-
     def voffsets(self, offsets) -> pa.Array:
         if self.split.kind != "bgzf" or not len(offsets):
             return pa.nulls(len(offsets), pa.int64())
@@ -259,10 +339,16 @@ class Place:
 
     def records(self) -> Iterator[framing.Records]:
         """The split's records; an error that the container has at its end comes last."""
-        if self.start is None or self.end is not None and self.start >= self.end:
+        if self.start is None:
+            return
+        while self.cut is not None and self.cut <= (self.start if self.split.kind == "plain" else self.base):
+            self.settle()
+        if self.mark is not None and self.mark <= (self.base, self.start) and self.split.kind == "bgzf":
+            return
+        if self.end is not None and self.start >= self.end:
             return
         self.blocks.clear()
-        for got in framing.framed(self.chunks(self.start), self.start, self.o.wrapped, self.end, self.o.want):
+        for got in framing.framed(self.chunks(self.start), self.start, self.o.wrapped, lambda: self.end, self.o.want, self.o.checks):
             yield got
             if got.error:
                 return
@@ -275,34 +361,84 @@ class Place:
             return e
         return e.moved(codecs.decoded_span(self.split.file, 0, self.base))
 
+    def bytes_to_next(self) -> int:
+        """In BGZF, the decoded bytes up to the block at which the next split that has records starts; 0 where there is none, or where offsets do not count from the split."""
+        if self.split.kind != "bgzf" or self.start is None or self.split.exact_end:
+            return 0
+        if self.span is None:  # an error came before
+            while self.cut is not None:
+                self.settle()
+            self.span = codecs.decoded_span(self.split.file, self.base, self.mark[0]) if self.mark else 0
+        return self.span
+
+    def earlier(self) -> tuple[int, ReadError | None]:
+        """The records of the file before this split, and the first error there: reads the file again up to here, which only an error in failfast mode does."""
+        s, o = self.split, self.o
+        if not s.split_id or self.start is None:
+            return 0, None
+        first = Place(dataclasses.replace(s, split_id=0, start=o.start or 0, end=None, exact_start=not o.resync, exact_end=False, limit=None), o)
+        stop = self.start + (codecs.decoded_span(s.file, first.base, self.base) if s.kind == "bgzf" else 0)
+        count = 0
+        for got in framing.framed(first.chunks(first.start), first.start, o.wrapped, stop, (), o.checks):
+            if got.failing:
+                return count + got.failing[0][0], first.absolute(got.failing[0][1]).numbered(count + got.failing[0][0] + 1)
+            count += len(got)
+            if got.error:
+                return count, first.absolute(got.error)
+        return count, None
+
 
 def batches(split: Split, o: Options) -> Iterator[pa.RecordBatch]:
-    count, place = 0, None
+    count, place, found = 0, None, {"bases": 0, "lines": 0, "low": None, "high": None, "failed": False, "start": None}
+    if split.kind == "none":
+        return
     try:
         if split.failed:
             raise split.failed
         place = Place(split, o)
         for got in place.records():
-            if not o.summary:
+            if o.summary:
+                summed(found, got, place)
+            elif got.failing and not o.permissive:
+                raise got.failing[0][1].numbered(count + got.failing[0][0] + 1)
+            else:
                 for at in range(0, len(got), BATCH):
-                    yield batch(got, slice(at, at + BATCH), count + at, split, o, place)
+                    yield batch(got, slice(at, min(at + BATCH, len(got))), count + at, split, o, place)
             count += len(got)
             if got.error:
-                raise got.error
+                raise got.error.numbered(count + 1)
     except ReadError as e:
-        e = e.numbered(count + 1)
-        e = place.absolute(e) if place else e
+        e, found["failed"] = e.numbered(count + 1), True
+        if place:
+            e = place.absolute(e)
+            if not o.permissive and not o.summary:
+                before, first = place.earlier()
+                e = first or e.moved(0, e.record + before)
         if not o.permissive and not o.summary:
             raise e from None
         count += 1
         if not o.summary:
             yield failure(e, split, o)
     if o.summary:
-        # offsets of a BGZF split count from its first block: the bytes up to the next split's first block
-        after = codecs.next_block(split.file, split.end) if place and split.kind == "bgzf" and split.end is not None and not split.exact_end else None
-        span = codecs.decoded_span(split.file, place.base, after) if after is not None else 0
-        columns = [pa.array([split.file]), pa.array([split.file_no], pa.int32()), pa.array([split.split_id], pa.int32()), pa.array([count], pa.int64()), pa.array([span], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SUMMARY.split(", ")])
+        row = {"file": split.file, "file_no": split.file_no, "split_id": split.split_id, "records": count, "bytes": place.bytes_to_next() if place else 0, **found}
+        yield pa.RecordBatch.from_pylist([row], pa.schema([(f.split()[0], TYPES[f.split()[1]]) for f in SUMMARY.split(", ")]))
+
+
+def summed(found: dict, got: framing.Records, place: Place) -> None:
+    """Adds records to a split's summary."""
+    found["lines"] += got.lines
+    if not len(got):
+        return
+    found["bases"] += int(np.sum(got.size))
+    if found["start"] is None:
+        first = int(got.header_offset[0])
+        found["start"] = place.voffsets([first])[0].as_py() if place.split.kind == "bgzf" else first
+    if got.qual is not None:
+        raw = framing.bytes_of(got.qual)[0] if isinstance(got.qual, pa.Array) else np.frombuffer(b"".join(got.qual), np.uint8)
+        if len(raw):
+            low, high = int(raw.min()), int(raw.max())
+            found["low"] = low if found["low"] is None else min(low, found["low"])
+            found["high"] = high if found["high"] is None else max(high, found["high"])
 
 
 def batch(got: framing.Records, part: slice, before: int, split: Split, o: Options, place: Place) -> pa.RecordBatch:
@@ -316,24 +452,24 @@ def batch(got: framing.Records, part: slice, before: int, split: Split, o: Optio
     made |= {f: lambda f=f: pa.array(getattr(got, f)[part], pa.int64()) for f in ("header_offset", "seq_offset", "qual_offset")}
     columns = {c: made[c]() for c in o.columns}
     if o.wrapped:
-        kind = pa.list_(pa.struct([("offset", pa.int64()), ("len", pa.int32())]))
         for name in ("seq_segs", "qual_segs"):
-            columns[name] = pa.array([[{"offset": a, "len": b} for a, b in segs] for segs in getattr(got, name)[part]], kind)
+            columns[name] = x if isinstance(x := getattr(got, name)[part], pa.Array) else pa.array(x, framing.SEGMENT)
     if o.permissive:
-        columns["error"] = pa.nulls(n, ERROR_TYPE)
+        bad = {k - part.start: e.numbered(before + k - part.start + 1).row() for k, e in got.failing if part.start <= k < part.stop}
+        columns["error"] = pa.array([bad.get(k) for k in range(n)], ERROR_TYPE) if bad else pa.nulls(n, ERROR_TYPE)
     return pa.RecordBatch.from_pydict(columns)
 
 
-ERROR_TYPE = pa.struct([(k, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[t]) for k, t in (f.split() for f in ERROR_SCHEMA.split(", "))])
+TYPES = {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+ERROR_TYPE = pa.struct([(k, TYPES[t]) for k, t in (f.split() for f in ERROR_SCHEMA.split(", "))])
 
 
 def failure(e: ReadError, split: Split, o: Options) -> pa.RecordBatch:
     """One row that has the place of an error and no record."""
-    types = {"binary": pa.binary(), "string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
     known = {"file": split.file, "file_no": split.file_no, "split_id": split.split_id, "record": e.record, "header_offset": e.offset}
-    columns = {c: pa.array([known.get(c)], types[COLUMNS[c]]) for c in o.columns}
+    columns = {c: pa.array([known.get(c)], TYPES[COLUMNS[c]]) for c in o.columns}
     if o.wrapped:
-        columns |= {c: pa.nulls(1, pa.list_(pa.struct([("offset", pa.int64()), ("len", pa.int32())]))) for c in ("seq_segs", "qual_segs")}
+        columns |= {c: pa.nulls(1, framing.SEGMENT) for c in ("seq_segs", "qual_segs")}
     return pa.RecordBatch.from_pydict(columns | {"error": pa.array([e.row()], ERROR_TYPE)})
 
 
@@ -345,7 +481,7 @@ class Reader(DataSourceReader):
         return plans(listed(self.paths), self.o)
 
     def read(self, partition):
-        return iter(()) if partition is None else batches(partition, self.o)
+        return batches(partition, self.o)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -378,7 +514,7 @@ class StreamReader(DataSourceStreamReader):
         return plans([f for _, f in sorted(zip(times, new, strict=True))], self.o)
 
     def read(self, partition):
-        return iter(()) if partition is None else batches(partition, self.o)
+        return batches(partition, self.o)
 
     def commit(self, end: dict) -> None:
         pass

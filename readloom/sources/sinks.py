@@ -43,13 +43,19 @@ def encoding(name: str) -> tuple[int, int, int]:
     return offset, low, high
 
 
+def level_of(validation: str) -> str:
+    """A validation level by any of its spellings."""
+    found = validation.lower().replace("_", "").replace("-", "")
+    if found not in VALIDATION:
+        raise ValueError(f"validation must be one of {', '.join(VALIDATION)}")
+    return found
+
+
 class Checks:
     """What a record must pass before it is written. Content errors have the index within the field as offset."""
 
     def __init__(self, validation: str = "none", alphabet: str = "iupac", quality: str = "phred33"):
-        level = validation.lower().replace("_", "").replace("-", "")
-        if level not in VALIDATION:
-            raise ValueError(f"validation must be one of {', '.join(VALIDATION)}")
+        level = level_of(validation)
         self.breaks = level != "none"
         self.bases = re.compile(b"[^" + re.escape(ALPHABETS[alphabet.lower()].encode()) + b"]") if "bases" in level else None
         _, low, high = encoding(quality)

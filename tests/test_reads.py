@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom import errors
-from readloom.api import error_of, parse_bytes, read_pairs, read_reads, starts_record, write_reads
+from readloom.api import error_of, parse_bytes, read_pairs, read_reads, read_totals, starts_record, write_reads
 from readloom.functions import columns as C
 from readloom.operators import reads as R
 from readloom.sources import codecs, fastq, framing, sinks
@@ -154,6 +154,180 @@ def test_damaged_bytes_never_crash_and_errors_lie_ahead(tmp_path):
                         assert 0 <= e["offset"] <= max(len(bad), len(raw)) + 1 and (s.kind == "bgzf" or e["offset"] >= before)
 
 
+def told(path, **options):
+    """(rows before the first error, that error, errors in all), split by split."""
+    o = fastq.Options({k: str(v) for k, v in options.items()})
+    rows, first, errors_met = [], None, 0
+    for s in fastq.planned(str(path), o):
+        try:
+            for b in fastq.batches(s, o):
+                for h, e in zip(b["header"].to_pylist(), b["error"].to_pylist() if "error" in b.schema.names else [None] * b.num_rows, strict=True):
+                    errors_met += e is not None
+                    if e is not None and first is None:
+                        first = (e["variant"], e["kind"], e["offset"])
+                    elif first is None:
+                        rows.append(h)
+        except errors.ReadError as e:
+            return rows, (e.variant, e.kind, e.offset, e.record), 1
+    return rows, first, errors_met
+
+
+@pytest.mark.parametrize("what", ["crc", "data", "header", "size"])
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_a_damaged_block_has_one_owner(tmp_path, what, wrapped):
+    _, data = generated(3, 120)
+    if wrapped:
+        rng, data = random.Random(4), b""
+        for k in range(120):
+            n = rng.randrange(1, 120)
+            seq, qual = b"ACGT" * (n // 4) + b"A", (b"@I" * n)[: n // 4 * 4 + 1]
+            data += b"@r%d\n%b\n+\n%b\n" % (k, b"\n".join(seq[i : i + 20] for i in range(0, len(seq), 20)), b"\n".join(qual[i : i + 20] for i in range(0, len(qual), 20)))
+    shape = "multiline" if wrapped else "single"
+    blocks = [sinks.bgzf_block(data[k : k + 700], 6) for k in range(0, len(data), 700)]
+    for nth in range(0, len(blocks), 2):
+        bad, block = list(blocks), bytearray(blocks[nth])
+        if what == "crc":
+            block[-8] ^= 1
+        elif what == "size":
+            block[-4] ^= 1
+        elif what == "data":
+            block[18:-8] = b"\xff" * (len(block) - 26)
+        else:
+            block[0] ^= 1
+        bad[nth] = bytes(block)
+        (tmp_path / "x").write_bytes(b"".join(bad) + codecs.BGZF_EOF)
+        for mode in ("failfast", "permissive"):
+            want = told(tmp_path / "x", mode=mode, splittable="false", format=shape)
+            assert want[1] is not None and want[2] == 1
+            for size in (150, 400, 1000, 2500):
+                assert told(tmp_path / "x", mode=mode, splitSize=size, format=shape) == want, (nth, size, mode)
+
+
+def wrapped_text(seed: int, n: int, width: int, most: int = 300):
+    """Wrapped reads whose qualities look like headers and separators here and there."""
+    rng, want, data = random.Random(seed), [], b""
+    for k in range(n):
+        size = rng.randrange(most) if rng.random() < 0.95 else 0
+        seq, qual = (bytes(rng.choice(c) for _ in range(size)) for c in (b"ACGTN", b"@+I#"))
+        header = b"read%04d" % k if seed % 2 else b"r%d" % k
+        want.append((header, seq, qual))
+        lines = [b"@" + header, *(seq[i : i + width] for i in range(0, size, width)), b"+", *(qual[i : i + width] for i in range(0, size, width))]
+        data += b"\n".join(lines + [b""] * (size == 0)) + b"\n" + b"\n" * (rng.random() < 0.1)
+    return want, data
+
+
+@pytest.mark.parametrize("kind", ["plain", "bgzf"])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_wrapped_files_split_anywhere(tmp_path, kind, seed):
+    want, data = wrapped_text(seed, 150, 17 * seed)
+    stored(tmp_path / "reads", data, kind)
+    for size in (37, 200, 900, 3000, 1 << 20):
+        assert scanned(tmp_path / "reads", splitSize=size, format="multiline") == want, size
+
+
+def test_wrapped_error_is_that_of_one_split(tmp_path):
+    for seed in range(12):
+        rng, (_, data) = random.Random(seed), wrapped_text(5, 60, 20)
+        bad = bytearray(data)
+        bad[rng.randrange(len(bad))] = rng.choice(b"\n@+A")
+        (tmp_path / "x").write_bytes(bytes(bad))
+        want = told(tmp_path / "x", splittable="false", format="multiline")
+        for size in (300, 1000):
+            got = told(tmp_path / "x", splitSize=size, format="multiline")
+            assert got[1] == want[1] and got[0][: len(want[0])] == want[0], (seed, size)
+
+
+def test_a_synchroniser_stays_within_its_budget(tmp_path):
+    def start(data, wrapped=False, lines=framing.SYNC_LINES, most=framing.SYNC_BYTES):
+        taken = []
+
+        def chunks():
+            for k in range(0, len(data), 1 << 16):
+                taken.append(1)
+                yield data[k : k + (1 << 16)]
+
+        found, reached = framing.Synchroniser(wrapped, lines, most).found(chunks(), 0)
+        return found, reached, len(taken) << 16
+
+    noise = b"no record here\n" * 1_000_000
+    found, reached, taken = start(noise)
+    assert found is None and reached == 15 * framing.SYNC_LINES and taken <= 1 << 19
+    found, _, taken = start(b"x" * (100 << 20), most=1 << 22)  # one line
+    assert found is None and taken <= 1 << 24
+    # a wrapped record may run on beyond the lines, as long as it stays one
+    long = b"@r\n" + b"ACGTACGTAC\n" * 30_000 + b"+\n" + b"@IIIIIIII+\n" * 30_000
+    assert start(b"IIII\n" + long * 4, True)[0] == 5
+    assert start(b"IIII\n" + long * 4, True, most=1 << 18)[0] is None
+    # what is no wrapped file is given up, and the split before goes on: each split reads a bounded stretch
+    (tmp_path / "x").write_bytes(long * 6)
+    assert told(tmp_path / "x", splitSize=200_000) == ([], ("InvalidFormat", "PlusMissing", 14, 1), 1)
+    assert [r[0] for r in scanned(tmp_path / "x", splitSize=200_000, format="multiline")] == [b"r"] * 6
+
+
+def test_arrays_and_lines_frame_alike():
+    for seed in range(300):
+        rng = random.Random(seed)
+        wrapped = seed % 2 == 1
+        _, data = wrapped_text(seed, 12, rng.choice((1, 7, 40)), 60) if wrapped else generated(seed, 12)
+        bad = bytearray(data)
+        for _ in range(rng.randrange(3)):
+            bad[rng.randrange(len(bad))] = rng.choice(b"@+\n\rA")
+        for data in (bytes(bad), bytes(bad).replace(b"\n", b"\r\n")):
+            plain, used = framing.one_by_one(data, 0, 0, True, wrapped)
+            got = list(framing.framed(iter([data[k : k + 50] for k in range(0, len(data), 50)]), 0, wrapped))
+            for name in framing.FIELDS:
+                assert [v for g in got for v in g.values(name)] == getattr(plain, name)
+            for name in ("header_offset", "seq_offset", "qual_offset", "size"):
+                assert [int(v) for g in got for v in getattr(g, name)] == list(getattr(plain, name)), (seed, name)
+            if wrapped:
+                for name in ("seq_segs", "qual_segs"):
+                    segments = [getattr(g, name) for g in got if getattr(g, name) is not None]
+                    assert [v for x in segments for v in (x if isinstance(x, list) else x.to_pylist())] == getattr(plain, name)
+            error = next((g.error for g in got if g.error), None)
+            assert shape(error) == shape(plain.error and plain.error.numbered(len(plain) + 1))
+            if error is None:
+                assert sum(g.lines for g in got) == data.count(b"\n")
+
+
+@pytest.mark.parametrize("shape_of", ["single", "multiline"])
+def test_scan_validates_as_expressions_do(spark, tmp_path, shape_of):
+    rng, text = random.Random(7), b""
+    for k in range(400):
+        n = rng.randrange(1, 90)
+        seq, qual = bytes(rng.choice(b"ACGTNACGTX" if k % 3 else b"ACGT") for _ in range(n)), bytes(rng.choice(b"IIIII#\x1f" if k % 4 == 0 else b"I#~") for _ in range(n))
+        width = 13 if shape_of == "multiline" else n
+        text += b"\n".join([b"@r%d" % k, *(seq[i : i + width] for i in range(0, n, width)), b"+", *(qual[i : i + width] for i in range(0, n, width))]) + b"\n"
+    for name, kind in (("x.fastq", "plain"), ("x.bgz", "bgzf")):
+        stored(tmp_path / name, text, kind)
+        read = {"format": shape_of, "splitSize": 3000}
+        want = R.validation(read_reads(spark, str(tmp_path / name), numbered=True, **read), "bases_and_qualities", "strict", wrapped=shape_of == "multiline").where("invalid IS NOT NULL")
+        got = read_reads(spark, str(tmp_path / name), mode="permissive", validation="bases_and_qualities", alphabet="strict", **read).where("error IS NOT NULL")
+        expected = sorted(tuple(r) for r in want.select("header", "invalid.variant", "invalid.offset", "invalid.record", "invalid.byte", "record").collect())
+        assert len(expected) > 100
+        assert sorted(tuple(r) for r in got.select("header", "error.variant", "error.offset", "error.record", "error.byte", "record").collect()) == expected
+        with pytest.raises(Exception) as e:
+            read_reads(spark, str(tmp_path / name), validation="bases_and_qualities", alphabet="strict", **read | {"splitSize": 1 << 20}).collect()
+        met, first = error_of(e.value), min(expected, key=lambda r: r[3])
+        assert (met.variant, met.offset, met.record, met.byte) == first[1:5]
+        prefix = read_reads(spark, str(tmp_path / name), mode="prefix", validation="bases_and_qualities", alphabet="strict", **read)
+        assert prefix.count() == first[3] - 1
+
+
+def test_totals_and_folders(spark, tmp_path):
+    (tmp_path / "empty" / "below").mkdir(parents=True)
+    assert read_reads(spark, str(tmp_path / "empty")).count() == 0
+    (tmp_path / "empty" / "below" / "a.fastq").write_bytes(b"@a\nAC\n+\n!J\n\n@b\n\n+\n\n")
+    (tmp_path / "empty" / "_hidden").mkdir()
+    (tmp_path / "empty" / "_hidden" / "x").write_bytes(b"junk")
+    stored(tmp_path / "empty" / "b", b"@c\r\nACG\r\n+\r\n#I#\r\n" * 500, "bgzf")
+    assert read_reads(spark, str(tmp_path / "empty")).count() == 502
+    for size in (100, 1 << 20):
+        assert tuple(read_totals(spark, str(tmp_path / "empty"), qualities=True, splitSize=size).first()) == (502, 1502, 2009, 33, 74)
+    (tmp_path / "bad").write_bytes(b"@a\nAC\n+\n!\n")
+    with pytest.raises(Exception, match="bad"):
+        read_totals(spark, str(tmp_path / "bad")).collect()
+
+
 def test_seek_to_every_virtual_offset(tmp_path):
     want, data = generated(6)
     path = str(tmp_path / "reads.gz")
