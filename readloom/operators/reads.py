@@ -93,7 +93,11 @@ def first_invalid(validated: DataFrame) -> ReadError | None:
 def guess_encoding(reads: DataFrame) -> DataFrame:
     """One row: phred33 if a code is below 64, phred64 if one is above 74, else null; null without qualities."""
     codes = F.transform(F.filter(F.split(C.chars("qual"), ""), lambda c: c != ""), lambda c: F.ascii(c))
-    ends = reads.select(F.array_min(codes).alias("low"), F.array_max(codes).alias("high")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return encoding_of(reads.select(F.array_min(codes).alias("low"), F.array_max(codes).alias("high")).agg(F.min("low").alias("low"), F.max("high").alias("high")))
+
+
+def encoding_of(ends: DataFrame) -> DataFrame:
+    """The guess for a row of the least and greatest code (low, high)."""
     return ends.select(F.when(F.col("low") < 64, "phred33").when(F.col("high") > 74, "phred64").alias("encoding"))
 
 

@@ -2,50 +2,19 @@
 
 from __future__ import annotations
 
-import gzip
-import uuid
-import zlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..api import concatenated, parse_bytes, read_pairs, read_reads, read_totals, stream_reads, write_reads
 from ..functions import columns as C
 from ..operators import reads as R
-from ..session import shared_dir
-from ..sources import codecs, sinks
 from ..streaming.reads import write_stream
+from . import lanes
+from .base import READS, base, folder, text
 
-#: Reads of lineitem, in SQL that both engines read alike.
-READS = """SELECT CAST(l_orderkey AS BIGINT) * 8 + CAST(l_linenumber AS BIGINT) AS k, CAST(l_linenumber AS BIGINT) AS ln,
-  concat('read', CAST(l_orderkey AS VARCHAR(20)), CASE WHEN l_linenumber % 3 = 0 THEN '/1' WHEN l_linenumber % 3 = 1 THEN ' 1:N:0:ACGT' ELSE '.2' END) AS header,
-  translate(md5(concat('s', CAST(l_orderkey AS VARCHAR(20)), '_', CAST(l_linenumber AS VARCHAR(20)))), '0123456789abcdef', 'ACGTACGTACGTACGN') AS seq,
-  translate(md5(concat('q', CAST(l_orderkey AS VARCHAR(20)), '_', CAST(l_linenumber AS VARCHAR(20)))), '0123456789abcdef', '!#%+5?ABCDEFGHIJ') AS qual
-FROM lineitem"""
 ID = "regexp_extract(header, '^[^ \\t]*', 0)"
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, ln, header, seq, qual) from lineitem, in text columns."""
-    n, o = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
-    name = F.concat(o, F.lit("_"), n.cast("string"))
-    suffix = F.when(n % 3 == 0, "/1").when(n % 3 == 1, " 1:N:0:ACGT").otherwise(".2")
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        (F.col("l_orderkey").cast("long") * 8 + n.cast("long")).alias("k"), n.cast("long").alias("ln"), F.concat(F.lit("read"), o, suffix).alias("header"),
-        F.translate(F.md5(F.concat(F.lit("s"), name)), "0123456789abcdef", "ACGTACGTACGTACGN").alias("seq"),
-        F.translate(F.md5(F.concat(F.lit("q"), name)), "0123456789abcdef", "!#%+5?ABCDEFGHIJ").alias("qual"),
-    )
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the folder that the driver and all executors share."""
-    return f"{shared_dir(spark)}/readloom-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def text(df: DataFrame) -> DataFrame:
-    return df.select(*(C.chars(c).alias(c) for c in ("header", "seq", "qual")))
-
-
 def through(extension: str = "fastq", single: bool = False, name: str | None = None, write: dict | None = None, **read):
     """Writes the reads in a format and reads them again."""
 
@@ -82,30 +51,6 @@ def ordered(spark: SparkSession, path: str, df: DataFrame, **options) -> str:
     return path
 
 
-def wrapped(column: str, width: int = 10):
-    return F.regexp_replace(column, f"(?s)(.{{{width}}})(?=.)", "$1\n")
-
-
-def scan_wrapped_split(kind: str):
-    """Wrapped reads in many splits: each starts at a line that all hypotheses about it agree on. Reads of one order are one, so that lines and lengths vary."""
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = folder(spark, "wrapped")
-        parts = base(spark, sf_dir).groupBy(F.expr("k div 8").alias("k")).agg(F.sort_array(F.collect_list(F.struct("k", "seq", "qual"))).alias("x"))
-        reads = parts.select("k", F.concat(F.lit("order"), F.col("k")).alias("header"), *(F.array_join(F.transform("x", lambda r, f=f: r[f]), "").alias(f) for f in ("seq", "qual")))
-        # a quality that starts as a header does, on every third read
-        reads = reads.withColumn("qual", F.when(F.col("k") % 3 == 0, F.concat(F.lit("@"), F.expr("substr(qual, 2)"))).otherwise(F.col("qual")))
-        lines = F.concat(F.lit("@"), F.col("header"), F.lit("\n"), wrapped("seq", 25), F.lit("\n+\n"), wrapped("qual", 25))
-        text_of = reads.select("k", lines.alias("value")).repartitionByRange(2, "k").sortWithinPartitions("k").select("value")
-        if kind == "plain":
-            text_of.write.text(path)
-        else:
-            text_of.agg(F.lit(1)).count()
-            blocked(text_of, path)
-        return text(read_reads(spark, path, format="multiline", splitSize=1 << 15 if kind == "plain" else 1 << 13))
-
-    return query
-
-
 def record_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ordered file, read in many splits: global record numbers and offsets."""
     path = ordered(spark, folder(spark, "index") + "/reads.fastq", base(spark, sf_dir))
@@ -171,8 +116,11 @@ def seek_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text(read_reads(spark, path, startOffset=middle)) if middle is not None else text(first.limit(0))
 
 
-def encoding_guess(spark, sf_dir):
-    return R.guess_encoding(base(spark, sf_dir)).select(F.col("encoding"))
+def encoding_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the least and greatest quality that the scan meets."""
+    path = folder(spark, "guess")
+    write_reads(base(spark, sf_dir), path)
+    return R.encoding_of(read_totals(spark, path, qualities=True))
 
 
 def in_memory(check):
@@ -260,7 +208,7 @@ def stream_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, out, state = folder(spark, "stream-in"), folder(spark, "stream-out"), folder(spark, "stream-state")
     write_reads(base(spark, sf_dir), path)
     write_stream(stream_reads(spark, path), out, state, compression="gzip").trigger(availableNow=True).start().awaitTermination()
-    return text(read_reads(spark, f"{out}/batch-00000000"))
+    return text(read_reads(spark, out))
 
 
 def in_memory_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,55 +218,6 @@ def in_memory_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text(parse_bytes(values))
 
 
-#: One good record, and files that are broken after it or in it: (what is wrong, bytes, options).
-GOOD = b"@a\nACGT\n+\nIIII\n"
-
-
-def broken_files() -> list[tuple[str, bytes, dict]]:
-    block, packed = sinks.bgzf_block(GOOD, 6), gzip.compress(GOOD, mtime=0)
-    crc, size = zlib.crc32(GOOD).to_bytes(4, "little"), len(GOOD).to_bytes(4, "little")
-    big = sinks.bgzf_block(b"", 6)
-    wrapped = {"format": "multiline"}
-    plain = [
-        ("header", GOOD + b"a\nAC\n+\nII\n", {}), ("plus", GOOD + b"@b\nAC\n-\nII\n", {}), ("length", GOOD + b"@b\nACG\n+\nII\n", {}), ("end", GOOD + b"@b\nAC\n+\n", {}),
-        ("seq line", GOOD + b"@b\n\n+\n\n", wrapped), ("qual line", GOOD + b"@b\nACG\n+\nI\n\nII\n", wrapped), ("long qual", GOOD + b"@b\nAC\n+\nI\nIII\n", wrapped),
-        ("base", GOOD + b"@b\nA!\n+\nII\n", {"validation": "bases"}), ("quality", GOOD + b"@b\nAC\n+\nI\x1f\n", {"validation": "qualities"}),
-    ]
-    packs = [
-        ("gzip header", packed + b"\x1f\x8b\x07" + packed[3:], {}), ("gzip data", packed + packed[:10] + b"\xff" * 20, {}), ("gzip crc", packed[:-8] + b"\0\0\0\0" + packed[-4:], {}),
-        ("gzip size", packed[:-4] + b"\1\0\0\0", {}), ("gzip end", packed + packed[:-4], {}),
-        ("bgzf header", block + b"@b\nAC\n+\nII\n" * 3 + codecs.BGZF_EOF, {}), ("bgzf data", block + block[:18] + b"\xff" * (len(block) - 26) + block[-8:] + codecs.BGZF_EOF, {}),
-        ("bgzf crc", block + block[:-8] + b"\0\0\0\0" + size + codecs.BGZF_EOF, {}), ("bgzf size", block + block[:-8] + crc + b"\x01\0\0\0" + codecs.BGZF_EOF, {}),
-        ("bgzf large", block + big[:-4] + b"\1\0\1\0" + codecs.BGZF_EOF, {}), ("bgzf marker", block, {}), ("bgzf forced", GOOD, {"compression": "bgzf"}),
-        ("bgzf place", block + codecs.BGZF_EOF, {"startOffset": str(7 << 16)}), ("bzip2", b"BZh91AY&SY", {}), ("xz", b"\xfd7zXZ\0rest", {}), ("seek in gzip", packed, {"startOffset": "5"}),
-    ]
-    return plain + packs
-
-
-def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What reading each broken file meets, with its place: no table holds broken files, so they are made here."""
-    out = None
-    for name, data, options in broken_files():
-        path = folder(spark, "broken")
-        with sinks.output(path) as f:
-            f.write(data)
-        rows = read_reads(spark, path, mode="permissive", **options).where("error IS NOT NULL").select(
-            F.lit(name).alias("broken"), "error.variant", F.coalesce("error.kind", F.lit("")).alias("kind"), F.col("error.offset").alias("offset"), F.col("error.record").alias("record")
-        )
-        out = rows if out is None else out.union(rows)
-    return out
-
-
-ERRORS_SQL = """SELECT * FROM (VALUES ('header', 'InvalidFormat', 'HeaderMissingAt', 15, 2), ('plus', 'InvalidFormat', 'PlusMissing', 21, 2), ('length', 'LengthMismatch', '', 24, 2),
-  ('end', 'UnexpectedEof', '', 23, 2), ('seq line', 'InvalidFormat', 'SeqLineEmpty', 18, 2), ('qual line', 'InvalidFormat', 'QualLineEmpty', 26, 2), ('long qual', 'LengthMismatch', '', 25, 2),
-  ('base', 'InvalidBase', '', 19, 2), ('quality', 'InvalidQuality', '', 24, 2), ('gzip header', 'InvalidFormat', 'GzipHeader', 15, 2), ('gzip data', 'InvalidFormat', 'GzipData', 15, 2),
-  ('gzip crc', 'InvalidFormat', 'GzipTrailerCrc', 15, 2), ('gzip size', 'InvalidFormat', 'GzipTrailerIsize', 15, 2), ('gzip end', 'InvalidFormat', 'GzipTruncated', 30, 3),
-  ('bgzf header', 'InvalidFormat', 'BgzfHeader', 15, 2), ('bgzf data', 'InvalidFormat', 'BgzfBlock', 15, 2), ('bgzf crc', 'InvalidFormat', 'BgzfBlockCrc', 15, 2),
-  ('bgzf size', 'InvalidFormat', 'BgzfBlockIsize', 15, 2), ('bgzf large', 'InvalidFormat', 'BgzfBlockTooLarge', 15, 2), ('bgzf marker', 'InvalidFormat', 'BgzfMissingEofMarker', 15, 2),
-  ('bgzf forced', 'InvalidFormat', 'BgzfHeader', 0, 1), ('bgzf place', 'InvalidFormat', 'BgzfVirtualOffset', 458752, 1), ('bzip2', 'Unsupported', '', 0, 1), ('xz', 'Unsupported', '', 0, 1),
-  ('seek in gzip', 'Unsupported', '', 0, 1)) t(broken, variant, kind, "offset", record)"""
-
-
 def invalid_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of the first base outside ACGT in each read, in the stream of one ordered file."""
     changed = base(spark, sf_dir).withColumn("seq", F.regexp_replace("seq", "N", "X"))
@@ -413,13 +312,18 @@ SCANS = {
 }
 
 
-def counted(spark, sf_dir):
-    return R.totals(read_back(spark, sf_dir))
-
+def summed(*columns: str, blank: bool = False, **options):
+    """Totals by the scan alone: no field crosses to Spark. With blank, a third of the reads have a blank line after them."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, df = folder(spark, "totals"), base(spark, sf_dir)
+        if blank:
+            lines = F.concat(C.record_text(F.col("header"), F.col("seq"), F.col("qual")), F.when(F.col("ln") % 3 == 0, "\n").otherwise(""))
+            df.select(F.regexp_replace(lines, "\\n\\z", "").alias("value")).write.text(path)
+        else:
+            write_reads(df, path)
+        return read_totals(spark, path, **options).select(*columns)
 
-def newline_total(spark, sf_dir):
-    records = base(spark, sf_dir).select(C.record_text(F.col("header"), F.col("seq"), F.col("qual")).alias("text"))
-    return R.newlines(records)
+    return query
 
 
 def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,11 +335,12 @@ def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         **SCANS, **{name: in_memory(check) for name, (check, _) in IN_MEMORY.items()},
-        "base_total": counted, "newline_total": newline_total, "record_index": record_index, "record_index_bgzf": record_index_bgzf, "resync_plain": resync("fastq"), "resync_bgzf": resync("fastq.bgz"),
+        "base_total": summed("records", "bases"), "newline_total": summed("lines", blank=True, splitSize=1 << 16), "record_index": record_index, "record_index_bgzf": record_index_bgzf, "resync_plain": resync("fastq"), "resync_bgzf": resync("fastq.bgz"),
         "scan_long_split": scan_long_split("fastq"), "scan_long_split_bgzf": scan_long_split("fastq.bgz"), "validated_scan": validated_scan("fastq"), "validated_scan_bgzf": validated_scan("fastq.bgz"),
         "validated_scan_wrapped": validated_scan("fastq", wrapped=True), "paired_join_lanes": paired_lanes,
         "seek_resume": seek_resume, "invalid_base_offset": invalid_offsets, "guess_encoding": encoding_guess,
-        "paired_join": paired(False), "paired_id_check": paired(True), "paired_count_mismatch": count_mismatch, "interleaved_pairs": interleaved_pairs, "error_taxonomy": error_taxonomy,
+        "paired_join": paired(False), "paired_id_check": paired(True), "paired_count_mismatch": count_mismatch, "interleaved_pairs": interleaved_pairs, "error_taxonomy": lanes.error_taxonomy,
+        "scan_bgzf_damaged": lanes.scan_bgzf_damaged, "scan_wrapped_split": lanes.scan_wrapped_split("plain"), "scan_wrapped_split_bgzf": lanes.scan_wrapped_split("bgzf"),
     }
 
 
@@ -449,8 +354,9 @@ def oracle_sql() -> dict[str, str]:
         "guess_encoding": f"SELECT CASE WHEN min(c) < 64 THEN 'phred33' WHEN max(c) > 74 THEN 'phred64' END AS encoding FROM (SELECT ascii(unnest(string_split(qual, ''))) AS c FROM ({READS}))",
         "paired_join": _paired_sql(False), "paired_id_check": _paired_sql(True),
         "paired_count_mismatch": f"SELECT record, error FROM ({_paired_sql(False)}) WHERE error <> '' ORDER BY record LIMIT 1",
-        "interleaved_pairs": INTERLEAVED_SQL, "error_taxonomy": ERRORS_SQL, "record_index_bgzf": INDEX_SQL,
-        "newline_total": f"SELECT CAST(4 * count(*) AS BIGINT) AS lines FROM ({READS})",
+        "interleaved_pairs": INTERLEAVED_SQL, "error_taxonomy": lanes.ERRORS_SQL, "scan_bgzf_damaged": lanes.DAMAGED_SQL,
+        **dict.fromkeys(("scan_wrapped_split", "scan_wrapped_split_bgzf"), lanes.WRAPPED_SPLIT_SQL), "record_index_bgzf": INDEX_SQL,
+        "newline_total": f"SELECT CAST(sum(CASE WHEN ln % 3 = 0 THEN 5 ELSE 4 END) AS BIGINT) AS lines FROM ({READS})",
         **dict.fromkeys(("resync_plain", "resync_bgzf"), f"SELECT header, seq, qual FROM ({INDEX_SQL.replace('SELECT seq,', 'SELECT header, qual, seq,', 1)}) WHERE header_offset >= {RESYNC}"),
         **dict.fromkeys(("scan_long_split", "scan_long_split_bgzf"), LONG_SQL.replace("%s", READS)), **dict.fromkeys(("validated_scan", "validated_scan_bgzf"), VALIDATED_SQL),
         "validated_scan_wrapped": WRAPPED_SQL, "paired_join_lanes": LANES_SQL.replace("%s", READS),
