@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import SCHEMA, ReadError, parsed
+from .operators import pairing as P
 from .operators import reads as R
 from .sources import codecs, framing
 from .sources.fastq import ERROR_TYPE, Options, Place, most_splits, planned, register
@@ -60,12 +61,32 @@ def read_totals(spark: SparkSession, path: str | list[str], qualities: bool = Fa
     return out.where(fine).select("records", "bases", "lines", *(["low", "high"] if qualities else []))
 
 
+def marks(spark: SparkSession, path: str, options: dict) -> list:
+    """The splits of each file, counted by a scan that builds no field, for files of several splits alone."""
+    uncut = {k: v for k, v in options.items() if k.lower() not in ("columns", "validation", "alphabet", "quality")}
+    return P.anchors(source(spark, path, **uncut, summary="many"), P.files_of(path))
+
+
 def read_pairs(spark: SparkSession, first: str | list[str], second: str | list[str], check_ids: bool = False, **options) -> DataFrame:
     """The reads of two files, or of two lists of files in order, as pairs (file_no, record, r1, r2, error), with every option for both mates.
 
-    Errors are told by place in the order of a reader of both; `operators.reads.checked_pairs` raises the first.
+    Splits are counted when this is called; then a task reads the same records of both mates, and no read is shuffled. A malformed read is the last of its pair of files. Beyond SPLITS splits
+    a mate, positions are joined by shuffle. Errors are told by place in the order of a reader of both; `operators.reads.checked_pairs` raises the first.
     """
-    return R.pairs(*(read_reads(spark, p, mode="permissive", numbered=True, **options) for p in (first, second)), check_ids=check_ids)
+    paths = [p if isinstance(p, str) else ",".join(p) for p in (first, second)]
+    given = options_of(options)
+    if any(most_splits(p, given) > R.SPLITS for p in paths):
+        return R.pairs(*(read_reads(spark, p, mode="permissive", numbered=True, **options) for p in paths), check_ids=check_ids)
+    plan = P.zipped_plan(*(marks(spark, p, given) for p in paths), tuple(map(P.files_of, paths)))
+    return P.loaded(spark, plan, given, check_ids).select("file_no", "record", "r1", "r2", "error")
+
+
+def read_interleaved(spark: SparkSession, path: str | list[str], check_ids: bool = False, **options) -> DataFrame:
+    """Consecutive reads of each file as pairs (file_no, file, record, r1, r2, error): a task reads on to the mate of its last read, and no read is shuffled."""
+    path, given = path if isinstance(path, str) else ",".join(path), options_of(options)
+    if most_splits(path, given) > R.SPLITS:
+        return R.interleaved(read_reads(spark, path, mode="permissive", numbered=True, **options), check_ids)
+    return P.loaded(spark, P.folded_plan(marks(spark, path, given), P.files_of(path)), given, check_ids)
 
 
 def starts_record(path: str, offset: int, wrapped: bool = False) -> bool:
@@ -133,4 +154,4 @@ def error_of(exception: Exception) -> ReadError | None:
     return parsed(str(exception))
 
 
-__all__ = ["concatenated", "error_of", "parse_bytes", "read_pairs", "read_reads", "read_totals", "starts_record", "stream_reads", "write_reads"]
+__all__ = ["concatenated", "error_of", "parse_bytes", "read_interleaved", "read_pairs", "read_reads", "read_totals", "starts_record", "stream_reads", "write_reads"]

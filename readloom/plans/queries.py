@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..api import concatenated, parse_bytes, read_pairs, read_reads, read_totals, stream_reads, write_reads
+from ..api import concatenated, parse_bytes, read_interleaved, read_pairs, read_reads, read_totals, stream_reads, write_reads
 from ..functions import columns as C
 from ..operators import reads as R
 from ..streaming.reads import write_stream
@@ -130,18 +130,17 @@ def in_memory(check):
     return query
 
 
-def mates(spark: SparkSession, sf_dir: str, second: str = "ln % 2 = 0") -> tuple[DataFrame, DataFrame]:
-    """Two files of reads, in order of k, one of odd and one of even lines, read with global numbers."""
-    out = []
-    for nth, where in enumerate(("ln % 2 = 1", second)):
-        path = ordered(spark, folder(spark, f"mate{nth + 1}") + "/reads.fastq", base(spark, sf_dir).where(where))
-        out.append(read_reads(spark, path, splitSize=1 << 18, numbered=True))
-    return out[0], out[1]
+def mates(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Pairs of two files of reads, in order of k, one of odd and one of even lines, whose splits hold unlike numbers of records."""
+    paths = []
+    for nth in (1, 0):
+        paths.append(ordered(spark, folder(spark, f"mate{nth}") + "/reads.fastq", base(spark, sf_dir).where(f"ln % 2 = {nth}")))
+    return read_pairs(spark, *paths, splitSize=1 << 18, **options)
 
 
 def paired(check_ids: bool):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = R.pairs(*mates(spark, sf_dir), check_ids=check_ids)
+        out = mates(spark, sf_dir, check_ids=check_ids)
         return out.select("record", C.chars("r1.seq").alias("seq1"), C.chars("r2.seq").alias("seq2"), F.coalesce("error", F.lit("")).alias("error"))
 
     return query
@@ -178,13 +177,13 @@ FROM (SELECT * FROM n WHERE ln % 2 = 1) a FULL JOIN (SELECT * FROM n WHERE ln %
 
 def count_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first record that only one of two files has."""
-    out = R.pairs(*mates(spark, sf_dir))
+    out = mates(spark, sf_dir)
     return out.where("error IS NOT NULL").agg(F.min(F.struct("record", "error")).alias("e")).select("e.record", "e.error")
 
 
 def interleaved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = ordered(spark, folder(spark, "interleaved") + "/reads.fastq.gz", base(spark, sf_dir))
-    out = R.interleaved(read_reads(spark, path, numbered=True))
+    path = ordered(spark, folder(spark, "interleaved") + "/reads.fastq.bgz", base(spark, sf_dir))
+    out = read_interleaved(spark, path, splitSize=1 << 17)
     return out.select("record", C.chars("r1.seq").alias("seq1"), C.chars("r2.seq").alias("seq2"), F.coalesce("error", F.lit("")).alias("error"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom import errors
-from readloom.api import error_of, parse_bytes, read_pairs, read_reads, read_totals, starts_record, write_reads
+from readloom.api import error_of, parse_bytes, read_interleaved, read_pairs, read_reads, read_totals, starts_record, write_reads
 from readloom.functions import columns as C
 from readloom.operators import reads as R
 from readloom.sources import codecs, fastq, framing, sinks
@@ -499,6 +499,40 @@ def test_pairs(spark, tmp_path):
     assert R.guess_encoding(spark.createDataFrame([(bytearray(b"KKZZ"),)], "qual binary")).first()[0] == "phred64"
 
 
+@pytest.mark.parametrize(("kinds", "counts"), [(("plain", "bgzf"), (300, 300)), (("bgzf", "plain"), (310, 290)), (("plain", "plain"), (120, 300)), (("bgzf", "gzip"), (300, 299)), (("plain", "bgzf"), (0, 40))])
+def test_pairs_and_interleaved_read_no_mate_twice(spark, tmp_path, kinds, counts):
+    rng = random.Random(counts[0])
+    for mate, (kind, n) in enumerate(zip(kinds, counts, strict=True)):
+        (tmp_path / f"m{mate}").mkdir()
+        for lane in range(2):
+            sizes = [rng.randrange(1, 200) if mate else rng.randrange(0, 60) for _ in range(n if lane == 0 else n // 2)]
+            data = b"".join(b"@r%d\n%b\n+\n%b\n" % (k, b"A" * size, b"I" * size) for k, size in enumerate(sizes))
+            path = tmp_path / f"m{mate}" / f"lane{lane}"
+            path.write_bytes(gzip.compress(data)) if kind == "gzip" else stored(path, data, kind)
+    paths, fields = [str(tmp_path / f"m{mate}") for mate in (0, 1)], ("file_no", "record", "r1", "r2", "error")
+    got = read_pairs(spark, *paths, splitSize=1500)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = R.pairs(*(read_reads(spark, p, mode="permissive", numbered=True, splitSize=1500) for p in paths))
+    assert sorted(map(repr, got.select(*fields).collect())) == sorted(map(repr, want.select(*fields).collect()))
+    folded = read_interleaved(spark, paths[1], splitSize=700)
+    want = R.interleaved(read_reads(spark, paths[1], mode="permissive", numbered=True, splitSize=700))
+    fields = ("file", "record", "r1", "r2", "error")
+    assert sorted(map(repr, folded.select(*fields).collect())) == sorted(map(repr, want.select(*fields).collect()))
+
+
+def test_malformed_read_ends_its_pairs(spark, tmp_path):
+    good = [b"@r%d\nACGT\n+\nIIII\n" % k for k in range(200)]
+    (tmp_path / "a").write_bytes(b"".join(good))
+    (tmp_path / "b").write_bytes(b"".join([*good[:120], b"@bad\nAC\n+\nI\n", *good[121:]]))
+    for size in (700, 1 << 20):
+        pairs = read_pairs(spark, str(tmp_path / "a"), str(tmp_path / "b"), splitSize=size)
+        e = R.first_pair_error(pairs)
+        assert (e.variant, e.record, e.seq_len, e.offset) == ("LengthMismatch", 121, 2, sum(map(len, good[:120])) + 10)
+        assert pairs.where("error IS NULL").count() == 120 and pairs.count() == 121
+        e = R.first_pair_error(read_interleaved(spark, str(tmp_path / "b"), splitSize=size))
+        assert (e.variant, e.record, e.seq_len) == ("LengthMismatch", 121, 2)
+
+
 def test_lanes_and_precedence(spark, tmp_path):
     def file(name, text):
         (tmp_path / name).parent.mkdir(exist_ok=True)
