@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import SCHEMA, ReadError, parsed
 from .operators import pairing as P
 from .operators import reads as R
-from .sources import codecs, framing
-from .sources.fastq import ERROR_TYPE, Options, Place, most_splits, planned, register
+from .sources import codecs, framing, sinks
+from .sources.fastq import ERROR_TYPE, SINGLE, WRITE_OPTIONS, Options, Place, known, most_splits, planned, register, sized
+from .sources.grid import one_bgzf
 
 
 def options_of(kw: dict) -> dict:
@@ -108,9 +111,27 @@ def stream_reads(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def write_reads(df: DataFrame, path: str, mode: str = "append", **options) -> None:
-    """Writes header, seq and qual as a folder of parts, or as one file with singleFile=True, in the order of the partitions."""
-    register(df.sparkSession)
-    df.select(*(F.col(c).cast("binary").alias(c) for c in ("header", "seq", "qual"))).write.format("fastq").mode(mode).options(**options_of(options)).save(path)
+    """Writes header, seq and qual as a folder of parts, or as one file with singleFile=True, in the order of the partitions.
+
+    One BGZF file is that of a single writer, byte for byte: plain parts are written beside it first, whose sizes place its blocks, and tasks compress those.
+    """
+    spark, given = df.sparkSession, options_of(options)
+    register(spark)
+    lower = {k.lower(): v for k, v in given.items()}
+    rows = df.select(*(F.col(c).cast("binary").alias(c) for c in ("header", "seq", "qual")))
+    if lower.get("singlefile", "").lower() in ("true", "1", "yes") and lower.get("compression", sinks.by_extension(path)).lower() == "bgzf":
+        known(given, WRITE_OPTIONS)
+        level = sinks.checked_level("bgzf", lower.get("level"))
+        beside = f"{path}.plain-{uuid.uuid4().hex[:12]}"
+        system, inner = sinks.file_system(beside)
+        try:
+            write_reads(df, beside, compression="plain", **{k: lower[k] for k in ("validation", "alphabet", "quality") if k in lower})
+            one_bgzf(spark, sized(beside), path, level, int(lower.get("singlefilelimit", SINGLE)))
+        finally:
+            if system.get_file_info(inner).type.name == "Directory":
+                system.delete_dir(inner)
+        return
+    rows.write.format("fastq").mode(mode).options(**given).save(path)
 
 
 def concatenated(path: str, df: DataFrame, **options) -> None:

@@ -592,15 +592,14 @@ class Writer(DataSourceArrowWriter):
             system.move(sinks.file_system(temporary)[1], inner)
             self.remove()
             return
-        if self.overwrite:
-            from pyarrow import fs
+        from pyarrow import fs
 
-            for f in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
-                if f.type == fs.FileType.File and not os.path.basename(f.path).startswith(f".{self.job}-"):
-                    system.delete_file(f.path)
         system.create_dir(inner, recursive=True)
-        for name, file in kept:
+        old = [f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.File and not os.path.basename(f.path).startswith(f".{self.job}-")]
+        for name, file in kept:  # the new files are there before the old ones go
             system.move(sinks.file_system(file)[1], f"{inner.rstrip('/')}/{name}")
+        for file in old if self.overwrite else ():
+            system.delete_file(file)
 
     def remove(self):
         from pyarrow import fs

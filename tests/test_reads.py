@@ -446,6 +446,19 @@ def test_round_trip(spark, tmp_path, extension):
         assert sorted((bytes(r[0]), bytes(r[1]), bytes(r[2])) for r in got) == sorted(rows)
 
 
+@pytest.mark.parametrize("n", [0, 1, 700, 9000])
+def test_one_bgzf_file_is_that_of_one_writer(spark, tmp_path, monkeypatch, n):
+    from readloom.sources import grid
+
+    monkeypatch.setattr(grid, "BLOCKS", 2)
+    df = spark.range(n).select(F.concat(F.lit("r"), "id").cast("binary").alias("header"), F.repeat(F.lit("ACGTA"), 10).cast("binary").alias("seq"), F.repeat(F.lit("IJKLM"), 10).cast("binary").alias("qual"))
+    write_reads(df.repartitionByRange(5, "header").sortWithinPartitions("header"), str(tmp_path / "x.bgz"), singleFile=True, level=4)
+    text = b"".join(b"@%b\n%b\n+\n%b\n" % tuple(map(bytes, r)) for r in df.orderBy("header").collect())
+    encoder = sinks.Encoder("bgzf", 4)
+    assert (tmp_path / "x.bgz").read_bytes() == encoder.add(text) + encoder.finish()
+    assert sorted(os.listdir(tmp_path)) == ["x.bgz"]
+
+
 @pytest.mark.parametrize(
     ("row", "options", "message"),
     [
