@@ -6,7 +6,8 @@ hit. The first valid hit at offset 0 is the value's type, which corrects a decla
 earlier valid hit covers are carved as embedded media.
 
 The query stores each text's bytes, padded with zeros to a positive multiple of 64, as 8-bit mono samples of a WAV file,
-sniffs the stored bytes, carves the samples out of the chunk that the validator found, and computes features of them.
+sniffs the stored bytes, which corrects their declared type, carves the samples out of the chunk that the validator found, and computes features of them. It also appends the stored
+bytes to the text, and carves what media this value has: the whole text is searched for magic bytes, and words of it that look like some are rejected.
 
 Results that the cases have: null values have no type and nothing embedded; empty values likewise; null and empty texts store 64
 zero bytes; rows that repeat have the same result; extra columns are ignored; an empty table gives an empty result. Values are read whole; there is no shuffle.
@@ -41,6 +42,8 @@ MAGIC = (
 )
 RATE = 8000
 BLOCK = 64
+#: The type that stored values are declared to have before they are looked at.
+DECLARED = "application/octet-stream"
 
 
 def png_end(b: memoryview, at: int) -> int | None:
@@ -150,25 +153,40 @@ def crc_table(poly: int, bits: int) -> list[int]:
     return out
 
 
-#: Fixed values of the formats: the polynomials of their checksums.
-OGG_CRC, FLAC_HEAD_CRC, FLAC_CRC = crc_table(0x04C11DB7, 32), crc_table(0x07, 8), crc_table(0x8005, 16)
+#: Fixed values of the formats: the polynomials of their checksums. That of Ogg is the one of zlib, over bits in the other order.
+FLAC_HEAD_CRC, FLAC_CRC = crc_table(0x07, 8), crc_table(0x8005, 16)
+TURNED = bytes(int(f"{byte:08b}"[::-1], 2) for byte in range(256))
 
 
-def ogg_end(b: memoryview, at: int) -> int | None:
-    """Pages up to the one that says it is the last, each with its checksum."""
-    place, last = at, False
-    while place + 27 <= len(b) and b[place : place + 4] == b"OggS" and not last:
-        segments = b[place + 26]
-        end = place + 27 + segments + sum(b[place + 27 : place + 27 + segments])
-        if b[place + 4] or end > len(b):
+def ogg_page(b: memoryview, at: int) -> tuple[int, int, int] | None:
+    """(end, flags, serial number) of the page that starts here with its checksum."""
+    if at + 27 > len(b) or b[at : at + 4] != b"OggS" or b[at + 4]:
+        return None
+    end = at + 27 + b[at + 26] + sum(b[at + 27 : at + 27 + b[at + 26]])
+    if end > len(b):
+        return None
+    page = b"".join((b[at : at + 22], bytes(4), b[at + 26 : end])).translate(TURNED)
+    crc = int(f"{zlib.crc32(page, 0xFFFFFFFF) ^ 0xFFFFFFFF:032b}"[::-1], 2)
+    return (end, b[at + 5], struct.unpack_from("<I", b, at + 14)[0]) if crc == struct.unpack_from("<I", b, at + 22)[0] else None
+
+
+def ogg_end(b: memoryview, at: int, pages: dict | None = None) -> int | None:
+    """Pages from one that begins a stream up to where all streams that were begun have ended. pages remembers those that were checked, so that each is checked once."""
+    pages, place, open_ = {} if pages is None else pages, at, set()
+    while True:
+        if place not in pages:
+            pages[place] = ogg_page(b, place)
+        if pages[place] is None:
             return None
-        crc = 0
-        for byte in (*b[place : place + 22], 0, 0, 0, 0, *b[place + 26 : end]):
-            crc = crc << 8 & 0xFFFFFFFF ^ OGG_CRC[crc >> 24 ^ byte]
-        if crc != struct.unpack_from("<I", b, place + 22)[0]:
+        place, flags, serial = pages[place]
+        if flags & 2:
+            open_.add(serial)
+        elif serial not in open_:
             return None
-        last, place = bool(b[place + 5] & 4), end
-    return place if last else None
+        if flags & 4:
+            open_.discard(serial)
+            if not open_:
+                return place
 
 
 def flac_frame(b: memoryview, at: int) -> tuple[int, int] | None:
@@ -260,9 +278,9 @@ def sniff(value: bytes) -> list[tuple[int, int, str]]:
     """(start, end, type) of the valid media in a value, in order of start; those inside earlier ones are left out."""
     finder, view = process_cache("magic", automaton), memoryview(value)
     hits = sorted((last - n + 1 - offset, kind) for last, (kind, n, offset) in finder.iter(value.decode("latin-1")))
-    out, free = [], 0
+    out, free, pages = [], 0, {}
     for start, kind in hits:
-        if start >= free and (end := END[kind](view, start)):
+        if start >= free and (end := ogg_end(view, start, pages) if kind == "audio/ogg" else END[kind](view, start)):
             out.append((start, end, kind))
             free = end
     return out
@@ -330,7 +348,7 @@ def features(samples: bytes) -> str:
 
 def stored(batches):
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("n", "p", "psha", "tail", "m", "msha", "feature")}
+        out: dict[str, list] = {k: [] for k in ("n", "p", "psha", "tail", "m", "msha", "feature", "kind", "corrected", "embedded")}
         for text in batch["_text"]:
             data = text.as_py().encode("utf-8")
             value = wav(padded(data))
@@ -338,17 +356,21 @@ def stored(batches):
             if [x[1:] for x in found] != [(len(value), "audio/wav")]:
                 raise ValueError("a stored value does not read back as one WAV file")
             back = wav_samples(value, *found[0][:2])
-            for k, v in zip(out, (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(value), hashlib.sha256(value).hexdigest(), features(back)), strict=True):
+            carved = ",".join(f"{s}:{e}:{k}:{hashlib.sha256(memoryview(carrier)[s:e]).hexdigest()}" for carrier in (data + value,) for s, e, k in sniff(carrier))
+            digests = hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(value), hashlib.sha256(value).hexdigest()
+            for k, v in zip(out, (len(data), len(back), *digests, features(back), found[0][2], found[0][2] != DECLARED, carved), strict=True):
                 out[k].append(v)
-        yield pa.RecordBatch.from_pydict({"_id": batch["_id"]} | {k: pa.array(v, pa.string() if k in ("psha", "msha", "feature") else pa.int64()) for k, v in out.items()})
+        types = {"psha": pa.string(), "msha": pa.string(), "feature": pa.string(), "kind": pa.string(), "embedded": pa.string(), "corrected": pa.bool_()}
+        yield pa.RecordBatch.from_pydict({"_id": batch["_id"]} | {k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()})
 
 
 def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: what its stored form reads back as, with digests and features."""
+    """One row a document: what its stored form reads back as, with digests and features; its type by content and whether that corrects DECLARED; and the media, as
+    start:end:type:sha256 joined by commas, that the text with its stored form after it embeds."""
     rows = docs.select(col(id_col).alias("_id"), text_of(docs, text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    out = rows.mapInArrow(stored, f"_id {kind}, n bigint, p bigint, psha string, tail bigint, m bigint, msha string, feature string")
-    names = (id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = rows.mapInArrow(stored, f"_id {kind}, n bigint, p bigint, psha string, tail bigint, m bigint, msha string, feature string, kind string, corrected boolean, embedded string")
+    names = (id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected", "embedded")
     return out.toDF(*names)
 
 

@@ -6,6 +6,7 @@ import json
 import random
 import re
 import struct
+import time
 import unicodedata
 import zlib
 
@@ -417,17 +418,29 @@ def flac(total: int = 0) -> bytes:
     return out
 
 
+def ogg_page(flags: int, nth: int, body: bytes, serial: int = 1) -> bytes:
+    head = b"OggS\0" + bytes([flags]) + b"\0" * 8 + struct.pack("<II", serial, nth)
+    segments = bytes([len(body) // 255 + 1]) + b"\xff" * (len(body) // 255) + bytes([len(body) % 255])
+    x = 0
+    for byte in head + b"\0\0\0\0" + segments + body:
+        x ^= byte << 24
+        for _ in range(8):
+            x = (x << 1 ^ 0x04C11DB7 if x & 1 << 31 else x << 1) & 0xFFFFFFFF
+    return head + struct.pack("<I", x) + segments + body
+
+
 def ogg() -> bytes:
-    def page(flags: int, nth: int, body: bytes) -> bytes:
-        head = b"OggS\0" + bytes([flags]) + b"\0" * 8 + b"\1\0\0\0" + struct.pack("<I", nth)
-        x = 0
-        for byte in head + b"\0\0\0\0" + bytes([1, len(body)]) + body:
-            x ^= byte << 24
-            for _ in range(8):
-                x = (x << 1 ^ 0x04C11DB7 if x & 1 << 31 else x << 1) & 0xFFFFFFFF
-        return head + struct.pack("<I", x) + bytes([1, len(body)]) + body
+    return ogg_page(2, 0, b"first") + ogg_page(4, 1, b"last")
+
 
-    return page(2, 0, b"first") + page(4, 1, b"last")
+def test_ogg_of_several_streams_and_without_end():
+    both = ogg_page(2, 0, b"a", 1) + ogg_page(2, 0, b"b", 2) + ogg_page(0, 1, b"c", 1) + ogg_page(4, 2, b"d", 1) + ogg_page(0, 1, b"e", 2) + ogg_page(4, 2, b"f", 2)
+    assert media.sniff(b"xx" + both + png()) == [(2, 2 + len(both), "audio/ogg"), (2 + len(both), 2 + len(both) + len(png()), "image/png")]
+    assert media.sniff(both[: -len(ogg_page(4, 2, b"f", 2))]) == []
+    page = ogg_page(2, 0, b"A" * 4000)
+    began = time.time()
+    assert media.sniff(page * 200) == []  # each begins a stream that never ends
+    assert time.time() - began < 1
 
 
 def test_ends_of_flac_and_ogg():
@@ -474,6 +487,7 @@ def test_op10_query(spark):
         file = b"RIFF" + struct.pack("<I", 36 + len(whole)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(whole)) + whole
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+        assert (r.media_type, r.corrected, r.embedded) == ("audio/wav", True, f"{len(data)}:{len(data) + len(file)}:audio/wav:{hashlib.sha256(file).hexdigest()}")
         x = list(whole)
         assert r.feature == (
             f"wav;rate=8000;frames={len(x)};sum={sum(x)};squares={sum(v * v for v in x)};low={min(x)};high={max(x)};crossings={sum((a >= 128) != (b >= 128) for a, b in zip(x, x[1:], strict=False))}"
