@@ -51,7 +51,7 @@ def integers(scale: float):
 
 
 def matrix(vectors: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors.to_pylist()), "<i4").reshape(-1, dims)
+    return np.frombuffer(b"".join(vectors.to_pylist()), "<i4").reshape(len(vectors), dims)
 
 
 def ranges(batches):
@@ -121,7 +121,7 @@ def meeter(cells: dict, k: int, same: bool):
 
     def met(anchors: pa.Table, rows: pa.Table, dims: int) -> pa.Table:
         q, v = matrix(anchors["vector"], dims), matrix(rows["vector"], dims)
-        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(-1, dims)
+        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(rows.num_rows, dims)
         low, width = cells[dims]
         middles = low + np.arange(CELLS)[:, None] * width + (width - 1) / 2  # the table: the middle of each cell of each dimension
         reach = np.abs(q).astype(np.float64) @ ((width - 1) / 2)
