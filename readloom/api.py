@@ -41,7 +41,8 @@ def read_reads(
     checks = {"validation": validation, "alphabet": alphabet, "quality": quality} if checked else {}
     df = source(spark, path, **options, **checks, mode="failfast" if mode == "failfast" else "permissive")
     uncut = {k: v for k, v in options.items() if k.lower() != "columns"}
-    small = most_splits(path, options) <= R.SPLITS
+    counted = numbered or checked and mode != "failfast"
+    small = (counted or mode == "prefix") and most_splits(path, options) <= R.SPLITS
     if mode == "prefix":
         if not {"file", "split_id", "record"} <= set(df.columns):
             raise ValueError("prefix mode needs the columns file, split_id and record")
@@ -49,7 +50,7 @@ def read_reads(
         place = F.struct("split_id", "record")
         first = source(spark, path, **uncut, **checks, mode="permissive", columns="file,split_id,record").where("error IS NOT NULL").groupBy("file").agg(F.min(place).alias("_first"))
         df = df.where("error IS NULL").join(F.broadcast(first) if small else first, "file", "left").where(F.col("_first").isNull() | (place < F.col("_first"))).drop("_first", "error")
-    if numbered or checked and mode != "failfast":
+    if counted:
         df = R.number_records(df, source(spark, path, **uncut, summary="many"), small=small)
     return df
 

@@ -85,7 +85,7 @@ def listed(path: str) -> list[str]:
 
 def most_splits(path: str, options: dict) -> int:
     """A bound on the splits of a path, from the sizes of its files alone."""
-    size = Options(options).split
+    size = max(1, next((int(v) for k, v in options.items() if k.lower() == "splitsize"), SPLIT))
     return sum(-(-n // size) or 1 for _, n in sized(path))
 
 

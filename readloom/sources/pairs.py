@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import CaseInsensitiveDict, DataSource, DataSourceReader, InputPartition
 
 from ..errors import SCHEMA as ERROR_SCHEMA
 from .fastq import ERROR_TYPE, Options, batches, planned
@@ -50,7 +50,8 @@ def mates(side: Side, first: int, count: int | None, options: dict) -> Iterator[
     """A side's reads from a record on; what is malformed ends them, as a read that has an error and nothing else."""
     if side.file is None:
         return
-    o = Options(options | {"mode": "permissive", "splittable": "false", "columns": "header,seq,qual,header_offset"} | ({} if side.offset is None else {"startOffset": str(side.offset)}))
+    own = {"mode": "permissive", "splittable": "false", "columns": "header,seq,qual,header_offset"} | ({} if side.offset is None else {"startOffset": str(side.offset)})
+    o = Options(CaseInsensitiveDict({**options, **{k.lower(): v for k, v in own.items()}}))
     number = side.number
     for split in planned(side.file, o):
         for b in batches(split, o):
@@ -112,7 +113,7 @@ def folded(part: Range, options: dict) -> Iterator[pa.RecordBatch]:
 
 class PairReader(DataSourceReader):
     def __init__(self, options):
-        self.plan, self.options = json.loads(options["plan"]), {k: v for k, v in options.items() if k.lower() != "plan"}
+        self.plan, self.options = json.loads(options["plan"]), {k.lower(): v for k, v in options.items() if k.lower() != "plan"}
 
     def partitions(self):
         return [Range(no, first, count, Side(*one), Side(*two) if two else None) for no, first, count, one, two in self.plan] or [Range(0, 1, 0, Side(None), None)]

@@ -527,8 +527,14 @@ def test_pairs_and_interleaved_read_no_mate_twice(spark, tmp_path, kinds, counts
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     want = R.pairs(*(read_reads(spark, p, mode="permissive", numbered=True, splitSize=1500) for p in paths))
     assert sorted(map(repr, got.select(*fields).collect())) == sorted(map(repr, want.select(*fields).collect()))
-    folded = read_interleaved(spark, paths[1], splitSize=700)
-    want = R.interleaved(read_reads(spark, paths[1], mode="permissive", numbered=True, splitSize=700))
+    n = got.count()
+    if "bgzf" in kinds:
+        # without their end markers, which an option lets pass
+        for path in (p for kind, folder in zip(kinds, paths, strict=True) if kind == "bgzf" for p in sorted(os.scandir(folder), key=lambda f: f.name)):
+            os.truncate(path, os.path.getsize(path) - len(codecs.BGZF_EOF))
+        assert read_pairs(spark, *paths, splitSize=1500, bgzfEofCheck=False).count() == n
+    folded = read_interleaved(spark, paths[1], splitSize=700, bgzfEofCheck=False)
+    want = R.interleaved(read_reads(spark, paths[1], mode="permissive", numbered=True, splitSize=700, bgzfEofCheck=False))
     fields = ("file", "record", "r1", "r2", "error")
     assert sorted(map(repr, folded.select(*fields).collect())) == sorted(map(repr, want.select(*fields).collect()))
 
