@@ -106,7 +106,10 @@ def starts_record(path: str, offset: int, wrapped: bool = False) -> bool:
 
 
 def stream_reads(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A streaming DataFrame of the reads of files as they appear in a folder, with the options of the data source: mode (failfast or permissive), format, validation and the rest."""
+    """A streaming DataFrame of the reads of files as they appear in a folder, with the options of the data source: mode (failfast or permissive), format, validation and the rest.
+
+    log: a folder of this stream's own, so that offsets stay small however many files there are; with it, follow=True reads on in files that grow, and maxFilesPerTrigger bounds a batch.
+    """
     register(spark)
     return spark.readStream.format("fastq").options(**options_of(options)).load(path)
 

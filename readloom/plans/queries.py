@@ -202,6 +202,18 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def stream_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads from one file that grows between two runs of a stream with a log; the first run sees about half of it."""
+    path, out, state, log = (folder(spark, f"stream-{x}") for x in ("in", "out", "state", "log"))
+    reads = base(spark, sf_dir)
+    half = (reads.agg(F.max("k")).first()[0] or 0) // 2
+    for part in (reads.where(F.col("k") <= half), reads):
+        write_reads(part.orderBy("k"), f"{path}/growing.fastq", mode="overwrite", singleFile=True, singleFileLimit=1 << 50)
+        stream = text(stream_reads(spark, path, log=log, follow=True, splitSize=1 << 22))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def stream_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reads through a stream whose sink writes each micro-batch once, and read again."""
     path, out, state = folder(spark, "stream-in"), folder(spark, "stream-out"), folder(spark, "stream-state")
@@ -306,7 +318,7 @@ SCANS = {
     "scan_plain": through(), "scan_plain_split": through(splitSize=1 << 16), "scan_gzip": through("gz"), "scan_bgzf": through("bgz"),
     "scan_bgzf_split": through("bgz", splitSize=1 << 17), "scan_zstd": through("zst"), "scan_multiline": scan_lines(True), "scan_crlf": scan_lines(False),
     "sniff_misnamed": through("fastq", single=True, name="fastq", write={"compression": "gzip"}), "scan_one_file": through("bgz", single=True, name="fastq.bgz"),
-    "scan_stream_only": through("bgz", splittable=False), "scan_forced_bgzf": through("bgz", compression="bgzf"), "stream_append": stream_append, "stream_write": stream_write,
+    "scan_stream_only": through("bgz", splittable=False), "scan_forced_bgzf": through("bgz", compression="bgzf"), "stream_append": stream_append, "stream_follow": stream_follow, "stream_write": stream_write,
     "scan_memory": in_memory_values,
 }
 

@@ -1,4 +1,4 @@
-"""The data source `fastq`: batch reader, stream reader and writer.
+"""The data source `fastq`: batch reader and writer; its stream reader is in `stream`.
 
 Options of the reader: format (single or multiline), compression (auto, plain, gzip, bgzf, zstd), splitSize (bytes of a file that a task aims
 at), splittable, bgzfEofCheck, mode (failfast or permissive), startOffset and endOffset (bytes, or BGZF virtual offsets), resync (go on at the
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..errors import SCHEMA as ERROR_SCHEMA
 from ..errors import ReadError, invalid
@@ -40,6 +40,8 @@ SUMMARY = "file string, file_no int, split_id int, records bigint, bytes bigint,
 READ_OPTIONS = (
     "path", "format", "compression", "splitsize", "splittable", "bgzfeofcheck", "mode", "startoffset", "endoffset", "resync", "columns", "summary", "validation", "alphabet", "quality",
 )
+#: Of streams alone: see `stream`.
+STREAM_OPTIONS = ("log", "maxfilespertrigger", "follow")
 WRITE_OPTIONS = ("path", "compression", "level", "validation", "alphabet", "quality", "singlefile", "singlefilelimit")
 #: Rows of an Arrow batch at most.
 BATCH = 50_000
@@ -119,7 +121,7 @@ class Split(InputPartition):
 
 class Options:
     def __init__(self, options):
-        known(options, READ_OPTIONS)
+        known(options, READ_OPTIONS + STREAM_OPTIONS)
         self.wrapped = str(options.get("format", "single")).lower() in ("multiline", "multi", "multi-line")
         self.kind = str(options.get("compression", "auto")).lower()
         self.split = max(1, int(options.get("splitSize", SPLIT)))
@@ -285,6 +287,11 @@ class Place:
             found = self.synced_block(cut)
             self.mark = found if self.mark is None else min(self.mark, found or self.mark)
             ahead = self.mark and self.mark[0]
+        if s.limit is not None and ahead is not None:  # what was found may lie beyond the end that was asked for
+            if s.kind == "plain":
+                self.end = min(self.end, s.limit)
+            else:
+                self.mark = min(self.mark, self.virtual(s.limit))
         self.cut = None if self.same is None else cut + s.step * max(1, -(-(self.same + 1 - cut) // s.step))
         if self.cut is not None and (self.cut >= s.total or ahead is not None and self.cut > ahead):
             self.cut = None
@@ -475,6 +482,7 @@ def failure(e: ReadError, split: Split, o: Options) -> pa.RecordBatch:
 
 class Reader(DataSourceReader):
     def __init__(self, options):
+        known(options, READ_OPTIONS)
         self.paths, self.o = options["path"], Options(options)
 
     def partitions(self):
@@ -484,42 +492,6 @@ class Reader(DataSourceReader):
         return batches(partition, self.o)
 
 
-class StreamReader(DataSourceStreamReader):
-    """Files that appear in a folder; each is read whole, once, whatever its name and modification time.
-
-    An offset names the files that the folder held: a batch has those that its end names and its start does not, in order of
-    modification time and name. A file that goes and comes back in a later batch counts as new.
-    """
-
-    def __init__(self, options):
-        self.paths, self.o = options["path"], Options(options)
-
-    def initialOffset(self) -> dict:
-        return {"files": []}
-
-    def latestOffset(self) -> dict:
-        return {"files": sorted(set(listed(self.paths)))}
-
-    def seen(self, offset: dict) -> set[str]:
-        if "files" in offset:
-            return set(offset["files"])
-        # of a checkpoint by an earlier version: the last file's time and name; of a URI only the name counted
-        last = (offset["time"], offset["file"])
-        return {f for f in listed(self.paths) if (f <= last[1] if "://" in self.paths else (modified(f), f) <= last)}
-
-    def partitions(self, start: dict, end: dict):
-        new = list(self.seen(end) - self.seen(start))
-        with ThreadPoolExecutor(32) as pool:
-            times = list(pool.map(modified, new))
-        return plans([f for _, f in sorted(zip(times, new, strict=True))], self.o)
-
-    def read(self, partition):
-        return batches(partition, self.o)
-
-    def commit(self, end: dict) -> None:
-        pass
-
-
 @dataclass
 class Written(WriterCommitMessage):
     file: str
@@ -627,6 +599,8 @@ class FastqSource(DataSource):
         return Reader(self.options)
 
     def streamReader(self, schema):
+        from .stream import StreamReader  # which builds on this module
+
         return StreamReader(self.options)
 
     def writer(self, schema, overwrite):

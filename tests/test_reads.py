@@ -1,10 +1,13 @@
 """Framing, codecs, splits, sinks, pairs and errors of reads, on small inputs written here."""
 
 import gzip
+import itertools
+import json
 import os
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -653,3 +656,125 @@ def test_stream_reads_late_files_once(spark, tmp_path, scheme):
         write_stream(stream_reads(spark, f"{scheme}{folder}"), str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(100)
     found = [line for f in sorted((tmp_path / "out").rglob("part-*")) for line in f.read_bytes().split(b"\n") if line.startswith(b"@")]
     assert sorted(found) == [b"@a", b"@b", b"@c", b"@d", b"@e"]
+
+
+def made(first, last):
+    return [b"@r%d\n%b\n+\n%b\n" % (k, b"ACGT" * (1 + k % 5), b"IIII" * (1 + k % 5)) for k in range(first, last)]
+
+
+def blocks(data, size=700):
+    return [sinks.bgzf_block(data[k : k + size], 6) for k in range(0, len(data), size)]
+
+
+@pytest.mark.parametrize("kind", ["plain", "bgzf", "wrapped"])
+def test_whole_to_ends_with_the_last_whole_record(tmp_path, kind):
+    """Cut anywhere, and begun at any whole record: what is whole up to there, as reading line by line has it."""
+    from readloom.sources import stream
+
+    records, path = made(0, 400), tmp_path / "x"
+    if kind == "wrapped":
+        records = [r.replace(b"ACGTACGT", b"ACGT\nACGT", 1).replace(b"IIIIIIII", b"IIIII\nIII", 1) for r in records]
+    ends = list(itertools.accumulate(map(len, records)))
+    text = b"".join(records)
+    o = fastq.Options({"format": "multiline" if kind == "wrapped" else "single"})
+    parts = blocks(text) if kind == "bgzf" else [text]
+    whole, random = b"".join(parts), np.random.default_rng(3)
+    for tail in (1 << 8, 1 << 11, 1 << 18):
+        stream.TAIL, start, seen = tail, 0, 0
+        for cut in sorted(random.integers(1, len(whole) + 1, 25).tolist()) + [len(whole)]:
+            path.write_bytes(whole[:cut])
+            if kind == "bgzf" and cut < 20:
+                continue
+            if kind == "bgzf":
+                sizes = list(itertools.accumulate(map(len, parts)))
+                n = min(len(text), 700 * sum(s <= cut for s in sizes))
+            else:
+                n = cut
+            want = max((e for e in ends if e <= n), default=0)
+            end = stream.whole_to(str(path), start, cut, o)
+            if end != start:
+                places = {"startOffset": str(start), "endOffset": str(end), "splitSize": "900", "format": "multiline" if kind == "wrapped" else "single"}
+                seen += sum(b.num_rows for s in fastq.planned(str(path), fastq.Options(places)) for b in fastq.batches(s, o))
+            assert seen == sum(e <= want for e in ends), (tail, cut)
+            start = end
+        assert seen == len(records)
+    stream.TAIL = 1 << 18
+
+
+def test_whole_to_tells_wrong_from_unfinished(tmp_path):
+    from readloom.sources import stream
+
+    o, path, good = fastq.Options({}), tmp_path / "x", b"".join(made(0, 50))
+    for end, wrong in ((b"@a\nAC", False), (b"@a\nACGT\n+\nII", False), (b"@a\nACGT\n+\nIIII", False), (b"@a\nACGT\n+\nII\n", True), (b"nothing\n@a\n", True), (b"\n\n", False)):
+        path.write_bytes(good + end)
+        assert stream.whole_to(str(path), 0, len(good + end), o) == (None if wrong else len(good)), end
+    packed = b"".join(blocks(good))
+    for end, wrong in ((b"\x1f\x8b\x08", False), (blocks(b"@a\nA\n+\nI\n")[0][:-3], False), (b"x" * 40, True)):
+        path.write_bytes(packed + end)
+        assert (stream.whole_to(str(path), 0, len(packed + end), o) is None) == wrong, end
+
+
+def test_stream_log(tmp_path):
+    from readloom.sources import stream
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    options = {"path": str(folder), "log": str(tmp_path / "log"), "maxFilesPerTrigger": "2"}
+    reader, offset, got = stream.StreamReader(options), {"step": 0}, []
+    for k in range(0, 200):
+        (folder / f"{k:03d}.fastq").write_bytes(b"@%d\nA\n+\nI\n" % k)
+        if k % 50 == 49:
+            reader = stream.StreamReader(options)  # a restart knows what the log has
+        if k % 2:
+            end = reader.latestOffset()
+            got += [s.file for s in reader.partitions(offset, end)]
+            assert len(json.dumps(end)) < 20
+            reader.commit(end)
+            offset = end
+    assert sorted(got) == sorted(map(str, folder.iterdir())) and len(got) == 200 and reader.latestOffset() == offset
+    assert len(list((tmp_path / "log").iterdir())) <= stream.KEEP + 1
+    # a new stream on the log reads all of it, one that goes on from a checkpoint without a log what that has not
+    again = stream.StreamReader(options)
+    assert sorted(s.file for s in again.partitions({"step": 0}, offset)) == sorted(got)
+    assert {s.file for s in again.partitions({"files": got[:150]}, offset)} == set(got[150:])
+    with pytest.raises(RuntimeError, match="merged"):
+        again.partitions({"step": 1}, offset)
+    # more files than a batch takes stay for the next
+    for k in range(5):
+        (folder / f"z{k}.fastq").write_bytes(b"@z\nA\n+\nI\n")
+    sizes = []
+    while (end := again.latestOffset()) != offset:
+        sizes.append(len(again.partitions(offset, end)))
+        offset = end
+    assert sizes == [2, 2, 1]
+    for odd in ({"follow": "true"}, {"maxFilesPerTrigger": "1"}, {"follow": "true", "log": "x", "startOffset": "3"}):
+        with pytest.raises(ValueError):
+            stream.StreamReader({"path": str(folder), **odd})
+    with pytest.raises(ValueError):
+        fastq.Reader({"path": str(folder), "follow": "true"})
+
+
+def test_stream_follows_files_that_grow(spark, tmp_path):
+    from readloom.api import stream_reads
+
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    plain, packed, records = folder / "a.fastq", folder / "b.fastq.bgz", made(0, 300)
+    text, parts = b"".join(records), blocks(b"".join(made(1000, 1300)))
+    steps = [(text[:1000], parts[:2]), (text[:1007], parts[:2]), (text[:5000], [*parts[:6], parts[6][:20]]), (text, [*parts, codecs.BGZF_EOF])]
+    (folder / "c.fastq.gz").write_bytes(gzip.compress(b"@c\nA\n+\nI\n"))
+    found = []
+    for a, b in steps:
+        plain.write_bytes(a)
+        packed.write_bytes(b"".join(b))
+        stream = stream_reads(spark, str(folder), log=str(tmp_path / "log"), follow=True, splitSize=1500, columns="header,file")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(100)
+        found.append(spark.read.parquet(out).count())
+    headers = sorted(bytes(r.header) for r in spark.read.parquet(out).collect())
+    assert headers == sorted([b"c", *(b"r%d" % k for k in [*range(300), *range(1000, 1300)])])
+    assert found == sorted(found) and found[0] < found[2] < found[3]
+    plain.write_bytes(text[:50])
+    from readloom.sources import stream as s
+
+    with pytest.raises(RuntimeError, match="shorter"):
+        s.StreamReader({"path": str(folder), "log": str(tmp_path / "log"), "follow": "true"}).latestOffset()
