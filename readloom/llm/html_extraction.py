@@ -8,7 +8,7 @@ holds main text. The fitted trees are kept beside this module (`html_trees.json`
 The text of a page is that of its text runs inside, in page order: one block a line, white space in a block made one space,
 character references decoded. Nothing else is dropped or capped. No shuffle: a page is one row.
 
-Results that the cases have: null, empty and text-free pages have the empty text; null ids and urls stay; rows that repeat have the same
+Results that the cases have: null, empty and text-free pages have the empty text, others with a run of prose outside what stands around texts never; a page without marks is text; null ids and urls stay; rows that repeat have the same
 result; extra columns are ignored; an empty table gives an empty result. Pages are read whole.
 """
 
@@ -50,10 +50,13 @@ TOKEN_GROUP = {t: k for k, g in enumerate(GROUPS) for t in g.split()}
 SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 STORY = frozenset(("article", "main"))
 CHROME = frozenset(("nav", "header", "footer", "aside", "form"))
+HEADINGS = frozenset(("h1", "h2", "h3"))
 PLAIN = 18
 N_FEATURES = PLAIN + len(TAGS) + 2 * len(GROUPS)
-PAGES, TREES, DEPTH, BINS, RATE, SEED = 2200, 160, 5, 32, 0.2, 11
+PAGES, TREES, DEPTH, BINS, RATE, SEED = 3000, 160, 6, 32, 0.2, 11
 FITTED = "html_trees.json"
+#: Words of a run of text that reads like prose.
+PROSE = 8
 #: Nodes whose features are held at once.
 NODES = 60_000
 
@@ -180,8 +183,22 @@ class Boosted:
         return score
 
 
+def prose(nodes: list[Node]) -> list[int]:
+    """The text runs that read like prose: PROSE words or more, less than half of it links, in no element that is hidden or whose tag or names are those of what stands around a text."""
+    around, out = [False] * len(nodes), []
+    place = {id(x): k for k, x in enumerate(nodes)}
+    for k, x in enumerate(nodes):
+        around[k] = x.parent is not None and (around[place[id(x.parent)]] or x.tag in CHROME or x.tag in HIDDEN or flags(x) > 1)
+        if x.tag == "#text" and not around[k] and x.words >= PROSE and 2 * x.links < x.chars:
+            out.append(k)
+    return out
+
+
 def decoded(nodes: list[Node], log_odds: np.ndarray) -> list[str]:
-    """The text runs inside the main text under the most likely labelling without contradictions."""
+    """The text runs inside the main text under the most likely labelling without contradictions; where that is empty, under the most likely one that holds a run of prose, if there is one.
+
+    The longest run of prose is inside where the heading before it is.
+    """
     place = {id(x): k for k, x in enumerate(nodes)}
     inside = (-np.logaddexp(0, -log_odds)).tolist()
     outside = (-np.logaddexp(0, log_odds)).tolist()
@@ -190,12 +207,28 @@ def decoded(nodes: list[Node], log_odds: np.ndarray) -> list[str]:
             j = place[id(c)]
             inside[k] += max(inside[j], outside[j])
             outside[k] += outside[j]
-    keep, out = [False] * len(nodes), []
-    for k, x in enumerate(nodes):
-        keep[k] = x.parent is None or keep[place[id(x.parent)]] and inside[k] >= outside[k] and x.tag not in HIDDEN
-        if keep[k] and x.tag == "#text":
-            out.append(x.text)
-    return out
+
+    def kept(forced: int = 0) -> list[bool]:
+        """Whether each node is inside, where one must be."""
+        path, keep = set(), [False] * len(nodes)
+        while nodes[forced].parent is not None:
+            path.add(forced)
+            forced = place[id(nodes[forced].parent)]
+        for k, x in enumerate(nodes):
+            keep[k] = x.parent is None or keep[place[id(x.parent)]] and (inside[k] >= outside[k] or k in path) and x.tag not in HIDDEN
+        return keep
+
+    keep, able = kept(), prose(nodes)
+    if able and not any(k for k, x in zip(keep, nodes, strict=True) if x.tag == "#text"):
+        loss = [0.0] * len(nodes)  # of log likelihood, if a node is inside
+        for k, x in enumerate(nodes[1:], 1):
+            loss[k] = loss[place[id(x.parent)]] + min(0.0, inside[k] - outside[k])
+        keep = kept(max(able, key=loss.__getitem__))
+    elif able and not keep[longest := max(able, key=lambda k: nodes[k].chars)]:
+        heading = next((k for k in range(longest, 0, -1) if nodes[k].tag in HEADINGS), 0)
+        if heading and keep[heading]:
+            keep = kept(longest)
+    return [x.text for k, x in zip(keep, nodes, strict=True) if k and x.tag == "#text"]
 
 
 SYLLABLES = "an er on re ed ing the st ou nt ha is at ti or th en de la es ra le qu vi ment ción sch ein keit ung".split()
@@ -246,7 +279,7 @@ class Pages:
     def main(self) -> str:
         r, out = self.r, []
         if r.random() < 0.8:
-            out.append(f"<h1 data-main>{self.words(2, 14)}</h1>")
+            out.append(r.choice(("{}",) * 9 + ("<header>{}</header>",)).format(f"<h1 data-main>{self.words(2, 14)}</h1>"))
         for _ in range(r.choice((1, 1, 1, 2, 3, 5, 8, 12))):
             kind = r.random()
             if kind < 0.78:
@@ -259,10 +292,12 @@ class Pages:
                 out.append(f"<blockquote data-main>{self.words(5, 50)}</blockquote>")
             elif kind < 0.96:
                 out.append("<table>" + "".join(f"<tr><td data-main>{self.words(1, 4)}</td><td data-main>{self.words(1, 4)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>")
-            elif kind < 0.97:
+            elif kind < 0.965:
                 out.append(f"<pre data-main>{self.words(3, 40)}</pre>")
-            elif kind < 0.985:
-                out.append(f"<div data-main>{self.words(5, 80)}</div>")
+            elif kind < 0.97:
+                out.append("<dl>" + "".join(f"<dt data-main>{self.words(1, 3)}</dt><dd data-main>{self.words(3, 40)}</dd>" for _ in range(r.randint(1, 4))) + "</dl>")
+            elif kind < 0.98:
+                out.append("".join(f"<div data-main>{self.words(5, 80)}</div>" for _ in range(r.randint(1, 4))))
             else:
                 out.append(self.noise())
         return "".join(out)
@@ -330,6 +365,36 @@ class Pages:
             around.append(self.footing("footer site-footer bottom"))
         return "".join(around)
 
+    def loose(self) -> str:
+        """A box whose text stands right in it, in lines or between paragraphs, with or without a name, and what other pages have around it."""
+        r = self.r
+        out = [f"<h1>{self.words(2, 10)}</h1>"] if r.random() < 0.5 else []
+        for _ in range(r.choice((1, 1, 2, 3, 5))):
+            text = self.inline(self.words(*r.choice(((4, 20), (15, 60), (30, 150)))))
+            out.append(r.choice(("{}", "{}", "{}<br>", "{}<br><br>", "<p>{}</p>", "<p>{}")).format(text))
+        attr = r.choice(("", f' class="{self.token()}"', f' class="{self.token()}"', ' id="content"', ' class="text"'))
+        main = f"<{(tag := r.choice(('div', 'div', 'section', 'article', 'center')))}{attr} data-main>{''.join(out)}</{tag}>"
+        for _ in range(r.choice((0, 0, 1, 2))):
+            main = f"<div>{main}</div>"
+        head = r.choice(("", f"<nav>{self.links(r.randint(2, 7))}</nav>", self.heading("header site-header top"), f'<div class="{self.token()}">{self.links(r.randint(3, 8))}</div>'))
+        tail = r.choice(("", self.footing("footer site-footer bottom"), f"<footer>{self.words(1, 8)}</footer>", f'<div class="{self.token()}"><span>&copy; {self.words(1, 5)}</span></div>'))
+        return head + r.choice(("", "", self.noise())) + main + r.choice(("", "", self.noise())) + tail
+
+    def few(self) -> str:
+        """A page of one block or a few, with little or nothing around them."""
+        r = self.r
+        blocks = [f"<p data-main>{self.inline(self.words(*r.choice(((6, 20), (15, 60), (40, 200)))))}" + r.choice(("</p>", "</p>", "")) for _ in range(r.choice((1, 1, 2, 2, 3)))]
+        if r.random() < 0.3:
+            blocks.insert(0, f"<h1 data-main>{self.words(2, 10)}</h1>")
+        if r.random() < 0.15:  # nothing but what stands around a text
+            return r.choice((f"<nav>{self.links(r.randint(2, 7))}</nav>", self.noise())) + r.choice(("", self.footing("footer bottom"), f"<footer>&copy; {self.words(1, 4)}</footer>"))
+        if r.random() < 0.3:
+            blocks = [b.replace("<p data-main>", "<div data-main>").replace("</p>", "") + "</div>" if b.startswith("<p") else b for b in blocks]
+        main = "".join(blocks)
+        for _ in range(r.choice((0, 0, 0, 1, 2, 3))):
+            main = f'<div{r.choice(("", f""" class="{self.token()}" """.rstrip()))}>{main}</div>'
+        return r.choice(("", "", "", self.noise())) + main + r.choice(("", "", "", self.noise(), f"<footer>{self.words(1, 8)}</footer>"))
+
     def named(self) -> str:
         """A page whose main text has an element or a name of its own."""
         r = self.r
@@ -350,17 +415,20 @@ class Pages:
             tail.append(self.footing("footer site-footer copyright bottom"))
         return f"{''.join(head)}{main}{''.join(tail)}"
 
-    LAYOUTS = ("named",) * 8 + ("hashed", "tabled", "bare")
+    LAYOUTS = ("named",) * 8 + ("hashed", "tabled", "bare", "bare", "loose", "few", "few")
 
     def page(self, layout: str | None = None) -> str:
-        body = getattr(self, layout or self.r.choice(self.LAYOUTS))()
+        layout = layout or self.r.choice(self.LAYOUTS)
+        if layout == "few" and self.r.random() < 0.3:  # without a frame, or without any mark
+            return self.r.choice((self.few(), self.words(10, 200)))
+        body = getattr(self, layout)()
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 
 def labelled(nodes: list[Node]) -> np.ndarray:
-    """Whether each node's subtree holds text that the generator marked."""
+    """Whether each node's subtree holds text that the generator marked; a page of nothing but text is main text."""
     for x in nodes:
-        x.mark = "data-main" in x.attrs or x.parent is not None and x.parent.mark
+        x.mark = len(nodes) == 2 and x.tag == "#text" or "data-main" in x.attrs or x.parent is not None and x.parent.mark
         x.main = x.tag == "#text" and x.mark
     for x in reversed(nodes[1:]):
         x.parent.main |= x.main

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html
 import json
 import random
 import re
@@ -17,6 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import hand_pages
 from readloom.llm import bpe, embedding_dedup, fill_in_middle, hard_negatives, html_extraction, line_dedup, media, mixing, ngram_jaccard, packing, pii, queries, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -334,6 +336,44 @@ def test_fitted_trees_are_those_of_the_generator():
     assert (len(kept.trees), len(kept.edges)) == (html_extraction.TREES, html_extraction.N_FEATURES)
 
 
+def test_html_of_hand_pages():
+    trees = html_extraction.model()
+    for pages, least in ((hand_pages.PAGES, 26), (hand_pages.KEPT, 12)):
+        got = html_extraction.extract([p for p, _ in pages], trees)
+        assert sum(g == want for g, (_, want) in zip(got, pages, strict=True)) >= least
+        assert all(g for g, (_, want) in zip(got, pages, strict=True) if want)
+
+
+def test_html_of_sparse_layouts():
+    """A cookie box over a heading and one paragraph in boxes whose names say nothing, two bare paragraphs, text without marks, lines in a cell, text right in a box."""
+    made, trees, right = html_extraction.Pages(99), html_extraction.model(), [0] * 5
+    for _ in range(40):
+        a, b, title = (" ".join(html.unescape(made.words(low, high)).split()) for low, high in ((15, 60), (15, 60), (3, 6)))
+        x, y, h = map(html.escape, (a, b, title))
+        pages = (
+            (f'<html><body><div class="cookie-banner"><p>We use cookies to improve your visit. Accept all?</p><button>OK</button></div><div class="q7"><div class="z9"><h1>{h}</h1><div class="k2"><p>{x}</p></div></div></div></body></html>', f"{title}\n{a}"),
+            (f"<html><body><p>{x}</p><p>{y}</p></body></html>", f"{a}\n{b}"),
+            (x, a),
+            (f"<html><body><table><tr><td><a href=/>Home</a><br><a href=/a>News</a></td><td>{x}<br>{y}</td></tr></table></body></html>", f"{a} {b}"),
+            (f'<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="q7">{x}<p>{y}</p></div><footer>&copy; Site 2020</footer></body></html>', f"{a}\n{b}"),
+        )
+        for k, (page, want) in enumerate(pages):
+            right[k] += html_extraction.extract([page], trees) == [want]
+    assert min(right) >= 38, right
+
+
+def test_html_prose_is_never_left_out():
+    # odds against everything: the likeliest run of prose stays, but not one of what stands around a text
+    text = "one two three four five six seven eight nine"
+    nodes = html_extraction.tree(f'<div class="ad">{text}</div><nav>{text}</nav><div>few</div><div><p>{text} ten</p></div>')
+    assert html_extraction.decoded(nodes, np.full(len(nodes), -4.0)) == [f"{text} ten"]
+    nodes = html_extraction.tree(f'<div class="ad">{text}</div><nav>{text}</nav>')
+    assert html_extraction.decoded(nodes, np.full(len(nodes), -4.0)) == []
+    # the longest run goes with its heading
+    nodes = html_extraction.tree(f"<h1>title</h1><div>{text}</div>")
+    assert html_extraction.decoded(nodes, np.array([2.0 if x.tag == "h1" or x.text == "title" else -4.0 for x in nodes])) == ["title", text]
+
+
 def test_html_decoding_never_contradicts():
     nodes = html_extraction.tree("<div><div><p>a</p><p>b</p></div><p>c</p></div>")
     odds = np.array([3.0 if x.tag == "#text" else -1.0 for x in nodes])
