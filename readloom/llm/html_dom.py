@@ -47,6 +47,7 @@ def tree(source: str) -> list[Node]:
     """All nodes in page order, the document first; text runs are leaves with tag #text."""
     root = Node("#document", "", None)
     nodes, stack = [root], [root]
+    where: dict[str, list[int]] = {}  # places in the stack of the open elements of a tag
     run: list[str] = []
     linked = hidden = inner = 0  # open links, open hidden elements, linked characters of the run
     anchors: list[str] = []
@@ -69,7 +70,12 @@ def tree(source: str) -> list[Node]:
         nonlocal hidden
         flush()
         while len(stack) > to:
-            hidden -= stack.pop().tag in HIDDEN
+            tag = stack.pop().tag
+            where[tag].pop()
+            hidden -= tag in HIDDEN
+
+    def innermost(tags) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
 
     place, size = 0, len(source)
     while place < size:
@@ -95,30 +101,19 @@ def tree(source: str) -> list[Node]:
             linked = max(0, linked + (-1 if ending else 1)) if name == "a" else linked
             stack[-1].tags += 1
         elif ending:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    close(k)
-                    break
+            if k := innermost((name,)):
+                close(k)
             linked = 0
         elif name in VOID:
             if name == "hr":
                 flush()
         else:
             attrs = m.group(3) or m.group(6) or ""
-            if name in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        close(k)
-                        break
-                    if stack[k].tag not in ("p",):
-                        break
+            if name in CLOSES_P and stack[-1].tag == "p":
+                close(len(stack) - 1)
             ends, holders = ENDS.get(name, ((), ()))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    close(k)
-                    break
-                if stack[k].tag in holders:
-                    break
+            if (k := innermost(ends)) > innermost(holders):
+                close(k)
             flush()
             linked = 0
             node = Node(name, attrs, stack[-1])
@@ -128,6 +123,7 @@ def tree(source: str) -> list[Node]:
                 end = RAW[name].search(source, place)
                 place = end.end() if end else size
             elif not attrs.rstrip().endswith("/") or name not in ("svg", "iframe"):
+                where.setdefault(name, []).append(len(stack))
                 stack.append(node)
                 hidden += name in HIDDEN
     close(1)

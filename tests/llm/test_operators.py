@@ -336,6 +336,13 @@ def test_fitted_trees_are_those_of_the_generator():
     assert (len(kept.trees), len(kept.edges)) == (html_extraction.TREES, html_extraction.N_FEATURES)
 
 
+def test_html_of_deep_pages():
+    start = time.time()
+    for page in ("<div>" * 20000 + "word " * 20, "<li><ul>" + "<div>" * 20000 + "<li></li>" * 20000 + "</p>" * 20000 + "word " * 20):
+        html_extraction.tree(page)
+    assert time.time() - start < 5
+
+
 def test_html_of_hand_pages():
     trees = html_extraction.model()
     for pages, least in ((hand_pages.PAGES, 26), (hand_pages.KEPT, 12)):
