@@ -1,5 +1,5 @@
 """The corpus pipeline: toxic documents go, repeated lines go, one document of each group of near copies stays, sources are
-mixed to their targets, and the mix is encoded. Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run()
+mixed to their targets, and the mix is encoded and decoded again. Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run()
 writes as Parquet in the shared folder and reads again. All but the last return the columns of documents.
 
 Results that the cases have, by stage: null and empty texts have the score of the bias, which is clean, and stay; they have no lines to lose; all of them are one
@@ -44,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and the token ids of each document of the mix."""
-    return bpe.bpe(docs, bpe.default_path(), keep=("source",), decode=False)
+    """doc_id, source, n_tokens, the token ids and the text decoded from them, of each document of the mix."""
+    return bpe.bpe(docs, bpe.default_path(), keep=("source",))
 
 
 STAGES = [

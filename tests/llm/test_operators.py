@@ -686,6 +686,23 @@ def test_pipeline(spark):
     assert rows and all(len(r.ids) == r.n_tokens for r in rows)
 
 
+def test_pipeline_decodes_what_it_has_encoded(spark):
+    """The last stage gives ids and decoded text as the tokenizers library does, alone on odd texts and at the end of a run."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    odd = [*ODD, (11, "it's<|startoftext|>A b<|endoftext|>", "b")]
+    texts = {repr(i): x for i, x, _ in odd if i is not None}
+    alone = dict(corpus_pipeline.STAGES)["bpe"](spark, docs(spark, odd), SF)
+    assert alone.columns == ["doc_id", "source", "n_tokens", "ids", "decoded"]
+    rows = alone.collect()
+    assert len(rows) == len(odd)
+    for r in rows:
+        assert r.doc_id is None or r.ids == t.encode(texts[repr(r.doc_id)] or "", add_special_tokens=False).ids
+    rows += corpus_pipeline.run(spark, SF).collect()
+    assert len(rows) > len(odd) and all(r.decoded == t.decode(r.ids, skip_special_tokens=False) for r in rows)
+
+
 def best_fit_plainly(lengths, window):
     """The windows of best-fit decreasing by looking at every open window; among windows of equal room the one that got it last."""
     rooms, out, clock = [], [], 0
