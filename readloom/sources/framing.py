@@ -421,7 +421,7 @@ def framed(
                 heads, used, last = heads[:k], int(x.starts[j]), True
             if len(heads):
                 out = built(data, x, at, heads, separator[heads] if wrapped else None, want, checks)
-            out.lines = j - (1 if j == len(x) and x.used == len(data) and not data.endswith(b"\n") else 0)
+            out.lines = j - (1 if data and j == len(x) and x.used == len(data) and not data.endswith(b"\n") else 0)  # the stream's last line may have no end
             if not last and j < len(x) and (cutoff is None or used + at < cutoff):
                 # not a record, or one whose end is not here: read on its own, to tell which
                 odd, _ = one_by_one(data, at, used, whole, wrapped, 1)

@@ -88,6 +88,14 @@ def test_every_split_size_gives_the_same_reads(tmp_path, kind):
     for size in [*range(1, 120, 7), 500, 1000, 4096, 1 << 20]:
         assert scanned(tmp_path / "reads", splitSize=size) == want, size
 
+def test_a_window_that_ends_with_the_file_counts_no_line_less(tmp_path, monkeypatch):
+    data = b"".join(b"@r%d\nACG\n+\nIII\n" % k + b"\n" * (k % 3 == 0) for k in range(7))
+    (tmp_path / "x").write_bytes(data)
+    monkeypatch.setattr(framing, "WINDOW", 64)
+    for size in range(5, len(data) + 2):
+        o = fastq.Options({"splitSize": str(size), "summary": "true"})
+        assert sum(b["lines"][0].as_py() for s in fastq.planned(str(tmp_path / "x"), o) for b in fastq.batches(s, o)) == data.count(b"\n"), size
+
 
 @pytest.mark.parametrize("kind", ["plain", "bgzf"])
 @pytest.mark.parametrize("wrapped", [False, True])
