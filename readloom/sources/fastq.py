@@ -18,7 +18,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ from ..errors import ReadError, invalid
 from . import codecs, framing, sinks
 
 SPLIT = 64 << 20
+#: Small splits go to a task in runs: of so many bytes at least, of more where all would be more than so many tasks, of SPLIT at most.
+RUN, TASKS = 4 << 20, 256
 SEGMENTS = "array<struct<offset:bigint,len:int>>"
 COLUMNS = {
     "header": "binary", "seq": "binary", "qual": "binary", "file": "string", "file_no": "int", "split_id": "int", "record": "bigint", "header_offset": "bigint", "seq_offset": "bigint",
@@ -119,6 +121,36 @@ class Split(InputPartition):
     limit: int | None = None
 
 
+@dataclass
+class Run(InputPartition):
+    """Splits of a file that one task reads one after another: `count` of them from `first` on, out of `n` whose cuts lie `step` bytes apart from `low` to `high`."""
+
+    file: str
+    kind: str
+    file_no: int = 0
+    low: int = 0
+    high: int = 0
+    step: int = 0
+    start: int = 0
+    limit: int | None = None
+    resync: bool = False
+    failed: ReadError | None = None
+    n: int = 1
+    first: int = 0
+    count: int = 1
+
+    def splits(self) -> Iterator[Split]:
+        last = self.n - 1
+        for k in range(self.first, self.first + self.count):
+            start, end = self.low + k * self.step if k else self.start, self.low + (k + 1) * self.step if k < last else self.limit
+            yield Split(self.file, self.kind, k, self.file_no, start, end, k == 0 and not self.resync, k == last and self.limit is not None, self.failed, self.step, self.high, self.limit)
+
+    def cut(self, size: int) -> Iterator[Run]:
+        """Runs of about so many bytes."""
+        count = max(1, size // self.step) if self.step else 1
+        return (dataclasses.replace(self, first=k, count=min(count, self.n - k)) for k in range(0, self.n, count))
+
+
 class Options:
     def __init__(self, options):
         known(options, READ_OPTIONS + STREAM_OPTIONS)
@@ -154,14 +186,14 @@ class Options:
         return ", ".join(out)
 
 
-def planned(file: str, o: Options, file_no: int = 0) -> list[Split]:
-    """A file's splits, by its size and first bytes alone; what is wrong with it is left to the task that meets it."""
+def laid(file: str, o: Options, file_no: int = 0) -> Run:
+    """All splits of a file, by its size and first bytes alone; what is wrong with it is left to the task that meets it."""
     with codecs.opened(file) as f:
         found = codecs.sniff(f.read(codecs.SNIFFED))
     kind = found if o.kind == "auto" else o.kind
 
-    def failed(e: ReadError) -> list[Split]:
-        return [Split(file, kind, 0, file_no, failed=e)]
+    def failed(e: ReadError) -> Run:
+        return Run(file, kind, file_no, failed=e)
 
     if o.kind == "bgzf" and found != "bgzf":
         return failed(invalid("BgzfHeader", 0))
@@ -171,22 +203,36 @@ def planned(file: str, o: Options, file_no: int = 0) -> list[Split]:
     if sought and kind not in ("plain", "bgzf"):
         return failed(ReadError("Unsupported", detail="seek"))
     if kind not in ("plain", "bgzf"):
-        return [Split(file, kind, 0, file_no)]
+        return Run(file, kind, file_no)
     total, shift = codecs.size_of(file), 16 if kind == "bgzf" else 0
     low, high = (o.start or 0) >> shift, total if o.end is None else min(o.end >> shift, total)
-    cuts = list(range(low, high, o.split)) if o.splittable and high - low > o.split else [low]
-    last = len(cuts) - 1
-    return [
-        Split(file, kind, k, file_no, a if k else o.start or 0, b if k < last else o.end, k == 0 and not o.resync, k == last and o.end is not None, None, o.split, high, o.end)
-        for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], None], strict=True))
-    ]
+    n = -(-(high - low) // o.split) if o.splittable and high - low > o.split else 1
+    return Run(file, kind, file_no, low, high, o.split, o.start or 0, o.end, o.resync, n=n, count=n)
+
+
+def planned(file: str, o: Options, file_no: int = 0) -> list[Split]:
+    """A file's splits."""
+    return list(laid(file, o, file_no).splits())
+
+
+def dealt(found: list[Run]) -> list[Run]:
+    """The splits of all files as runs, one a task: as few tasks as their bytes need, however small the splits are. One empty run if there is none."""
+    size = min(SPLIT, max(RUN, sum(f.high - f.low for f in found) // TASKS))
+    return [r for f in found for r in f.cut(size)] or [Run("", "none")]
 
 
-def plans(files: list[str], o: Options) -> list[Split]:
-    """The splits of all files, which are looked into side by side: planning waits for storage, not for the processor. One empty split if there is none."""
+def plans(files: list[str], o: Options) -> list[Run]:
+    """The splits of all files, which are looked into side by side: planning waits for storage, not for the processor."""
     with ThreadPoolExecutor(32) as pool:
-        found = [f for f in pool.map(lambda k: planned(files[k], o, k), range(len(files))) if o.summary != "many" or len(f) > 1]
-    return [s for f in found for s in f] or [Split("", "none", 0)]
+        return dealt([f for f in pool.map(lambda k: laid(files[k], o, k), range(len(files))) if o.summary != "many" or f.n > 1])
+
+
+@dataclass
+class Near:
+    """What the splits of a run have found so far, of its last cuts and decoded blocks: neighbours ask for the same."""
+
+    cuts: list[tuple] = field(default_factory=list)
+    blocks: dict[int, tuple[int, bytes]] = field(default_factory=dict)
 
 
 class Place:
@@ -196,8 +242,9 @@ class Place:
     that start by the same rule, and the one before tells whatever is damaged on its way there.
     """
 
-    def __init__(self, split: Split, o: Options):
+    def __init__(self, split: Split, o: Options, near: Near | None = None):
         self.split, self.o, self.blocks, self.base, self.decoded, self.span = split, o, [], 0, 0, None
+        self.near = near or Near()
         self.end: int | None = None
         self.cut: int | None = None if split.exact_end else split.end
         self.mark: tuple[int, int] | None = None  # in BGZF: the block of the next split and the place in it where its records start
@@ -209,14 +256,18 @@ class Place:
         self.end = s.end if s.exact_end else None
         if s.exact_start:
             return s.start
-        found, reached = self.synced(codecs.file_chunks(s.file, max(0, s.start - 1), 1 << 17), max(0, s.start - 1), s.start == 0, s.split_id > 0)
+        if s.split_id:
+            found = self.at_cut(s.start)
+            self.confirmed = found is not None
+            return found
+        found, reached = self.synced(self.small_chunks(max(0, s.start - 1)), max(0, s.start - 1), s.start == 0, False)
         self.confirmed = found is not None
-        return reached if found is None and s.split_id == 0 else found  # where resync gives up, reading on says what is there
+        return reached if found is None else found  # where resync gives up, reading on says what is there
 
     def bgzf(self) -> int | None:
         s = self.split
         if s.split_id:
-            found = self.synced_block(s.start)
+            found = self.at_cut(s.start)
             self.base, start = found or (0, None)
         else:
             self.base, start = self.virtual(s.start)
@@ -234,13 +285,30 @@ class Place:
     def decoded_from(self, block: int, inside: int, seen: list | None = None) -> Iterator[bytes]:
         """Decoded bytes from a place in a block on; seen gets (decoded place, block) of each block."""
         place = 0
-        for here, data in codecs.bgzf_blocks(self.split.file, block, 0):
+        for here, data in codecs.bgzf_blocks(self.split.file, block, 0, self.near.blocks):
             if seen is not None:
                 seen.append((place, here))
             if place + len(data) > inside:
                 yield data[max(0, inside - place) :]
             place += len(data)
 
+    def small_chunks(self, at: int) -> Iterator[bytes]:
+        """The file's bytes from a place on, by as much as looking for a record start needs at first."""
+        return codecs.growing_chunks(self.split.file, at, framing.SURE if self.o.wrapped else framing.SOON)
+
+    def at_cut(self, cut: int):
+        """The record start found at a cut between splits; in BGZF (block, place in it). `same` has up to where cuts find the same, which is not looked for again within a run."""
+        for low, high, self.same, found in reversed(self.near.cuts):
+            if low <= cut <= high:
+                return found
+        if self.split.kind == "plain":
+            found, self.same = self.synced(self.small_chunks(cut - 1), cut - 1, False)[0], self.line
+        else:
+            found = self.synced_block(cut)
+        self.near.cuts.append((cut, cut if self.same is None else self.same, self.same, found))
+        del self.near.cuts[:-16]
+        return found
+
     def synced(self, chunks: Iterator[bytes], at: int, at_line: bool, cut: bool = True) -> tuple[int | None, int]:
         """The first record start after the first line end in chunks of the stream from offset `at`, or from `at` on if a line starts there; and the place that was reached.
 
@@ -267,7 +335,7 @@ class Place:
 
     def synced_block(self, cut: int) -> tuple[int, int] | None:
         """(block, place in it) of the first record start after the first line end from the first block at a cut on: a block does not show the byte before it."""
-        block, seen = codecs.next_block(self.split.file, cut), []
+        block, seen = codecs.next_block(self.split.file, cut, self.near.blocks), []
         self.same = block  # what cuts up to here find as well
         found = None if block is None else self.synced(self.decoded_from(block, 0, seen), 0, False)[0]
         if found is None:
@@ -279,12 +347,11 @@ class Place:
         """Looks for a record start at the cut that reading has reached. Where there is none, the next cut is the one to reach; where the start lies beyond further cuts, their starts count
         as well if they come before: a split ends where the first of all later ones starts."""
         s, cut = self.split, self.cut
+        found = self.at_cut(cut)
         if s.kind == "plain":
-            found, self.same = self.synced(codecs.file_chunks(s.file, cut - 1, 1 << 17), cut - 1, False)[0], self.line
             self.end = found if self.end is None else min(self.end, found or self.end)
             ahead = self.end
         else:
-            found = self.synced_block(cut)
             self.mark = found if self.mark is None else min(self.mark, found or self.mark)
             ahead = self.mark and self.mark[0]
         if s.limit is not None and ahead is not None:  # what was found may lie beyond the end that was asked for
@@ -317,14 +384,14 @@ class Place:
     def chunks(self, offset: int) -> Iterator[bytes]:
         s = self.split
         if s.kind == "plain":
-            for data in codecs.file_chunks(s.file, offset):
+            for data in codecs.file_chunks(s.file, offset, min(codecs.CHUNK, max(s.step, 1 << 16)) if s.step else codecs.CHUNK):
                 offset += len(data)
                 while self.cut is not None and offset > self.cut:
                     self.settle()
                 yield data
         elif s.kind == "bgzf":
             place = 0
-            for here, data in codecs.bgzf_blocks(s.file, self.base, 0):
+            for here, data in codecs.bgzf_blocks(s.file, self.base, 0, self.near.blocks):
                 self.blocks.append((place, here))
                 while self.cut is not None and here >= self.cut:
                     self.settle()
@@ -395,14 +462,20 @@ class Place:
         return count, None
 
 
-def batches(split: Split, o: Options) -> Iterator[pa.RecordBatch]:
+def run_batches(run: Run, o: Options) -> Iterator[pa.RecordBatch]:
+    near = Near()
+    for split in run.splits():
+        yield from batches(split, o, near)
+
+
+def batches(split: Split, o: Options, near: Near | None = None) -> Iterator[pa.RecordBatch]:
     count, place, found = 0, None, {"bases": 0, "lines": 0, "low": None, "high": None, "failed": False, "start": None}
     if split.kind == "none":
         return
     try:
         if split.failed:
             raise split.failed
-        place = Place(split, o)
+        place = Place(split, o, near)
         for got in place.records():
             if o.summary:
                 summed(found, got, place)
@@ -489,7 +562,7 @@ class Reader(DataSourceReader):
         return plans(listed(self.paths), self.o)
 
     def read(self, partition):
-        return batches(partition, self.o)
+        return run_batches(partition, self.o)
 
 
 @dataclass

@@ -23,6 +23,8 @@ FIELDS = ("header", "seq", "qual")
 MOST = (1 << 31) - 1
 #: Lines, and bytes, in which a record start must be found; a candidate that began within the lines may run on to the end of the bytes.
 SYNC_LINES, SYNC_BYTES = 4096, 64 << 20
+#: Bytes after which a start without rivals is taken, unless reads are wrapped, and after which any is.
+SOON, SURE = 1 << 14, 1 << 17
 #: Records that must follow one another from a start, and records with a sequence that must lead up to a split of a wrapped file.
 CONFIRM, LEAD = 3, 3
 #: What follows a line as a header: no record, or nothing known yet.
@@ -484,22 +486,23 @@ class Synchroniser:
 
         An error in the chunks ends what is known, as if no more were to come but no end either.
         """
-        self.tail_at, ended, cut, wait = at, False, False, 1 << 17
+        self.tail_at, ended, cut, wait = at, False, False, SURE if self.wrapped else SOON
         while True:
-            size = 0
+            size, parts = 0, [self.tail]
             try:
                 while size < wait:
                     got = next(chunks, None)
                     if got is None:
                         ended = True
                         break
-                    self.tail += got
+                    parts.append(got)
                     size += len(got)
             except ReadError:
                 cut = True
+            self.tail = b"".join(parts)
             self.taken += size
             self.add(ended)
-            start = self.settled(ended)
+            start = self.settled(ended, ended or cut or self.taken >= SURE)
             if start is not None or ended or cut or self.taken > self.most:
                 return start, self.reached(ended)
             if sum(map(len, self.parts)) > self.lines and not self.waiting:
@@ -520,7 +523,7 @@ class Synchroniser:
         starts = np.concatenate([p.starts for p in self.parts])
         return int(starts[self.lines]) if len(starts) > self.lines else self.tail_at
 
-    def settled(self, ended: bool) -> int | None:
+    def settled(self, ended: bool, sure: bool) -> int | None:
         self.waiting = False
         if not self.parts:
             return None
@@ -555,6 +558,9 @@ class Synchroniser:
             rivals = [k for k in range(j + 1, min(after[j], n)) if x.first[k] == 64 and after[k] != BAD and follow(k, CONFIRM)[1]]
             if not rivals and not self.lead:
                 return int(x.starts[j])
+            if not sure:  # what comes next may tell which of them is one
+                self.waiting = True
+                return None
             # of what may be true, what lasts; the lines on which all of that agrees
             chains = [follow(k, n) for k in (j, *rivals)]
             lasting = [c for c in chains if c[1]] or [c for c in chains if c[2] == max(y[2] for y in chains)]

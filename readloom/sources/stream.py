@@ -16,7 +16,7 @@ from pyspark.sql.datasource import DataSourceStreamReader
 
 from ..errors import ReadError
 from . import codecs, framing, sinks
-from .fastq import Options, Place, Split, batches, flag, listed, modified, planned, plans, sized
+from .fastq import Options, Place, Split, dealt, flag, laid, listed, modified, plans, run_batches, sized
 
 #: Bytes of a file before its end in which the end of its last whole record is looked for first; twice as many each time, up to the bytes of a synchroniser.
 TAIL = 1 << 18
@@ -252,8 +252,7 @@ class StreamReader(DataSourceStreamReader):
         if not self.follow and all(not p.start and p.end is None for p in parts):
             return plans([p.file for p in parts], self.o)
         with ThreadPoolExecutor(32) as pool:
-            found = list(pool.map(lambda k: planned(parts[k].file, self.within(parts[k]), k), range(len(parts))))
-        return [s for f in found for s in f] or [Split("", "none", 0)]
+            return dealt(list(pool.map(lambda k: laid(parts[k].file, self.within(parts[k]), k), range(len(parts)))))
 
     def within(self, part: Part) -> Options:
         o = copy.copy(self.o)
@@ -261,7 +260,7 @@ class StreamReader(DataSourceStreamReader):
         return o
 
     def read(self, partition):
-        return batches(partition, self.o)
+        return run_batches(partition, self.o)
 
     def commit(self, end: dict) -> None:
         if "step" in end:

@@ -96,6 +96,34 @@ def test_a_window_that_ends_with_the_file_counts_no_line_less(tmp_path, monkeypa
         o = fastq.Options({"splitSize": str(size), "summary": "true"})
         assert sum(b["lines"][0].as_py() for s in fastq.planned(str(tmp_path / "x"), o) for b in fastq.batches(s, o)) == data.count(b"\n"), size
 
+@pytest.mark.parametrize("kind", ["plain", "bgzf"])
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_splits_read_in_a_run_are_those_read_alone(tmp_path, kind, wrapped):
+    want, data = generated(21, 80)
+    if wrapped:
+        want = [r for r in want if r[1]]
+        data = b"".join(b"@%b\n%b\n+\n%b\n" % (h, b"\n".join(s[i : i + 30] for i in range(0, len(s), 30)), b"\n".join(q[i : i + 30] for i in range(0, len(q), 30))) for h, s, q in want)
+    stored(tmp_path / "x", data, kind)
+    if kind == "bgzf":  # one block is damaged
+        raw = bytearray((tmp_path / "x").read_bytes())
+        raw[[c for c, _ in codecs.bgzf_blocks(str(tmp_path / "x"), 0, 0)][9] - 8] ^= 1
+        (tmp_path / "x").write_bytes(raw)
+    for size in (50, 333, 700, 2000, 1 << 20):
+        o = fastq.Options({"splitSize": str(size), "mode": "permissive", "format": "multiline" if wrapped else "single"})
+        alone = [r for s in fastq.planned(str(tmp_path / "x"), o) for b in fastq.batches(s, o) for r in b.to_pylist()]
+        runs = list(fastq.laid(str(tmp_path / "x"), o).cut(1500))
+        assert [r for run in runs for b in fastq.run_batches(run, o) for r in b.to_pylist()] == alone, size
+        assert len({r["split_id"] for r in alone}) > 3 or size > 700
+        assert (len(alone) == len(want)) == (kind == "plain")
+
+
+def test_small_splits_are_few_tasks(tmp_path):
+    with open(tmp_path / "x", "wb") as f:
+        f.truncate(20 << 30)  # without bytes on disk
+    runs = fastq.Reader({"path": str(tmp_path / "x"), "splitSize": str(1 << 16)}).partitions()
+    assert len(runs) == 320
+    assert sum(r.count for r in runs) == (20 << 30) >> 16
+
 
 @pytest.mark.parametrize("kind", ["plain", "bgzf"])
 @pytest.mark.parametrize("wrapped", [False, True])
