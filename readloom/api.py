@@ -11,8 +11,8 @@ from .errors import SCHEMA, ReadError, parsed
 from .operators import pairing as P
 from .operators import reads as R
 from .sources import codecs, framing, sinks
-from .sources.fastq import ERROR_TYPE, SINGLE, WRITE_OPTIONS, Options, Place, known, most_splits, planned, register, sized
-from .sources.grid import one_bgzf
+from .sources.fastq import ERROR_TYPE, WRITE_OPTIONS, Options, Place, known, most_splits, planned, register, run_bytes, sized, split_size
+from .sources.grid import one_bgzf, one_file
 
 
 def options_of(kw: dict) -> dict:
@@ -71,6 +71,10 @@ def marks(spark: SparkSession, path: str, options: dict) -> list:
     return P.anchors(source(spark, path, **uncut, summary="many"), P.files_of(path))
 
 
+def splits_a_task(paths: list[str], options: dict) -> int:
+    return max(1, run_bytes(max(sum(n for _, n in sized(p)) for p in paths)) // split_size(options))
+
+
 def read_pairs(spark: SparkSession, first: str | list[str], second: str | list[str], check_ids: bool = False, **options) -> DataFrame:
     """The reads of two files, or of two lists of files in order, as pairs (file_no, record, r1, r2, error), with every option for both mates.
 
@@ -81,7 +85,7 @@ def read_pairs(spark: SparkSession, first: str | list[str], second: str | list[s
     given = options_of(options)
     if any(most_splits(p, given) > R.SPLITS for p in paths):
         return R.pairs(*(read_reads(spark, p, mode="permissive", numbered=True, **options) for p in paths), check_ids=check_ids)
-    plan = P.zipped_plan(*(marks(spark, p, given) for p in paths), tuple(map(P.files_of, paths)))
+    plan = P.zipped_plan(*(marks(spark, p, given) for p in paths), tuple(map(P.files_of, paths)), splits_a_task(paths, given))
     return P.loaded(spark, plan, given, check_ids).select("file_no", "record", "r1", "r2", "error")
 
 
@@ -90,7 +94,7 @@ def read_interleaved(spark: SparkSession, path: str | list[str], check_ids: bool
     path, given = path if isinstance(path, str) else ",".join(path), options_of(options)
     if most_splits(path, given) > R.SPLITS:
         return R.interleaved(read_reads(spark, path, mode="permissive", numbered=True, **options), check_ids)
-    return P.loaded(spark, P.folded_plan(marks(spark, path, given), P.files_of(path)), given, check_ids)
+    return P.loaded(spark, P.folded_plan(marks(spark, path, given), P.files_of(path), splits_a_task([path], given)), given, check_ids)
 
 
 def starts_record(path: str, offset: int, wrapped: bool = False) -> bool:
@@ -117,20 +121,26 @@ def stream_reads(spark: SparkSession, path: str, **options) -> DataFrame:
 def write_reads(df: DataFrame, path: str, mode: str = "append", **options) -> None:
     """Writes header, seq and qual as a folder of parts, or as one file with singleFile=True, in the order of the partitions.
 
-    One BGZF file is that of a single writer, byte for byte: plain parts are written beside it first, whose sizes place its blocks, and tasks compress those.
+    One file may have any size, unless singleFileLimit bounds it: parts are written beside it first and copied to their places by tasks. One BGZF file is that of a single writer, byte for byte:
+    its parts are plain, their sizes place its blocks, and tasks compress those.
     """
     spark, given = df.sparkSession, options_of(options)
     register(spark)
     lower = {k.lower(): v for k, v in given.items()}
     rows = df.select(*(F.col(c).cast("binary").alias(c) for c in ("header", "seq", "qual")))
-    if lower.get("singlefile", "").lower() in ("true", "1", "yes") and lower.get("compression", sinks.by_extension(path)).lower() == "bgzf":
+    kind = lower.get("compression", sinks.by_extension(path)).lower()
+    if lower.get("singlefile", "").lower() in ("true", "1", "yes") and kind in sinks.SUFFIX:
         known(given, WRITE_OPTIONS)
-        level = sinks.checked_level("bgzf", lower.get("level"))
-        beside = f"{path}.plain-{uuid.uuid4().hex[:12]}"
+        level, limit = sinks.checked_level(kind, lower.get("level")), int(lower["singlefilelimit"]) if "singlefilelimit" in lower else None
+        beside = f"{path}.parts-{uuid.uuid4().hex[:12]}"
         system, inner = sinks.file_system(beside)
         try:
-            write_reads(df, beside, compression="plain", **{k: lower[k] for k in ("validation", "alphabet", "quality") if k in lower})
-            one_bgzf(spark, sized(beside), path, level, int(lower.get("singlefilelimit", SINGLE)))
+            own = {"compression": "plain"} if kind == "bgzf" else {"compression": kind, "level": level}
+            write_reads(df, beside, **own, **{k: lower[k] for k in ("validation", "alphabet", "quality") if k in lower})
+            if kind == "bgzf":
+                one_bgzf(spark, sized(beside), path, level, limit)
+            else:
+                one_file(spark, sized(beside), path, kind, level, limit)
         finally:
             if system.get_file_info(inner).type.name == "Directory":
                 system.delete_dir(inner)

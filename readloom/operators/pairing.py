@@ -34,8 +34,8 @@ def anchors(summary: DataFrame, files: list[str]) -> list[tuple[list[tuple[int,
     return out
 
 
-def zipped_plan(first: list, second: list, files: tuple[list[str], list[str]]) -> list:
-    """Ranges of records by the splits of the first mate, and by those of the second beyond its end."""
+def zipped_plan(first: list, second: list, files: tuple[list[str], list[str]], every: int = 1) -> list:
+    """Ranges of records by the splits of the first mate, and by those of the second beyond its end, so many splits a range."""
     plan = []
     for no in range(max(len(first), len(second))):
         sides = [s[no] if no < len(s) else None for s in (first, second)]
@@ -44,7 +44,7 @@ def zipped_plan(first: list, second: list, files: tuple[list[str], list[str]]) -
             plan.append((no, 1, None, (names[0],), (names[1],)))  # a file that is one split is read from its start
             continue
         total, last = sides[0][1], min((n for _, n, failed in sides if failed), default=None)
-        starts = sorted({a for a, *_ in sides[0][0]} | {a for a, *_ in sides[1][0] if a > total})
+        starts = sorted({*[a for a, *_ in sides[0][0]][::every], *[a for a, *_ in sides[1][0] if a > total][::every]})
         for k, start in enumerate(starts):
             if last is not None and start > last:
                 break  # a malformed read is the last of its pair of files
@@ -57,11 +57,11 @@ def zipped_plan(first: list, second: list, files: tuple[list[str], list[str]]) -
     return plan
 
 
-def folded_plan(marks: list, files: list[str]) -> list:
-    """Ranges of one file that start at odd records."""
+def folded_plan(marks: list, files: list[str], every: int = 1) -> list:
+    """Ranges of one file that start at odd records, so many splits a range."""
     plan = []
     for no, (found, *_) in enumerate(marks):
-        starts = sorted({a + (a % 2 == 0) for a, *_ in found})
+        starts = sorted({a + (a % 2 == 0) for a, *_ in found[::every]})
         for k, start in enumerate(starts):
             at = bisect_right([a for a, *_ in found], start) - 1
             plan.append((no, start, starts[k + 1] - start if k + 1 < len(starts) else None, (files[no], *found[at]), None))

@@ -18,13 +18,28 @@ READS = """SELECT CAST(l_orderkey AS BIGINT) * 8 + CAST(l_linenumber AS BIGINT)
 FROM lineitem"""
 
 
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reads are made of: (k, ln, l_orderkey) from lineitem."""
+    n = F.col("l_linenumber").cast("long")
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey").cast("long") * 8 + n).alias("k"), n.alias("ln"), "l_orderkey")
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, ln, header, seq, qual) from lineitem, in text columns."""
-    n, o = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
+    return reads_of(keys(spark, sf_dir))
+
+
+def in_order(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """The same of the keys that a condition holds for, in order of k: keys are sorted, and reads made of them afterwards."""
+    return reads_of(keys(spark, sf_dir).where(where).repartitionByRange("k").sortWithinPartitions("k"))
+
+
+def reads_of(rows: DataFrame) -> DataFrame:
+    n, o = F.col("ln"), F.col("l_orderkey").cast("string")
     name = F.concat(o, F.lit("_"), n.cast("string"))
     suffix = F.when(n % 3 == 0, "/1").when(n % 3 == 1, " 1:N:0:ACGT").otherwise(".2")
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        (F.col("l_orderkey").cast("long") * 8 + n.cast("long")).alias("k"), n.cast("long").alias("ln"), F.concat(F.lit("read"), o, suffix).alias("header"),
+    return rows.select(
+        "k", "ln", F.concat(F.lit("read"), o, suffix).alias("header"),
         F.translate(F.md5(F.concat(F.lit("s"), name)), "0123456789abcdef", "ACGTACGTACGTACGN").alias("seq"),
         F.translate(F.md5(F.concat(F.lit("q"), name)), "0123456789abcdef", "!#%+5?ABCDEFGHIJ").alias("qual"),
     )

@@ -10,7 +10,7 @@ from ..functions import columns as C
 from ..operators import reads as R
 from ..streaming.reads import write_stream
 from . import lanes
-from .base import READS, base, folder, text
+from .base import READS, base, folder, in_order, text
 
 ID = "regexp_extract(header, '^[^ \\t]*', 0)"
 
@@ -45,21 +45,21 @@ def scan_lines(wrapped: bool):
     return query
 
 
-def ordered(spark: SparkSession, path: str, df: DataFrame, **options) -> str:
-    """df as one file, in order of k."""
-    concatenated(path, df.repartitionByRange(8, "k").sortWithinPartitions("k"), **options)
+def ordered(path: str, df: DataFrame) -> str:
+    """df, which is in order of k, as one file."""
+    concatenated(path, df)
     return path
 
 
 def record_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ordered file, read in many splits: global record numbers and offsets."""
-    path = ordered(spark, folder(spark, "index") + "/reads.fastq", base(spark, sf_dir))
+    path = ordered(folder(spark, "index") + "/reads.fastq", in_order(spark, sf_dir))
     return indexed(read_reads(spark, path, splitSize=1 << 18, numbered=True))
 
 
 def record_index_bgzf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of a BGZF file, whose splits know no decoded offset but their own."""
-    path = ordered(spark, folder(spark, "index") + "/reads.fastq.bgz", base(spark, sf_dir))
+    path = ordered(folder(spark, "index") + "/reads.fastq.bgz", in_order(spark, sf_dir))
     return indexed(read_reads(spark, path, splitSize=1 << 17, numbered=True))
 
 
@@ -70,7 +70,7 @@ def indexed(df: DataFrame) -> DataFrame:
 def resync(extension: str):
     """The reads at and after an arbitrary place within a record of one ordered file."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = ordered(spark, folder(spark, "resync") + f"/reads.{extension}", base(spark, sf_dir))
+        path = ordered(folder(spark, "resync") + f"/reads.{extension}", in_order(spark, sf_dir))
         # in BGZF, place 17,003 of the first block; in both the same decoded byte
         return text(read_reads(spark, path, startOffset=RESYNC, resync="true", splitSize=1 << 18))
 
@@ -93,7 +93,7 @@ def long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_long_split(extension: str):
     """Reads far longer than a split."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = ordered(spark, folder(spark, "long") + f"/reads.{extension}", long_reads(spark, sf_dir))
+        path = ordered(folder(spark, "long") + f"/reads.{extension}", long_reads(spark, sf_dir).repartitionByRange("k").sortWithinPartitions("k"))
         return text(read_reads(spark, path, splitSize=1 << 14))
 
     return query
@@ -110,7 +110,7 @@ FROM (SELECT *, CAST(row_number() OVER (ORDER BY k) AS BIGINT) AS record, CAST(s
 
 def seek_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A BGZF file read again from the virtual offset of a record in its middle."""
-    path = ordered(spark, folder(spark, "seek") + "/reads.fastq.bgz", base(spark, sf_dir))
+    path = ordered(folder(spark, "seek") + "/reads.fastq.bgz", in_order(spark, sf_dir))
     first = read_reads(spark, path, splitSize=1 << 18, numbered=True)
     middle = first.agg(F.expr("min_by(voffset, record) FILTER (WHERE record > 1000)")).first()[0]
     return text(read_reads(spark, path, startOffset=middle)) if middle is not None else text(first.limit(0))
@@ -134,7 +134,7 @@ def mates(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """Pairs of two files of reads, in order of k, one of odd and one of even lines, whose splits hold unlike numbers of records."""
     paths = []
     for nth in (1, 0):
-        paths.append(ordered(spark, folder(spark, f"mate{nth}") + "/reads.fastq", base(spark, sf_dir).where(f"ln % 2 = {nth}")))
+        paths.append(ordered(folder(spark, f"mate{nth}") + "/reads.fastq", in_order(spark, sf_dir, f"ln % 2 = {nth}")))
     return read_pairs(spark, *paths, splitSize=1 << 18, **options)
 
 
@@ -152,7 +152,7 @@ def paired_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     for mate in (1, 0):
         folders.append(folder(spark, "lanes"))
         for lane in (0, 1):
-            ordered(spark, f"{folders[-1]}/lane{lane}.fastq", base(spark, sf_dir).where(f"ln % 2 = {mate} AND (k div 8) % 2 = {lane}"))
+            ordered(f"{folders[-1]}/lane{lane}.fastq", in_order(spark, sf_dir, f"ln % 2 = {mate} AND (k div 8) % 2 = {lane}"))
     out = read_pairs(spark, *folders, splitSize=1 << 18)
     return out.select(F.col("file_no").cast("long").alias("lane"), "record", C.chars("r1.seq").alias("seq1"), C.chars("r2.seq").alias("seq2"), F.coalesce("error", F.lit("")).alias("error"))
 
@@ -182,7 +182,7 @@ def count_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interleaved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = ordered(spark, folder(spark, "interleaved") + "/reads.fastq.bgz", base(spark, sf_dir))
+    path = ordered(folder(spark, "interleaved") + "/reads.fastq.bgz", in_order(spark, sf_dir))
     out = read_interleaved(spark, path, splitSize=1 << 17)
     return out.select("record", C.chars("r1.seq").alias("seq1"), C.chars("r2.seq").alias("seq2"), F.coalesce("error", F.lit("")).alias("error"))
 
@@ -231,8 +231,8 @@ def in_memory_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def invalid_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of the first base outside ACGT in each read, in the stream of one ordered file."""
-    changed = base(spark, sf_dir).withColumn("seq", F.regexp_replace("seq", "N", "X"))
-    path = ordered(spark, folder(spark, "invalid") + "/reads.fastq", changed)
+    changed = in_order(spark, sf_dir).withColumn("seq", F.regexp_replace("seq", "N", "X"))
+    path = ordered(folder(spark, "invalid") + "/reads.fastq", changed)
     out = R.validation(read_reads(spark, path, splitSize=1 << 18, numbered=True), "bases", "strict")
     return out.where("invalid IS NOT NULL").select("record", F.col("invalid.offset").alias("offset"), F.col("invalid.byte").cast("long").alias("byte"))
 
@@ -240,7 +240,7 @@ def invalid_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validated_scan(extension: str, wrapped: bool = False):
     """A scan whose reader validates: bases outside ACGT come first, then qualities below the range, each with its place in the stream."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        changed = base(spark, sf_dir).select("k", "header", F.translate("seq", "N", "X").alias("seq"), F.translate("qual", "!", " ").alias("qual"))
+        changed = (base if wrapped else in_order)(spark, sf_dir).select("k", "header", F.translate("seq", "N", "X").alias("seq"), F.translate("qual", "!", " ").alias("qual"))
         if wrapped:
             def wrap(c: str):
                 return F.regexp_replace(c, "(?s)(.{10})(?=.)", "$1\n")
@@ -253,7 +253,7 @@ def validated_scan(extension: str, wrapped: bool = False):
             return df.where("error IS NOT NULL").select(
                 C.chars("header").alias("header"), "error.variant", (F.col("error.offset") - F.col("header_offset")).alias("offset"), F.col("error.byte").cast("long").alias("byte")
             )
-        path = ordered(spark, folder(spark, "validated") + f"/reads.{extension}", changed)
+        path = ordered(folder(spark, "validated") + f"/reads.{extension}", changed)
         df = read_reads(spark, path, mode="permissive", validation="bases_and_qualities", alphabet="strict", splitSize=1 << 18)
         return df.where("error IS NOT NULL").select("error.record", "error.variant", "error.offset", F.col("error.byte").cast("long").alias("byte"))
 

@@ -47,8 +47,6 @@ STREAM_OPTIONS = ("log", "maxfilespertrigger", "follow")
 WRITE_OPTIONS = ("path", "compression", "level", "validation", "alphabet", "quality", "singlefile", "singlefilelimit")
 #: Rows of an Arrow batch at most.
 BATCH = 50_000
-#: Bytes that one file may be put together of at commit, which one process copies.
-SINGLE = 1 << 30
 
 
 def known(options, names: tuple[str, ...]) -> None:
@@ -87,9 +85,18 @@ def listed(path: str) -> list[str]:
     return [f for f, _ in sized(path)]
 
 
+def split_size(options: dict) -> int:
+    return max(1, next((int(v) for k, v in options.items() if k.lower() == "splitsize"), SPLIT))
+
+
+def run_bytes(total: int) -> int:
+    """Bytes of a file that a task aims at where splits are smaller."""
+    return min(SPLIT, max(RUN, total // TASKS))
+
+
 def most_splits(path: str, options: dict) -> int:
     """A bound on the splits of a path, from the sizes of its files alone."""
-    size = max(1, next((int(v) for k, v in options.items() if k.lower() == "splitsize"), SPLIT))
+    size = split_size(options)
     return sum(-(-n // size) or 1 for _, n in sized(path))
 
 
@@ -217,7 +224,7 @@ def planned(file: str, o: Options, file_no: int = 0) -> list[Split]:
 
 def dealt(found: list[Run]) -> list[Run]:
     """The splits of all files as runs, one a task: as few tasks as their bytes need, however small the splits are. One empty run if there is none."""
-    size = min(SPLIT, max(RUN, sum(f.high - f.low for f in found) // TASKS))
+    size = run_bytes(sum(f.high - f.low for f in found))
     return [r for f in found for r in f.cut(size)] or [Run("", "none")]
 
 
@@ -577,7 +584,7 @@ class Writer(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
         known(options, WRITE_OPTIONS)
         self.path, self.overwrite = options["path"], overwrite
-        self.limit = int(options.get("singleFileLimit", SINGLE))
+        self.limit = int(options["singleFileLimit"]) if "singleFileLimit" in options else None
         self.kind = str(options.get("compression", sinks.by_extension(self.path))).lower()
         if self.kind not in sinks.SUFFIX:
             raise ReadError("Unsupported", detail=self.kind)
@@ -626,7 +633,7 @@ class Writer(DataSourceArrowWriter):
         if self.single:
             parts = [f for _, f in sorted(kept)]
             size = sum(codecs.size_of(f) for f in parts)
-            if size > self.limit:
+            if self.limit is not None and size > self.limit:
                 raise ReadError("Unsupported", detail=f"one file of {size} bytes, above singleFileLimit {self.limit}; a folder of parts has no limit")
             temporary = f"{self.path}.{self.job}"
             if parts:

@@ -497,6 +497,17 @@ def test_one_bgzf_file_is_that_of_one_writer(spark, tmp_path, monkeypatch, n):
     assert (tmp_path / "x.bgz").read_bytes() == encoder.add(text) + encoder.finish()
     assert sorted(os.listdir(tmp_path)) == ["x.bgz"]
 
+@pytest.mark.parametrize("name", ["x.fastq", "x.fastq.gz", "x.fastq.bgz", "x.fastq.zst"])
+def test_one_file_of_any_size_is_copied_by_tasks(spark, tmp_path, monkeypatch, name):
+    from readloom.sources import grid
+
+    monkeypatch.setattr(grid, "COPIED", 1000)
+    df = spark.range(3000).select("id", *(F.format_string(t, "id").cast("binary").alias(c) for t, c in (("r%05d", "header"), ("ACGT%05d", "seq"), ("IIII%05d", "qual"))))
+    write_reads(df.repartitionByRange(3, "id").sortWithinPartitions("id"), str(tmp_path / name), singleFile=True)
+    assert os.listdir(tmp_path) == [name]
+    assert [int(r.header[1:]) for r in read_reads(spark, str(tmp_path / name), numbered=True).orderBy("record").collect()] == list(range(3000))
+    assert fastq.Writer({"path": str(tmp_path / name), "singleFile": "true"}, True).limit is None
+
 
 @pytest.mark.parametrize(
     ("row", "options", "message"),
