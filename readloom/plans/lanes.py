@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..api import read_reads
-from ..sources import codecs, sinks
-from .base import READS, base, folder, record, text
+from ..sources import codecs, grid, sinks
+from ..sources.fastq import sized
+from .base import READS, base, folder, in_order, record, text
 
 #: What is wrong with a lane: (container, damage by the writer, options of the reader, variant, kind, place of the error).
 BROKEN = {
@@ -28,6 +29,22 @@ BROKEN = {
 GRID = sinks.BLOCK
 
 
+def damaged(block: bytes, damage: str) -> bytes:
+    """A BGZF block with its damage."""
+    block = bytearray(block)
+    if damage == "crc":
+        block[-8] ^= 1
+    elif damage == "size":
+        block[-4] ^= 1
+    elif damage == "large":
+        block[-4:] = (GRID * 2).to_bytes(4, "little")
+    elif damage == "data":
+        block[18:-8] = b"\xff" * (len(block) - 26)
+    elif damage == "header":
+        block[0] ^= 1
+    return bytes(block)
+
+
 class Lane:
     """Writes one file piece by piece, with its damage; block tells which BGZF block is damaged."""
 
@@ -49,18 +66,7 @@ class Lane:
     def put(self, n: int) -> None:
         block = bytearray(sinks.bgzf_block(bytes(self.held[:n]), 6))
         del self.held[:n]
-        if self.nth == self.block:
-            if self.damage == "crc":
-                block[-8] ^= 1
-            elif self.damage == "size":
-                block[-4] ^= 1
-            elif self.damage == "large":
-                block[-4:] = (GRID * 2).to_bytes(4, "little")
-            elif self.damage == "data":
-                block[18:-8] = b"\xff" * (len(block) - 26)
-            elif self.damage == "header":
-                block[0] ^= 1
-        self.file.write(block)
+        self.file.write(damaged(block, self.damage) if self.nth == self.block else block)
         self.nth += 1
 
     def close(self) -> None:
@@ -103,6 +109,41 @@ def written_lanes(df: DataFrame, path: str, kinds: list[tuple[str, str]]) -> lis
     return [r.lane for r in dealt.mapInArrow(run, "lane bigint").collect()]
 
 
+def split_lane(spark: SparkSession, df: DataFrame, path: str, container: str, damage: str = "") -> bool:
+    """Writes (value) in the order of its partitions as one file, plain or BGZF, which tasks write; the block in the middle of a BGZF file has the damage. Returns whether there is anything."""
+    import uuid
+
+    import pyarrow as pa
+
+    beside = f"{path}.parts-{uuid.uuid4().hex[:12]}"
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        name, f = f"{beside}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}", None
+        for b in batches:
+            if b.num_rows:
+                f = f or sinks.output(name)
+                f.write(sinks.whole(b["value"]))
+        if f:
+            f.close()
+            yield pa.RecordBatch.from_pydict({"file": [name]})
+
+    files = {r.file for r in df.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, "file string").collect()}
+    if not files:
+        return False
+    parts = [p for p in sized(beside) if p[0] in files]
+    try:
+        if container == "plain":
+            grid.one_file(spark, parts, path, container, sinks.DEFAULT_LEVEL, None)
+        else:
+            grid.one_bgzf(spark, parts, path, sinks.DEFAULT_LEVEL, None, lambda number, of, block: damaged(block, damage) if number == of // 2 else block)
+    finally:
+        system, inner = sinks.file_system(beside)
+        system.delete_dir(inner)
+    return True
+
+
 def laned(df: DataFrame, lanes: int) -> DataFrame:
     """Reads with their lane, number and count in it, and the block in its middle."""
     size = F.length("header") + F.length("seq") + F.length("qual") + 6
@@ -165,9 +206,9 @@ DAMAGES = ("crc", "size", "data", "header")
 
 def scan_bgzf_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lanes of many blocks and splits, a damaged block in the middle of each: all rows before it and one error, as an unsplit read has them."""
-    path = folder(spark, "damaged")
-    rows = laned(base(spark, sf_dir), len(DAMAGES)).withColumn("value", record(*map(F.col, ("header", "seq", "qual"))))
-    if not written_lanes(rows, path, [("bgzf", d) for d in DAMAGES]):
+    path, value = folder(spark, "damaged"), record(*map(F.col, ("header", "seq", "qual"))).alias("value")
+    lanes = [in_order(spark, sf_dir, f"(k div 8) % {len(DAMAGES)} = {n}").select(value) for n in range(len(DAMAGES))]
+    if not any([split_lane(spark, rows, f"{path}/lane-{n}", "bgzf", DAMAGES[n]) for n, rows in enumerate(lanes)]):
         return spark.createDataFrame([], "header string, seq string, qual string, kind string, offset bigint, record bigint")
     before = text(read_reads(spark, path, mode="prefix", compression="bgzf", splitSize=1 << 15)).withColumns({"kind": F.lit(""), "offset": F.lit(None).cast("long"), "record": F.lit(None).cast("long")})
     errors = read_reads(spark, path, mode="permissive", numbered=True, compression="bgzf", splitSize=1 << 15).where("error IS NOT NULL")
@@ -185,10 +226,11 @@ def scan_wrapped_split(container: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = folder(spark, "wrapped")
         parts = base(spark, sf_dir).groupBy(F.expr("k div 8").alias("k")).agg(F.sort_array(F.collect_list(F.struct("k", "seq", "qual"))).alias("x"))
+        parts = parts.repartitionByRange("k").sortWithinPartitions("k")
         reads = parts.select("k", F.concat(F.lit("order"), F.col("k")).alias("header"), F.array_join("x.seq", "").alias("seq"), F.array_join("x.qual", "").alias("qual"))
         reads = reads.withColumn("qual", F.when(F.col("k") % 3 == 0, F.concat(F.lit("@"), F.expr("substr(qual, 2)"))).otherwise(F.col("qual")))
         lines = record(F.col("header"), *(F.regexp_replace(c, "(?s)(.{25})(?=.)", "$1\n") for c in ("seq", "qual")))
-        if not written_lanes(reads.select((F.col("k") % 2).alias("lane"), "k", F.lit(0).alias("block"), lines.alias("value")), path, [(container, "")] * 2):
+        if not any([split_lane(spark, reads.where(F.col("k") % 2 == n).select(lines.alias("value")), f"{path}/lane-{n}", container) for n in (0, 1)]):
             return text(reads)
         return text(read_reads(spark, path, format="multiline", splitSize=1 << 15 if container == "plain" else 1 << 13))
 

@@ -508,6 +508,22 @@ def test_one_file_of_any_size_is_copied_by_tasks(spark, tmp_path, monkeypatch, n
     assert [int(r.header[1:]) for r in read_reads(spark, str(tmp_path / name), numbered=True).orderBy("record").collect()] == list(range(3000))
     assert fastq.Writer({"path": str(tmp_path / name), "singleFile": "true"}, True).limit is None
 
+@pytest.mark.parametrize("kind", [("plain", ""), ("bgzf", ""), ("bgzf", "crc"), ("bgzf", "header")])
+def test_a_lane_by_many_tasks_is_that_of_one_writer(spark, tmp_path, monkeypatch, kind):
+    from readloom.plans import lanes
+    from readloom.sources import grid
+
+    monkeypatch.setattr(grid, "BLOCKS", 2)
+    df = spark.range(9000).select("id", F.format_string("@r%05d %s\n", "id", F.repeat(F.lit("x"), 80)).alias("value")).repartitionByRange(5, "id").sortWithinPartitions("id")
+    assert lanes.split_lane(spark, df.select("value"), str(tmp_path / "many"), *kind)
+    text = "".join(r.value for r in df.orderBy("id").collect()).encode()
+    one = lanes.Lane(str(tmp_path / "one"), *kind, -(-len(text) // lanes.GRID) // 2)
+    one.add(text)
+    one.close()
+    assert (tmp_path / "many").read_bytes() == (tmp_path / "one").read_bytes()
+    assert sorted(os.listdir(tmp_path)) == ["many", "one"]
+    assert not lanes.split_lane(spark, df.where("id < 0").select("value"), str(tmp_path / "none"), *kind)
+
 
 @pytest.mark.parametrize(
     ("row", "options", "message"),
