@@ -152,8 +152,12 @@ def concatenated(path: str, df: DataFrame, **options) -> None:
     write_reads(df, path, singleFile=True, **options)
 
 
+NAMES = ["key", "header", "seq", "qual", "record", "header_offset", "seq_offset", "qual_offset", "error"]
+
+
 def parse_bytes(df: DataFrame, value_col: str = "content", key_col: str | None = None, wrapped: bool = False) -> DataFrame:
     """Reads of binary values in memory, whatever their compression: (key, header, seq, qual, record, offsets, error)."""
+    import numpy as np
     import pyarrow as pa
 
     key = F.col(key_col) if key_col else F.lit(None).cast("string")
@@ -161,8 +165,43 @@ def parse_bytes(df: DataFrame, value_col: str = "content", key_col: str | None =
 
     def run(batches):
         for b in batches:
+            held, size = [], 0
             for k, v in zip(b["key"].to_pylist(), b["value"].to_pylist(), strict=True):
-                yield from parsed_value(k, v or b"", wrapped)
+                v = v or b""
+                if wrapped or len(v) > framing.WINDOW or codecs.sniff(v[: codecs.SNIFFED]) != "plain":
+                    yield from together(held)
+                    yield from parsed_value(k, v, wrapped)
+                    held, size = [], 0
+                elif v:
+                    if size + len(v) > framing.WINDOW:
+                        yield from together(held)
+                        held, size = [], 0
+                    held.append((k, v))
+                    size += len(v)
+            yield from together(held)
+
+    def together(held: list[tuple]):
+        """Plain values as one text, if every four lines of it are a record and every value starts with one; else by halves, down to single values."""
+        if len(held) < 2:
+            for k, v in held:
+                yield from parsed_value(k, v, False)
+            return
+        data = b"".join(v if v.endswith(b"\n") else v + b"\n" for _, v in held)
+        starts = np.zeros(len(held) + 1, np.int64)
+        np.cumsum([len(v) + (not v.endswith(b"\n")) for _, v in held], out=starts[1:])
+        x = framing.indexed(data, True)
+        found = framing.regular(x)
+        if found is None or found[1] < len(x) or not np.isin(starts[:-1], x.starts[found[0]], assume_unique=True).all():
+            yield from together(held[: len(held) // 2])
+            yield from together(held[len(held) // 2 :])
+            return
+        got = framing.built(data, x, 0, found[0], None, framing.FIELDS, framing.Checks())
+        first = np.searchsorted(got.header_offset, starts)
+        counts, n = np.diff(first), len(got)
+        which, before = np.repeat(np.arange(len(held)), counts), np.repeat(starts[:-1], counts)
+        keys = pa.array([k for k, _ in held], pa.string()).take(pa.array(which))
+        places = [pa.array(o - before) for o in (got.header_offset, got.seq_offset, got.qual_offset)]
+        yield pa.RecordBatch.from_arrays([keys, got.header, got.seq, got.qual, pa.array(np.arange(1, n + 1) - np.repeat(first[:-1], counts)), *places, pa.nulls(n, ERROR_TYPE)], NAMES)
 
     def parsed_value(k, value: bytes, wrapped: bool):
         kind = codecs.sniff(value[: codecs.SNIFFED])
@@ -178,7 +217,7 @@ def parse_bytes(df: DataFrame, value_col: str = "content", key_col: str | None =
                     c.append(x)
             count += n
             kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), ERROR_TYPE]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "header", "seq", "qual", "record", "header_offset", "seq_offset", "qual_offset", "error"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], NAMES)
 
     error = f"struct<{SCHEMA.replace(', ', ',').replace(' ', ':')}>"
     return rows.mapInArrow(run, f"key string, header binary, seq binary, qual binary, record bigint, header_offset bigint, seq_offset bigint, qual_offset bigint, error {error}")

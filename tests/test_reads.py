@@ -524,6 +524,42 @@ def test_a_lane_by_many_tasks_is_that_of_one_writer(spark, tmp_path, monkeypatch
     assert sorted(os.listdir(tmp_path)) == ["many", "one"]
     assert not lanes.split_lane(spark, df.where("id < 0").select("value"), str(tmp_path / "none"), *kind)
 
+def test_values_read_together_are_those_read_alone(spark, monkeypatch):
+    good, odd = b"@a\nAC\n+\n!!\n@b\nGT\n+\n##\n", [b"@c\nA\n+\n!", b"", b"\n@d\nA\n+\n!\n\n", b"@e\nA\n", b"+\n!\n", b"@f\r\nAC\r\n+\r\n!!\r\n", b"\n", b"@a\nA\n+\n!\n\r", gzip.compress(b"@g\nA\n+\n!\n"), b"@h\n\n+\n\n"]
+    values = [good] * 50 + odd + [good] * 50 + odd[::-1] + [None] + [good] * 500
+    df = spark.createDataFrame([(str(k), v) for k, v in enumerate(values)], "key string, content binary")
+    got = parse_bytes(df.coalesce(1), key_col="key").collect()
+    want = []
+    for k, v in enumerate(values):
+        v = gzip.decompress(v) if v and v[:2] == b"\x1f\x8b" else v or b""
+        out, n = list(framing.framed(iter([v]))), 0
+        for x in out:
+            for h, s, q, *places in zip(*map(x.values, framing.FIELDS), x.header_offset, x.seq_offset, x.qual_offset, strict=True):
+                n += 1
+                want.append((str(k), h, s, q, n, *map(int, places), None))
+            if x.error:
+                want.append((str(k), None, None, None, x.error.record, x.error.offset, None, None, x.error.variant))
+    assert [(*(x if x is None or not isinstance(x, bytearray) else bytes(x) for x in tuple(r)[:8]), r.error and r.error.variant) for r in got] == want
+    # values of whole records are framed as one text
+    seen, framed = [], framing.framed
+    monkeypatch.setattr(framing, "framed", lambda *a, **b: seen.append(1) or framed(*a, **b))
+    (batch,) = parse_in_process([good] * 1000)
+    assert (len(batch), seen) == (2000, [])
+
+
+def parse_in_process(values):
+    """The batches of parse_bytes without Spark."""
+    import pyarrow as pa
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run([pa.RecordBatch.from_pydict({"key": pa.nulls(len(values), pa.string()), "value": pa.array(values, pa.binary())})]))
+
+    return parse_bytes(Rows())
+
 
 @pytest.mark.parametrize(
     ("row", "options", "message"),
